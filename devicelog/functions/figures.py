@@ -23,8 +23,3 @@ def rounded(value: Column, digits: int) -> Column:
 
 def count_if(test: Column) -> Column:
     return F.count(F.when(test, 1))
-
-
-def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds with their fraction between two naive timestamps."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)

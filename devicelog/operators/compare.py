@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelog.functions.figures import seconds_between
 from devicelog.operators.filters import available_parameters, time_bounds
 from devicelog.operators.positions import numbered
 from devicelog.operators.sizes import Sizes, attached, measured
@@ -54,15 +53,10 @@ def progress(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """
     sizes = sizes or measured(log)
     timed = log.where(F.col("timestamp").isNotNull())
-    elapsed = seconds_between(F.col("time_start"), F.col("timestamp")) / 60
-    length = seconds_between(F.col("time_start"), F.col("time_end")) / 60
-    return (
-        attached(timed, time_bounds(timed), sizes, row_bytes=48)
-        .withColumns(
-            {
-                "elapsed_minutes": elapsed,
-                "progress_pct": elapsed / F.nullif(length, F.lit(0.0)) * 100,
-            }
-        )
-        .drop("time_start", "time_end")
+    elapsed = "timestampdiff(MICROSECOND, time_start, timestamp) / 6e7D"
+    length = "timestampdiff(MICROSECOND, time_start, time_end) / 6e7D"
+    return attached(timed, time_bounds(timed), sizes, row_bytes=48).selectExpr(
+        *log.columns,
+        f"{elapsed} AS elapsed_minutes",
+        f"{elapsed} / nullif({length}, 0.0D) * 100 AS progress_pct",
     )

@@ -7,7 +7,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from devicelog.functions.figures import count_if, rounded
+from devicelog.functions.figures import count_if
 from devicelog.operators.filters import readings
 from devicelog.operators.quantiles import quantiles
 from devicelog.operators.sizes import Sizes, attached, measured
@@ -91,22 +91,24 @@ def box_outliers(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     )
 
 
-def cohort_stats(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
-    """Median, quartiles, extremes and readings per parameter over all sessions."""
+def cohort_stats(
+    log: DataFrame, sizes: Sizes | None = None, display: bool = True
+) -> DataFrame:
+    """Median, quartiles, extremes and readings per parameter over all sessions.
+
+    For display the quartiles have one decimal and the other figures two.
+    """
     sizes = sizes or measured(log)
     values = readings(log)
     middle = quantiles(values, ["parameter"], QUARTILES, sizes)
     ends = values.groupBy("parameter").agg(
         F.min("value").alias("min"), F.max("value").alias("max")
     )
-    return middle.join(F.broadcast(ends), "parameter").select(
+    digits = {"median": 2, "q1": 1, "q3": 1, "min": 2, "max": 2}
+    return middle.join(F.broadcast(ends), "parameter").selectExpr(
         "parameter",
-        rounded(F.col("median"), 2).alias("median"),
-        rounded(F.col("q1"), 1).alias("q1"),
-        rounded(F.col("q3"), 1).alias("q3"),
-        rounded(F.col("min"), 2).alias("min"),
-        rounded(F.col("max"), 2).alias("max"),
-        F.col("n").alias("readings"),
+        *[f"bround({c}, {d}) AS {c}" if display else c for c, d in digits.items()],
+        "n AS readings",
     )
 
 

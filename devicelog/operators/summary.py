@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from devicelog.functions.figures import count_if, lookup, percent, rounded, seconds_between
+from devicelog.functions.figures import count_if, lookup, percent, rounded
 from devicelog.operators.filters import long_values
 from devicelog.operators.sizes import Sizes, attached
 from devicelog.schema import DISPLAY_LABELS, MEASUREMENTS, TREND_PARAMETERS
 
 
-def _minutes() -> Column:
-    return seconds_between(F.col("time_start"), F.col("time_end")) / 60
+_MINUTES = "timestampdiff(MICROSECOND, time_start, time_end) / 6e7D"
 
 
 def _totals(log: DataFrame, *more: Column) -> DataFrame:
@@ -25,30 +24,28 @@ def _totals(log: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def session_summary(log: DataFrame) -> DataFrame:
+def session_summary(log: DataFrame, display: bool = True) -> DataFrame:
     """Records, time span, alarms, and mean, minimum and maximum of each parameter.
 
-    The ids of the cases in a session are rows of :func:`session_cases`.
+    For display minutes have one decimal and figures two. The ids of the cases in
+    a session are rows of :func:`session_cases`.
     """
-    figures = [
-        f(c).alias(f"{c}_{name}")
-        for c in MEASUREMENTS
-        for name, f in (("mean", F.avg), ("min", F.min), ("max", F.max))
-    ]
-    totals = _totals(log, *figures)
-    return totals.select(
+    kinds = ("avg", "min", "max")
+    names = {f"{kind}({c})": f"{c}_{kind.replace('avg', 'mean')}" for c in MEASUREMENTS for kind in kinds}
+    totals = _totals(log, *[F.expr(f"{figure} AS {name}") for figure, name in names.items()])
+
+    def shown(value: str, digits: int) -> str:
+        return f"bround({value}, {digits})" if display else value
+
+    return totals.selectExpr(
         "session_id",
         "total_records",
         "time_start",
         "time_end",
-        rounded(_minutes(), 1).alias("duration_minutes"),
+        f"{shown(_MINUTES, 1)} AS duration_minutes",
         "alarm_events",
-        percent(F.col("alarm_events"), F.col("total_records")).alias("alarm_rate_pct"),
-        *[
-            rounded(F.col(f"{c}_{name}"), 2).alias(f"{c}_{name}")
-            for c in MEASUREMENTS
-            for name in ("mean", "min", "max")
-        ],
+        "100.0D * alarm_events / total_records AS alarm_rate_pct",
+        *[f"{shown(name, 2)} AS {name}" for name in names.values()],
     )
 
 
@@ -80,7 +77,7 @@ def case_header(log: DataFrame) -> DataFrame:
         "session_id",
         F.date_format("time_start", "dd MMM yyyy  HH:mm").alias("start_text"),
         F.date_format("time_end", "HH:mm").alias("end_text"),
-        F.floor(_minutes()).cast("long").alias("whole_minutes"),
+        F.expr(f"CAST(floor({_MINUTES}) AS BIGINT) AS whole_minutes"),
         "total_records",
         "alarm_events",
         percent(F.col("alarm_events"), F.col("total_records")).alias("alarm_rate_pct"),
@@ -103,9 +100,11 @@ def case_label() -> Column:
     return F.concat(F.lit("Case "), F.col("case_id"))
 
 
-def compared(log: DataFrame, sessions: DataFrame, sizes: Sizes) -> DataFrame:
+def compared(
+    log: DataFrame, sessions: DataFrame, sizes: Sizes, display: bool = True
+) -> DataFrame:
     """The comparison table: one row per session, all sessions in one pass."""
-    summary = session_summary(log).select(
+    summary = session_summary(log, display).select(
         "session_id",
         "duration_minutes",
         "total_records",

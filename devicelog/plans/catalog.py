@@ -112,10 +112,14 @@ def _from_raw(query: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def to_digits(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation does not show."""
+    """Doubles rounded, so that the order of summation does not show.
+
+    The small shift keeps values that lie halfway between two results, up to the
+    noise of summation, on one side.
+    """
     doubles = {f.name for f in df.schema.fields if f.dataType.simpleString() == "double"}
     return df.selectExpr(
-        *[f"round(`{c}`, {digits}) AS `{c}`" if c in doubles else f"`{c}`" for c in df.columns]
+        *[f"round(`{c}` + 1e-9D, {digits}) AS `{c}`" if c in doubles else f"`{c}`" for c in df.columns]
     )
 
 
@@ -357,7 +361,9 @@ def queries() -> dict[str, Query]:
             .agg(F.count(F.lit(1)).alias("events"))
         ),
         # summaries
-        "session_summary": _from_log(lambda log, sizes: summary.session_summary(log)),
+        "session_summary": _from_log(
+            lambda log, sizes: to_digits(summary.session_summary(log, display=False))
+        ),
         "session_cases": _from_log(lambda log, sizes: summary.session_cases(log)),
         "parameter_stats": _from_log(lambda log, sizes: to_digits(summary.parameter_stats(log))),
         "alarm_kpis": _from_log(lambda log, sizes: to_digits(alarms.alarm_kpis(log))),
@@ -367,6 +373,7 @@ def queries() -> dict[str, Query]:
                 loaded(spark, folder).store.measurements(),
                 loaded(spark, folder).store.sessions(),
                 loaded(spark, folder).sizes,
+                display=False,
             )
         ),
         "alarm_rate_per_case": lambda spark, folder: summary.with_case(
@@ -382,7 +389,9 @@ def queries() -> dict[str, Query]:
         "case_header": _from_log(lambda log, sizes: to_digits(summary.case_header(log))),
         "case_positions": _from_store(lambda s: compare.case_positions(s.sessions())),
         # distributions
-        "cohort_stats": _from_log(distribution.cohort_stats),
+        "cohort_stats": _from_log(
+            lambda log, sizes: to_digits(distribution.cohort_stats(log, sizes, display=False))
+        ),
         "box_stats": _from_log(lambda log, sizes: to_digits(distribution.box_stats(log, sizes))),
         "box_outliers": _from_log(distribution.box_outliers),
         "histogram": _from_log(lambda log, sizes: to_digits(distribution.histogram(log, sizes))),
@@ -459,6 +468,7 @@ def queries() -> dict[str, Query]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The summary of every session straight from the raw log."""
-    return summary.session_summary(clean.clean(raw_log(use_utc(spark), folder)))
+    log = clean.clean(raw_log(use_utc(spark), folder))
+    return to_digits(summary.session_summary(log, display=False))
 
 

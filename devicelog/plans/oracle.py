@@ -183,7 +183,7 @@ def _feature(kind: str, c: str) -> str:
         "rolling_std": f"coalesce(stddev_samp({c}) {frame}, 0)",
         "delta": f"coalesce({c} - lag({c}) OVER ({_W}), 0)",
     }[kind]
-    return f"CASE WHEN has_{c} THEN round({value}, 6) END AS {kind}_{c}"
+    return f"CASE WHEN has_{c} THEN round({value} + 1e-9, 6) END AS {kind}_{c}"
 
 
 _RATIO = (
@@ -210,7 +210,7 @@ levels AS (
                  WHEN risk_score <= 0.66 THEN 'Moderate' ELSE 'High' END AS risk_level FROM scored)"""
 
 _SUMMARY = ", ".join(
-    f"round_even({f}({c}), 2) AS {c}_{n}"
+    f"round({f}({c}) + 1e-9, 6) AS {c}_{n}"
     for c in MEASUREMENTS
     for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))
 )
@@ -260,8 +260,8 @@ rep AS (SELECT {f(0)}, {f(1)},
         ),
     ]
     body = " UNION ALL ".join(
-        f"SELECT '{n}' AS class, round({p}, 6) AS precision, round({r}, 6) AS recall, "
-        f"round({f1}, 6) AS f1_score, CAST({s} AS BIGINT) AS support FROM rep"
+        f"SELECT '{n}' AS class, round({p} + 1e-9, 6) AS precision, round({r} + 1e-9, 6) AS recall, "
+        f"round({f1} + 1e-9, 6) AS f1_score, CAST({s} AS BIGINT) AS support FROM rep"
         for n, p, r, f1, s in lines
     )
     return _sql(body, _SCORED, report)
@@ -451,25 +451,25 @@ def oracle_sql() -> dict[str, str]:
         ),
         "session_summary": _sql(
             "SELECT session_id, count(*) AS total_records, min(timestamp) AS time_start, max(timestamp) AS time_end, "
-            f"round_even({_minutes('min(timestamp)', 'max(timestamp)')}, 1) AS duration_minutes, "
+            f"round({_minutes('min(timestamp)', 'max(timestamp)')} + 1e-9, 6) AS duration_minutes, "
             "count(*) FILTER (alarm_active) AS alarm_events, "
-            f"100.0 * count(*) FILTER (alarm_active) / count(*) AS alarm_rate_pct, {_SUMMARY} "
+            f"round(100.0 * count(*) FILTER (alarm_active) / count(*) + 1e-9, 6) AS alarm_rate_pct, {_SUMMARY} "
             "FROM log GROUP BY session_id"
         ),
         "session_cases": _sql(
             "SELECT session_id, case_id, count(*) AS records FROM log GROUP BY session_id, case_id"
         ),
         "parameter_stats": _sql(
-            "SELECT session_id, parameter, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, "
-            "round(stddev_samp(value), 6) AS std_dev, round(100.0 * count(value) / count(*), 6) AS coverage_pct, "
+            "SELECT session_id, parameter, round(avg(value) + 1e-9, 6) AS mean, min(value) AS min, max(value) AS max, "
+            "round(stddev_samp(value) + 1e-9, 6) AS std_dev, round(100.0 * count(value) / count(*) + 1e-9, 6) AS coverage_pct, "
             f"count(value) AS readings, {_label('parameter', DISPLAY_LABELS)} AS label "
             "FROM long GROUP BY session_id, parameter HAVING count(value) > 0",
             _LONG,
         ),
         "alarm_kpis": _sql(
-            "SELECT session_id, records, events AS alarm_events, round(100.0 * events / records, 6) AS coverage_pct, "
-            "categories AS alarm_categories, round(100.0 * (records - events) / records, 6) AS remainder_pct, "
-            "round(100.0 * alarm_rows / records, 6) AS row_coverage_pct FROM ("
+            "SELECT session_id, records, events AS alarm_events, round(100.0 * events / records + 1e-9, 6) AS coverage_pct, "
+            "categories AS alarm_categories, round(100.0 * (records - events) / records + 1e-9, 6) AS remainder_pct, "
+            "round(100.0 * alarm_rows / records + 1e-9, 6) AS row_coverage_pct FROM ("
             "SELECT l.session_id, l.records, l.alarm_rows, coalesce(a.events, 0) AS events, "
             "coalesce(a.categories, 0) AS categories FROM "
             "(SELECT session_id, count(*) AS records, count(*) FILTER (alarm_active OR alarm_bubble IN ('A', 'E')) "
@@ -484,8 +484,8 @@ def oracle_sql() -> dict[str, str]:
             _EVENTS,
         ),
         "compare_summary": _sql(
-            f"SELECT session_id, round_even({_minutes('t.time_start', 't.time_end')}, 1) AS duration_minutes, "
-            "total_records, alarm_events, round(100.0 * alarm_events / total_records, 6) AS alarm_rate_pct, "
+            f"SELECT session_id, round({_minutes('t.time_start', 't.time_end')} + 1e-9, 6) AS duration_minutes, "
+            "total_records, alarm_events, round(100.0 * alarm_events / total_records + 1e-9, 6) AS alarm_rate_pct, "
             + ", ".join(f"m.{c}_mean" for c in TREND_PARAMETERS)
             + ", 'Case ' || s.case_id AS \"case\", s.filename FROM totals t JOIN sessions s USING (session_id) "
             f"JOIN (SELECT session_id, {_SUMMARY} FROM log GROUP BY session_id) m USING (session_id)",
@@ -508,7 +508,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT session_id, strftime(time_start, '%d %b %Y  %H:%M') AS start_text, "
             "strftime(time_end, '%H:%M') AS end_text, "
             f"CAST(floor({_minutes('time_start', 'time_end')}) AS BIGINT) AS whole_minutes, total_records, alarm_events, "
-            "round(100.0 * alarm_events / total_records, 6) AS alarm_rate_pct FROM totals",
+            "round(100.0 * alarm_events / total_records + 1e-9, 6) AS alarm_rate_pct FROM totals",
             _TOTALS,
         ),
         "case_positions": _sql(
@@ -517,15 +517,15 @@ def oracle_sql() -> dict[str, str]:
             _SESSIONS,
         ),
         "cohort_stats": _sql(
-            "SELECT parameter, round_even(quantile_cont(value, 0.5), 2) AS median, "
-            "round_even(quantile_cont(value, 0.25), 1) AS q1, round_even(quantile_cont(value, 0.75), 1) AS q3, "
-            "round_even(min(value), 2) AS min, round_even(max(value), 2) AS max, count(*) AS readings "
+            "SELECT parameter, round(quantile_cont(value, 0.5) + 1e-9, 6) AS median, "
+            "round(quantile_cont(value, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(value, 0.75) + 1e-9, 6) AS q3, "
+            "min(value) AS min, max(value) AS max, count(*) AS readings "
             "FROM long WHERE value IS NOT NULL GROUP BY parameter",
             _LONG,
         ),
         "box_stats": _sql(
-            "SELECT session_id, parameter, readings, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, "
-            "round(low_fence, 6) AS low_fence, round(high_fence, 6) AS high_fence, "
+            "SELECT session_id, parameter, readings, round(q1 + 1e-9, 6) AS q1, round(median + 1e-9, 6) AS median, round(q3 + 1e-9, 6) AS q3, "
+            "round(low_fence + 1e-9, 6) AS low_fence, round(high_fence + 1e-9, 6) AS high_fence, "
             "min(value) FILTER (value BETWEEN low_fence AND high_fence) AS whisker_low, "
             "max(value) FILTER (value BETWEEN low_fence AND high_fence) AS whisker_high, "
             "count(*) FILTER (NOT value BETWEEN low_fence AND high_fence) AS outliers FROM placed GROUP BY ALL",
@@ -538,8 +538,8 @@ def oracle_sql() -> dict[str, str]:
             _FENCES,
         ),
         "histogram": _sql(
-            "SELECT session_id, parameter, bin, round(lo + (bin - 1) * ((hi - lo) / 30), 6) AS bin_start, "
-            "round(lo + bin * ((hi - lo) / 30), 6) AS bin_end, count(*) AS readings, round(mean, 6) AS mean FROM ("
+            "SELECT session_id, parameter, bin, round(lo + (bin - 1) * ((hi - lo) / 30) + 1e-9, 6) AS bin_start, "
+            "round(lo + bin * ((hi - lo) / 30) + 1e-9, 6) AS bin_end, count(*) AS readings, round(mean + 1e-9, 6) AS mean FROM ("
             "SELECT session_id, parameter, lo, hi, mean, CAST(CASE WHEN hi > lo THEN "
             "least(30, floor((value - lo) / ((hi - lo) / 30)) + 1) ELSE 1 END AS INTEGER) AS bin "
             "FROM long JOIN (SELECT session_id, parameter, min(value) AS lo, max(value) AS hi, avg(value) AS mean "
@@ -548,8 +548,8 @@ def oracle_sql() -> dict[str, str]:
             _LONG,
         ),
         "correlation_matrix": _sql(
-            "SELECT session_id, a AS parameter_a, b AS parameter_b, round(r, 6) AS correlation FROM shown WHERE varying >= 2 "
-            "UNION ALL SELECT session_id, b, a, round(r, 6) FROM shown WHERE varying >= 2 AND a <> b",
+            "SELECT session_id, a AS parameter_a, b AS parameter_b, round(r + 1e-9, 6) AS correlation FROM shown WHERE varying >= 2 "
+            "UNION ALL SELECT session_id, b, a, round(r + 1e-9, 6) FROM shown WHERE varying >= 2 AND a <> b",
             _CORR,
         ),
         "alarm_limit_bands": _sql(
@@ -557,8 +557,8 @@ def oracle_sql() -> dict[str, str]:
             "WHERE value IS NOT NULL GROUP BY session_id, parameter, side"
         ),
         "compare_overlay": _sql(
-            f"SELECT {sample}, round(elapsed, 6) AS elapsed_minutes, "
-            "round(elapsed / nullif(max(elapsed) OVER (PARTITION BY session_id), 0) * 100, 6) AS progress_pct, "
+            f"SELECT {sample}, round(elapsed + 1e-9, 6) AS elapsed_minutes, "
+            "round(elapsed / nullif(max(elapsed) OVER (PARTITION BY session_id), 0) * 100 + 1e-9, 6) AS progress_pct, "
             "flow_rate_lpm FROM (SELECT *, "
             f"{_minutes('min(timestamp) OVER (PARTITION BY session_id)', 'timestamp')} AS elapsed "
             "FROM log WHERE timestamp IS NOT NULL)"
@@ -576,10 +576,10 @@ def oracle_sql() -> dict[str, str]:
         "rolling_features": _sql(
             "SELECT session_id, row_ordinal, "
             + ", ".join(_feature(k, c) for k in ("rolling_mean", "rolling_std", "delta") for c in MEASUREMENTS)
-            + f", round({_RATIO}, 6) AS pressure_flow_ratio FROM (SELECT *, {_HAS} FROM log)"
+            + f", round({_RATIO} + 1e-9, 6) AS pressure_flow_ratio FROM (SELECT *, {_HAS} FROM log)"
         ),
         "pressure_flow_ratio": _sql(
-            f"SELECT session_id, row_ordinal, round({_RATIO}, 6) AS pressure_flow_ratio FROM log"
+            f"SELECT session_id, row_ordinal, round({_RATIO} + 1e-9, 6) AS pressure_flow_ratio FROM log"
         ),
         "alarm_target": _sql("SELECT session_id, row_ordinal, alarm_future FROM target", _TARGET),
         "alarm_target_next": _sql(
@@ -590,32 +590,32 @@ def oracle_sql() -> dict[str, str]:
             "SELECT session_id, row_ordinal, position, global_position, split FROM split", _TARGET, _SPLIT
         ),
         "split_stats": _sql(
-            "SELECT split, count(*) AS samples, round(avg(alarm_future), 6) AS alarm_rate FROM split GROUP BY split",
+            "SELECT split, count(*) AS samples, round(avg(alarm_future) + 1e-9, 6) AS alarm_rate FROM split GROUP BY split",
             _TARGET,
             _SPLIT,
         ),
         "class_weights": _sql(
             "SELECT alarm_future AS label, count(*) AS n, "
-            "round((SELECT count(*) FROM split WHERE split = 'train') / (2.0 * count(*)), 6) AS weight "
+            "round((SELECT count(*) FROM split WHERE split = 'train') / (2.0 * count(*)) + 1e-9, 6) AS weight "
             "FROM split WHERE split = 'train' GROUP BY alarm_future",
             _TARGET,
             _SPLIT,
         ),
         "auc": _sql(
             "SELECT round((sum(CASE WHEN label = 1 THEN mid ELSE 0 END) - any_value(pos) * (any_value(pos) + 1) / 2.0) "
-            "/ (any_value(pos) * any_value(neg)), 6) AS auc FROM ("
+            "/ (any_value(pos) * any_value(neg)) + 1e-9, 6) AS auc FROM ("
             "SELECT label, rank() OVER (ORDER BY risk_score) + (count(*) OVER (PARTITION BY risk_score) - 1) / 2.0 AS mid, "
             "CAST(sum(label) OVER () AS DOUBLE) AS pos, CAST(sum(1 - label) OVER () AS DOUBLE) AS neg FROM scored)",
             _SCORED,
         ),
         "classification_report": _report_sql(),
         "risk_levels": _sql(
-            "SELECT session_id, row_ordinal, round(risk_score, 6) AS risk_score, risk_level FROM levels", _SCORED
+            "SELECT session_id, row_ordinal, round(risk_score + 1e-9, 6) AS risk_score, risk_level FROM levels", _SCORED
         ),
         "risk_level_kpis": _sql(
-            "SELECT session_id, round(100.0 * count(*) FILTER (risk_level = 'High') / count(*), 6) AS high_pct, "
-            "round(100.0 * count(*) FILTER (risk_level = 'Moderate') / count(*), 6) AS moderate_pct, "
-            "round(avg(risk_score), 6) AS mean_score FROM levels GROUP BY session_id",
+            "SELECT session_id, round(100.0 * count(*) FILTER (risk_level = 'High') / count(*) + 1e-9, 6) AS high_pct, "
+            "round(100.0 * count(*) FILTER (risk_level = 'Moderate') / count(*) + 1e-9, 6) AS moderate_pct, "
+            "round(avg(risk_score) + 1e-9, 6) AS mean_score FROM levels GROUP BY session_id",
             _SCORED,
         ),
     }

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from devicelog.functions.cells import stripped
+from devicelog.functions.cells import quoted, stripped
 from devicelog.operators.positions import numbered
 from devicelog.operators.sizes import BROADCAST_BYTES
 from devicelog.schema import CANONICAL, COLUMN_MAP, UNKNOWN_CASE
 from devicelog.session import written
 
-_FIRST_FIELDS = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
+_FIELDS = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
 _BYTES_PER_FILE = 2048
+_INDEX_MASK = (1 << 33) - 1
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -44,25 +45,24 @@ def new_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
     return first.join(sessions.select("filename"), "filename", "left_anti")
 
 
-def _header_names(line: Column) -> Column:
-    """The column names of a header line; a repeated name gets a numbered suffix."""
-    fields = F.regexp_extract_all(F.regexp_replace(line, "^﻿", ""), F.lit(_FIRST_FIELDS), F.lit(1))
-    # The pattern also matches the empty rest behind the last field.
-    fields = F.when(F.size(fields) > 1, F.slice(fields, 1, F.size(fields) - 1)).otherwise(fields)
-    unquoted = F.transform(
-        fields,
-        lambda f: stripped(
-            F.when(f.startswith('"'), F.regexp_replace(f.substr(F.lit(2), F.length(f) - 2), '""', '"'))
-            .otherwise(f)
-        ),
+def _header_names(lines: DataFrame) -> DataFrame:
+    """The column names of each file's header line; a repeated name gets a numbered suffix."""
+    unquoted = "IF(startswith(f, '\"'), replace(substr(f, 2, length(f) - 2), '\"\"', '\"'), f)"
+    same = "size(filter(slice(fields, 1, i), other -> other = f))"
+    return (
+        lines.selectExpr(
+            "source_file",
+            f"regexp_extract_all(replace(line, '\\ufeff', ''), {quoted(_FIELDS)}, 1) AS fields",
+        )
+        # The pattern also matches the empty rest behind the last field.
+        .selectExpr("source_file", "slice(fields, 1, greatest(size(fields) - 1, 1)) AS fields")
+        .selectExpr("source_file", f"transform(fields, f -> {stripped(unquoted)}) AS fields")
+        .selectExpr(
+            "source_file",
+            f"transform(fields, (f, i) -> IF({same} > 0, concat(f, '.', {same}), f)) AS names",
+        )
     )
 
-    def distinct_name(name: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(unquoted, F.lit(1), i), lambda other: other == name))
-        return F.when(before > 0, F.concat(name, F.lit("."), before.cast("string"))).otherwise(name)
-
-    return F.transform(unquoted, distinct_name)
-
 
 def read_headers(
     spark: SparkSession, paths: str | list[str], column_map: dict[str, str] = COLUMN_MAP
@@ -83,24 +83,21 @@ def read_headers(
     first = lines.groupBy("source_file").agg(
         F.min_by("value", "line_id").alias("line")
     )
-    names = first.select("source_file", _header_names(F.col("line")).alias("names"))
+    names = _header_names(first)
     of_canonical: dict[str, list[str]] = {}
     for header, canonical in column_map.items():
         of_canonical.setdefault(canonical, []).append(header)
 
-    def place(canonical: str) -> Column:
-        places = [
-            F.nullif(F.array_position("names", F.lit(h)), F.lit(0))
-            for h in of_canonical.get(canonical, [])
-        ]
-        return F.coalesce(*places, F.lit(None).cast("long")).cast("int").alias(canonical)
+    def place(canonical: str) -> str:
+        places = [f"nullif(array_position(names, {quoted(h)}), 0L)" for h in of_canonical.get(canonical, [])]
+        return f"CAST(coalesce({', '.join([*places, 'NULL'])}) AS INT) AS {canonical}"
 
-    known = F.array(*[F.lit(h) for h in column_map])
-    return names.select(
+    known = ", ".join(quoted(h) for h in column_map)
+    return names.selectExpr(
         "source_file",
         "names",
-        F.struct(*[place(c) for c in CANONICAL]).alias("places"),
-        F.filter("names", lambda n: ~F.array_contains(known, n)).alias("unmapped"),
+        f"struct({', '.join(place(c) for c in CANONICAL)}) AS places",
+        f"filter(names, n -> NOT array_contains(array({known}), n)) AS unmapped",
     )
 
 
@@ -112,7 +109,7 @@ def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -
     size = headers.agg(F.max(F.size("names")), F.count(F.lit(1))).first()
     width, n_files = size[0] or 1, size[1]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    index_in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    cells = ", ".join(f"coalesce({stripped(f'c{i}')}, '')" for i in range(width))
     rows = (
         spark.read.schema(schema)
         .option("header", "true")
@@ -120,28 +117,22 @@ def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .csv(paths)
-        .select(
-            F.array(*[F.coalesce(stripped(F.col(f"c{i}")), F.lit("")) for i in range(width)]).alias("cells"),
-            F.col("_metadata.file_path").alias("source_file"),
+        .selectExpr(
+            f"array({cells}) AS cells",
+            "_metadata.file_path AS source_file",
             # A split holds fewer rows than bytes, so this rises through a file's splits.
-            (F.col("_metadata.file_block_start") + index_in_part).alias("row_ordinal"),
+            f"_metadata.file_block_start + (monotonically_increasing_id() & {_INDEX_MASK}L) AS row_ordinal",
         )
     )
     if n_files * _BYTES_PER_FILE <= BROADCAST_BYTES:
         headers = F.broadcast(headers)
-    extra = F.map_from_entries(
-        F.transform(
-            "unmapped",
-            lambda n: F.struct(
-                n.alias("key"), F.try_element_at("cells", F.array_position("names", n).cast("int")).alias("value")
-            ),
-        )
-    )
-    return rows.join(headers, "source_file").select(
+    cell = "try_element_at(cells, CAST(array_position(names, n) AS INT))"
+    extra = f"map_from_entries(transform(unmapped, n -> struct(n, {cell})))"
+    return rows.join(headers, "source_file").selectExpr(
         "source_file",
         "row_ordinal",
-        *[F.try_element_at("cells", F.col(f"places.{c}")).alias(c) for c in CANONICAL],
-        F.when(F.size("unmapped") > 0, extra).alias("extra"),
+        *[f"try_element_at(cells, places.{c}) AS {c}" for c in CANONICAL],
+        f"IF(size(unmapped) > 0, {extra}, NULL) AS extra",
     )
 
 
