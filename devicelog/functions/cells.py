@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from devicelog.schema import ALARM_TEXT, SENTINELS
 
 
@@ -22,15 +24,19 @@ def is_sentinel(cell: str) -> str:
     return f"{cell} IN {one_of(SENTINELS)}"
 
 
+# A number as written in a device log. The cast alone would also read Java literals
+# such as 1.5d or 0x1p3, and is slow on text that is no number.
+_NUMBER = (
+    "^[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?"
+    "|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+)
+
+
 def to_number(cell: str) -> str:
-    """The cell as a double; device codes, other text and NaN become NULL.
-
-    The cast also reads Java literals such as ``1.5d`` or ``0x1p3``, which are
-    text in a device log.
-    """
-    java_literal = f"rlike({cell}, '[0-9.][dDfFxXpP]')"
-    number = f"IF({is_sentinel(cell)} OR {java_literal}, NULL, try_cast({cell} AS DOUBLE))"
-    return f"nanvl({number}, CAST(NULL AS DOUBLE))"
+    """The cell as a double; device codes, other text and NaN become NULL."""
+    codes = [s for s in SENTINELS if re.match(_NUMBER, s)]
+    no_code = f"NOT {cell} IN {one_of(codes)} AND " if codes else ""
+    return f"IF({no_code}rlike({cell}, {quoted(_NUMBER)}), try_cast({cell} AS DOUBLE), NULL)"
 
 
 def bubble_code(cell: str) -> str:

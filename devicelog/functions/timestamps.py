@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from devicelog.functions.cells import one_of, quoted
 from devicelog.schema import BLANK_TIMESTAMPS, GUESSED_FORMATS, TIMESTAMP_FORMATS
 
@@ -10,6 +12,7 @@ GUESSED = 100
 EACH_ROW = -1
 _NO_GUESS = 31
 _CODE_BITS = 5
+_ALL_FIT = (1 << len(TIMESTAMP_FORMATS)) - 1
 
 
 def is_blank(cell: str) -> str:
@@ -21,8 +24,12 @@ def _shape_fits(cell: str, pattern: str) -> str:
     if pattern.startswith("yyyyMM"):
         return f"length({cell}) = 14"
     if pattern.startswith("yyyy"):
-        return f"substr({cell}, 5, 1) = '{pattern[4]}'"
-    return f"(substr({cell}, 2, 1) = '/' OR substr({cell}, 3, 1) = '/')"
+        clock = f"contains(substr({cell}, 9), '.')"
+        fraction = clock if ".S" in pattern else f"NOT {clock}"
+        return f"substr({cell}, 5, 1) = '{pattern[4]}' AND {fraction}"
+    month, day = "(0?[1-9]|1[0-2])/", "[0-9]{1,2}/"
+    first = month + day if pattern.startswith("M") else day + month
+    return f"substr({cell}, 2, 2) LIKE '%/%' AND rlike({cell}, '^{first}')"
 
 
 def _read(cell: str, pattern: str) -> str:
@@ -33,40 +40,70 @@ def parsed(cell: str, pattern: str) -> str:
     return f"IF({_shape_fits(cell, pattern)}, {_read(cell, quoted(pattern))}, NULL)"
 
 
-def election(cell: str, ordinal: str) -> list[str]:
+def fitting(cell: str) -> str:
+    """A bit per device format that reads the cell; blank cells fit all."""
+    bits = " | ".join(
+        f"IF({parsed(cell, p)} IS NOT NULL, {1 << i}, 0)" for i, p in enumerate(TIMESTAMP_FORMATS)
+    )
+    return f"IF({is_blank(cell)}, {_ALL_FIT}, {bits})"
+
+
+def _shape(pattern: str) -> str:
+    """A pattern's text with every run of digits shown as 9, and Y before a leading year."""
+    digits = re.sub("[yMdHmsS]+", "9", pattern.replace("'", ""))
+    return ("Y" if pattern.startswith("yyyy") else "") + digits
+
+
+def guess(cell: str) -> str:
+    """The code of the guessed format whose shape the cell has, 31 if none.
+
+    Month-first and day-first dates share a shape; the month comes first if it can.
+    """
+    shape = f"concat(IF(rlike({cell}, '^[0-9]{{4}}'), 'Y', ''), regexp_replace({cell}, '[0-9]+', '9'))"
+    codes = {}
+    for i, p in enumerate(GUESSED_FORMATS):
+        codes.setdefault(_shape(p), i)
+    entries = ", ".join(f"{quoted(k)}, {i}" for k, i in codes.items())
+    code = f"coalesce(try_element_at(map({entries}), {shape}), {_NO_GUESS})"
+    month_first = [i for i, p in enumerate(GUESSED_FORMATS) if p.startswith("M/")]
+    to_day_first = GUESSED_FORMATS.index("d/M/yyyy H:m:s") - month_first[0]
+    slashed = f"substr({cell}, 2, 2) LIKE '%/%' AND NOT rlike({cell}, '^(0?[1-9]|1[0-2])/')"
+    return f"({code} + IF({slashed}, {to_day_first}, 0))"
+
+
+_GUESSES = "array(" + ", ".join(quoted(p) for p in GUESSED_FORMATS) + ")"
+
+
+def _read_guessed(cell: str, code: str) -> str:
+    return _read(cell, f"try_element_at({_GUESSES}, {code} + 1)")
+
+
+def election(cell: str, fits: str, ordinal: str) -> list[str]:
     """Aggregates from which :func:`elected` names a file's format.
 
-    The rows each device format cannot read are counted. The guess rests on
-    the first non-blank row: its ordinal and the code of the first format that
-    reads it are packed into one long, so the smallest long carries the
-    answer and the aggregate keeps only fixed-width state.
+    The formats that fit every row are the bits all rows share. The guess rests on
+    the first non-blank row: its ordinal and guess are packed into one long, so the
+    smallest long carries the answer and the aggregate keeps only fixed-width state.
     """
-    filled = f"NOT {is_blank(cell)}"
-    misses = [
-        f"count_if({filled} AND {parsed(cell, p)} IS NULL) AS misses_{i}"
-        for i, p in enumerate(TIMESTAMP_FORMATS)
+    unread = f"{fits} = 0 AND {_read_guessed(cell, guess(cell))} IS NULL"
+    packed = f"shiftleft({ordinal}, {_CODE_BITS}) + IF({unread}, {_NO_GUESS}, least({guess(cell)}, {_NO_GUESS}))"
+    return [
+        f"bit_and({fits}) AS common",
+        f"min(IF({is_blank(cell)}, NULL, {packed})) AS first_filled",
     ]
-    cases = " ".join(
-        f"WHEN {parsed(cell, p)} IS NOT NULL THEN {i}L" for i, p in enumerate(GUESSED_FORMATS)
-    )
-    packed = f"shiftleft({ordinal}, {_CODE_BITS}) + CASE {cases} ELSE {_NO_GUESS}L END"
-    return [*misses, f"min(IF({filled}, {packed}, NULL)) AS first_filled"]
 
 
 def elected() -> str:
-    """The first device format without a miss, else the guess, else row by row."""
-    fits = " ".join(f"WHEN misses_{i} = 0 THEN {i}" for i in range(len(TIMESTAMP_FORMATS)))
+    """The first device format that fits all rows, else the guess, else row by row."""
+    fits = " ".join(f"WHEN common & {1 << i} <> 0 THEN {i}" for i in range(len(TIMESTAMP_FORMATS)))
     code = f"(first_filled & {_NO_GUESS}L)"
     return f"CAST(CASE {fits} WHEN {code} = {_NO_GUESS} THEN {EACH_ROW} ELSE {code} + {GUESSED} END AS INT)"
 
 
 def parsed_as(cell: str, fmt: str) -> str:
     """The cell read with its file's elected format; cells it does not fit are NULL."""
-    device = " ".join(f"WHEN {fmt} = {i} THEN {parsed(cell, p)}" for i, p in enumerate(TIMESTAMP_FORMATS))
-    guesses = "array(" + ", ".join(quoted(p) for p in GUESSED_FORMATS) + ")"
-    one_guess = _read(cell, f"try_element_at({guesses}, {fmt} - {GUESSED - 1})")
-    any_guess = f"get(array_compact(transform({guesses}, p -> {_read(cell, 'p')})), 0)"
-    return (
-        f"CASE WHEN {is_blank(cell)} THEN NULL {device} "
-        f"WHEN {fmt} >= {GUESSED} THEN {one_guess} ELSE {any_guess} END"
+    device = " ".join(
+        f"WHEN {fmt} = {i} THEN {_read(cell, quoted(p))}" for i, p in enumerate(TIMESTAMP_FORMATS)
     )
+    code = f"IF({fmt} >= {GUESSED}, {fmt} - {GUESSED}, {guess(cell)})"
+    return f"CASE WHEN {is_blank(cell)} THEN NULL {device} ELSE {_read_guessed(cell, code)} END"

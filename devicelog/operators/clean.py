@@ -56,10 +56,11 @@ def unmapped_columns(
 
 def elect_formats(raw: DataFrame) -> DataFrame:
     """One row per session: the timestamp format that fits its whole file."""
-    votes = [F.expr(v) for v in timestamps.election("timestamp", "row_ordinal")]
+    votes = timestamps.election("timestamp", "fits", "row_ordinal")
     return (
-        raw.groupBy("session_id")
-        .agg(*votes)
+        raw.selectExpr(*KEYS, "timestamp", f"{timestamps.fitting('timestamp')} AS fits")
+        .groupBy("session_id")
+        .agg(*[F.expr(v) for v in votes])
         .selectExpr("session_id", f"{timestamps.elected()} AS ts_format")
     )
 

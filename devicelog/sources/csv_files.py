@@ -23,7 +23,10 @@ _INDEX_MASK = (1 << 33) - 1
 
 
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file: ``source_file``, ``filename``, ``length``. Contents are not read."""
+    """One row per file: ``source_file``, ``filename``, ``length``. Contents are not read.
+
+    Spark leaves files of zero bytes out.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
