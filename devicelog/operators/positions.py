@@ -1,10 +1,10 @@
 """Row positions, and windows over sessions of any length.
 
-Short sessions use one window partition each. When a session is too long for
-one task, rows are range-partitioned by session and time, which cuts long
-sessions into many partitions; positions follow from each partition's row count.
-Windows then run on slices of positions that carry the few rows of their
-neighbours that their frames reach into.
+Short sessions use one window partition each. The rows of sessions too long for
+one task are range-partitioned by session and time, which cuts each of them into
+many partitions; positions follow from each partition's row count. Windows then
+run on slices of positions that carry the few rows of their neighbours that
+their frames reach into.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from devicelog.operators.sizes import ROWS_PER_TASK, Sizes, attached
+from devicelog.operators.sizes import ROWS_PER_TASK, Sizes, attached, by_length
 from devicelog.session import written
 
 _INDEX_BITS = 33
@@ -29,15 +29,25 @@ def session_window() -> WindowSpec:
 
 
 def with_position(df: DataFrame, sizes: Sizes) -> DataFrame:
-    """Add ``position``, the 0-based place of a row in its session by time."""
+    """Add ``position``, the 0-based place of a row in its session by time, if not there yet."""
+    if "position" in df.columns:
+        return df
+
+    def ranked(short: DataFrame) -> DataFrame:
+        place = F.row_number().over(session_window()).cast("long") - 1
+        return short.withColumn("position", place)
+
     if sizes.fits_tasks:
-        return df.withColumn("position", F.row_number().over(session_window()).cast("long") - 1)
-    return _placed_in_sessions(df, sizes).drop("global_position")
+        return ranked(df)
+    short, long = by_length(df, sizes)
+    return ranked(short).unionByName(_placed_in_sessions(long, sizes).drop("global_position"))
 
 
 def with_global_position(df: DataFrame, sizes: Sizes) -> DataFrame:
     """Add ``position`` and ``global_position``, the place among all rows by (session, time)."""
-    if not (sizes.fits_tasks and sizes.sessions <= sizes.rows_per_task):
+    if "global_position" in df.columns:
+        return df
+    if sizes.sessions > sizes.rows_per_task:
         return _placed_in_sessions(df, sizes)
     earlier = Window.orderBy("session_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -137,6 +147,21 @@ def over_rows(
     """
     if sizes.fits_tasks:
         return df.withColumns(columns(session_window()))
+    short, long = by_length(df, sizes)
+    return short.withColumns(columns(session_window())).unionByName(
+        _over_slices(long, sizes, columns, before, after).select(
+            *df.columns, *columns(session_window())
+        )
+    )
+
+
+def _over_slices(
+    df: DataFrame,
+    sizes: Sizes,
+    columns: Callable[[WindowSpec], dict[str, Column]],
+    before: int,
+    after: int,
+) -> DataFrame:
     step = max(sizes.rows_per_task, before, after, 1)
     own = F.floor(F.col("position") / step)
     place = F.col("position") % step
@@ -148,11 +173,7 @@ def over_rows(
     pieces = (
         with_position(df, sizes)
         .withColumn("_own", own)
-        .withColumn("_slice", F.explode(F.filter(slices, lambda s: s.isNotNull())))
+        .withColumn("_slice", F.explode(F.array_compact(slices)))
     )
     window = Window.partitionBy("session_id", "_slice").orderBy("position")
-    return (
-        pieces.withColumns(columns(window))
-        .where(F.col("_slice") == F.col("_own"))
-        .drop("_own", "_slice", "position")
-    )
+    return pieces.withColumns(columns(window)).where(F.col("_slice") == F.col("_own"))

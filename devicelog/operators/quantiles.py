@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from devicelog.operators.sizes import Sizes, long_sessions
+from devicelog.operators.sizes import Sizes, by_length
 from devicelog.session import written
 
 BINS = 4096
@@ -34,11 +34,7 @@ def quantiles(
         return _builtin(values, keys, probabilities)
     if "session_id" not in keys:
         return _narrowed(values, keys, probabilities)
-    long_ids = long_sessions(values.select("session_id"), sizes)
-    if sizes.rows // sizes.rows_per_task <= _BROADCAST_RANGES:
-        long_ids = F.broadcast(long_ids)
-    short = values.join(long_ids, "session_id", "left_anti")
-    long = values.join(long_ids, "session_id", "left_semi")
+    short, long = by_length(values, sizes)
     return _builtin(short, keys, probabilities).unionByName(_narrowed(long, keys, probabilities))
 
 

@@ -54,14 +54,18 @@ def measured(df: DataFrame, key: str = "session_id") -> Sizes:
     return Sizes(sessions=row[0], rows=row[1] or 0, longest=row[2] or 0)
 
 
-def long_sessions(df: DataFrame, sizes: Sizes) -> DataFrame:
-    """Ids of the sessions too long for one task: at most rows / rows_per_task of them."""
-    return (
+def by_length(df: DataFrame, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """The rows of sessions short enough for one task, and those of longer ones."""
+    ids = (
         df.groupBy("session_id")
         .count()
         .where(F.col("count") > sizes.rows_per_task)
         .select("session_id")
     )
+    # There are at most rows / rows_per_task of them.
+    if sizes.rows // sizes.rows_per_task * 8 <= sizes.broadcast_bytes:
+        ids = F.broadcast(ids)
+    return df.join(ids, "session_id", "left_anti"), df.join(ids, "session_id", "left_semi")
 
 
 def attached(

@@ -23,6 +23,7 @@ from devicelog.operators import (
     filters,
     summary,
 )
+from devicelog.operators.positions import with_global_position
 from devicelog.operators.sizes import Sizes
 from devicelog.plans import risk
 from devicelog.plans.load import load_raw
@@ -260,8 +261,8 @@ def _scored_levels(log: DataFrame) -> DataFrame:
 
 
 def _split(log: DataFrame, sizes: Sizes) -> DataFrame:
-    target = features.alarm_target(log, sizes)
-    return features.train_test_split(target, sizes)
+    placed = with_global_position(log, sizes)
+    return features.train_test_split(features.alarm_target(placed, sizes), sizes)
 
 
 SAMPLE = filters.SAMPLE
