@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelog.functions.figures import count_if
@@ -12,82 +12,108 @@ from devicelog.operators.filters import readings
 from devicelog.operators.quantiles import quantiles
 from devicelog.operators.sizes import Sizes, attached, measured
 from devicelog.schema import HISTOGRAM_BINS, LIMIT_PAIRS, MEASUREMENTS
+from devicelog.session import written
 
 GROUP = ["session_id", "parameter"]
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
+def _with_figures(log: DataFrame, per_session: DataFrame, names: list[str], sizes: Sizes, ids: list[str]) -> DataFrame:
+    """Readings beside figures of their session and parameter.
+
+    ``per_session`` has one row per session with columns such as ``lo_flow_rate_lpm``.
+    The join is made on whole samples, before they are taken apart into readings.
+    """
+    row_bytes = 16 + 8 * len(names) * len(MEASUREMENTS)
+    joined = attached(log.select(*ids, *MEASUREMENTS), per_session, sizes, row_bytes=row_bytes)
+    entries = ", ".join(
+        f"IF({c} IS NULL, NULL, struct('{c}' AS parameter, {c} AS value, "
+        + ", ".join(f"{n}_{c} AS {n}" for n in names)
+        + "))"
+        for c in MEASUREMENTS
+    )
+    return joined.selectExpr(*ids, f"inline(array_compact(array({entries})))")
+
+
 def histogram(log: DataFrame, sizes: Sizes | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts per bin of each session and parameter, with the mean to mark.
 
     Bins have equal width between the smallest and largest value; equal values make one bin.
     """
     sizes = sizes or measured(log)
-    values = readings(log)
-    span = values.groupBy(*GROUP).agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean")
+    kinds = {"lo": "min", "hi": "max", "mean": "avg"}
+    span = log.groupBy("session_id").agg(
+        *[F.expr(f"{f}({c}) AS {n}_{c}") for c in MEASUREMENTS for n, f in kinds.items()]
     )
-    width = (F.col("hi") - F.col("lo")) / bins
-    step = F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.lit(bins), F.floor((F.col("value") - F.col("lo")) / width) + 1),
-    ).otherwise(1)
-    counts = (
-        attached(values, span, sizes, on=GROUP, row_bytes=80, rows_per_session=len(MEASUREMENTS))
-        .groupBy(*GROUP, step.cast("int").alias("bin"), "lo", "hi", "mean")
+    width = f"((hi - lo) / {bins})"
+    step = f"IF(hi > lo, least({bins}, floor((value - lo) / {width}) + 1), 1)"
+    return (
+        _with_figures(log, span, list(kinds), sizes, ["session_id"])
+        .selectExpr(*GROUP, f"CAST({step} AS INT) AS bin", *kinds)
+        .groupBy(*GROUP, "bin", *kinds)
         .agg(F.count(F.lit(1)).alias("readings"))
-    )
-    return counts.select(
-        *GROUP,
-        "bin",
-        (F.col("lo") + (F.col("bin") - 1) * width).alias("bin_start"),
-        (F.col("lo") + F.col("bin") * width).alias("bin_end"),
-        "readings",
-        "mean",
+        .selectExpr(
+            *GROUP,
+            "bin",
+            f"lo + (bin - 1) * {width} AS bin_start",
+            f"lo + bin * {width} AS bin_end",
+            "readings",
+            "mean",
+        )
     )
 
 
 def quartiles(log: DataFrame, sizes: Sizes) -> DataFrame:
-    return quantiles(readings(log), GROUP, QUARTILES, sizes)
+    """Quartiles and fences (1.5 quartile distances outside) per session and parameter."""
+    return quantiles(readings(log), GROUP, QUARTILES, sizes).selectExpr(
+        *GROUP,
+        "n AS readings",
+        *QUARTILES,
+        "q1 - 1.5D * (q3 - q1) AS low_fence",
+        "q3 + 1.5D * (q3 - q1) AS high_fence",
+    )
 
 
-def _with_fences(log: DataFrame, sizes: Sizes) -> DataFrame:
-    spread = F.col("q3") - F.col("q1")
-    fences = quartiles(log, sizes).withColumns(
-        {"low_fence": F.col("q1") - 1.5 * spread, "high_fence": F.col("q3") + 1.5 * spread}
-    )
-    values = readings(log, ids=["session_id", "row_ordinal", "timestamp"])
-    return attached(
-        values, fences, sizes, on=GROUP, row_bytes=100, rows_per_session=len(MEASUREMENTS)
-    )
+_INSIDE = "value BETWEEN low_fence AND high_fence"
 
 
-def _inside() -> Column:
-    return F.col("value").between(F.col("low_fence"), F.col("high_fence"))
+def _with_fences(log: DataFrame, found: DataFrame, sizes: Sizes, ids: list[str]) -> DataFrame:
+    names = ["low_fence", "high_fence"]
+    per_session = found.groupBy("session_id").agg(
+        *[
+            F.expr(f"max({n}) FILTER (WHERE parameter = '{c}') AS {n}_{c}")
+            for c in MEASUREMENTS
+            for n in names
+        ]
+    )
+    return _with_figures(log, per_session, names, sizes, ids)
 
 
 def box_stats(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Quartiles, whiskers and number of outliers per session and parameter."""
     sizes = sizes or measured(log)
-    return (
-        _with_fences(log, sizes)
-        .groupBy(*GROUP, "n", *QUARTILES, "low_fence", "high_fence")
+    # Read twice, and the dearest part.
+    found = written(quartiles(log, sizes))
+    whiskers = (
+        _with_fences(log, found, sizes, ["session_id"])
+        .groupBy(*GROUP)
         .agg(
-            F.min(F.when(_inside(), F.col("value"))).alias("whisker_low"),
-            F.max(F.when(_inside(), F.col("value"))).alias("whisker_high"),
-            F.count(F.when(~_inside(), 1)).alias("outliers"),
+            F.expr(f"min(value) FILTER (WHERE {_INSIDE}) AS whisker_low"),
+            F.expr(f"max(value) FILTER (WHERE {_INSIDE}) AS whisker_high"),
+            F.expr(f"count_if(NOT {_INSIDE}) AS outliers"),
         )
-        .withColumnRenamed("n", "readings")
     )
+    return found.join(whiskers, GROUP)
 
 
 def box_outliers(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Every reading outside its session's fences."""
     sizes = sizes or measured(log)
+    ids = ["session_id", "row_ordinal", "timestamp"]
     return (
-        _with_fences(log, sizes)
-        .where(~_inside())
-        .select("session_id", "row_ordinal", "timestamp", "parameter", "value")
+        _with_fences(log, quartiles(log, sizes), sizes, ids)
+        .where(f"NOT {_INSIDE}")
+        .select(*ids, "parameter", "value")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,9 @@ class Sizes:
         """Every session is short enough to be sorted or merged by one task."""
         return self.longest <= self.rows_per_task
 
-    def fits_broadcast(self, row_bytes: int, rows_per_session: int = 1) -> bool:
-        return self.sessions * rows_per_session * row_bytes <= self.broadcast_bytes
+    def fits_broadcast(self, row_bytes: int) -> bool:
+        """A table with one row of this size per session is small enough to broadcast."""
+        return self.sessions * row_bytes <= self.broadcast_bytes
 
     def with_limits(self, rows_per_task: int, broadcast_bytes: int | None = None) -> Sizes:
         return replace(
@@ -75,13 +76,12 @@ def attached(
     on: list[str] | str = "session_id",
     how: str = "inner",
     row_bytes: int = 256,
-    rows_per_session: int = 1,
 ) -> DataFrame:
-    """Join a table with a few rows per session back to the rows.
+    """Join a table with one row per session back to the rows.
 
     It is broadcast when its size is proven small. Otherwise the plain join
     shuffles, and the adaptive skew join splits the partitions of long sessions.
     """
-    if sizes.fits_broadcast(row_bytes, rows_per_session):
+    if sizes.fits_broadcast(row_bytes):
         per_session = F.broadcast(per_session)
     return rows.join(per_session, on, how)

@@ -87,6 +87,12 @@ def loaded(spark: SparkSession, folder: str) -> Loaded:
     return _loaded[key]
 
 
+def forget() -> None:
+    """Fill the store and fit the models anew at the next query."""
+    _loaded.clear()
+    _models.clear()
+
+
 def _from_log(query: Callable[[DataFrame, Sizes], DataFrame]) -> Query:
     """A query on the stored measurements of all sessions."""
 
