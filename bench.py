@@ -47,7 +47,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]",
         shuffle_partitions=int(cpus),
-        **{"spark.driver.memory": "8g", "spark.python.sql.dataFrameDebugging.enabled": "false"},
+        **{"spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.queries()

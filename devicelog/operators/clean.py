@@ -48,12 +48,6 @@ def map_columns(
     )
 
 
-def unmapped_columns(
-    df: DataFrame, keys: list[str] = KEYS, column_map: dict[str, str] = COLUMN_MAP
-) -> list[str]:
-    return [c.strip() for c in df.columns if c not in keys and c.strip() not in column_map]
-
-
 def elect_formats(raw: DataFrame) -> DataFrame:
     """One row per session: the timestamp format that fits its whole file."""
     votes = timestamps.election("timestamp", "fits", "row_ordinal")
@@ -105,10 +99,3 @@ def deduplicated(typed_log: DataFrame) -> DataFrame:
 def clean(raw: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """The clean log: typed and without exact duplicates."""
     return deduplicated(typed(raw, sizes))
-
-
-def first_timestamp(raw: DataFrame) -> DataFrame:
-    """The raw text of each file's first filled timestamp."""
-    filled = raw.where(f"NOT {timestamps.is_blank('timestamp')}")
-    first = filled.groupBy("session_id").agg(F.min("row_ordinal").alias("row_ordinal"))
-    return filled.join(first, KEYS).select(*KEYS, "timestamp")

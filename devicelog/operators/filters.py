@@ -25,10 +25,6 @@ def alarms_only(log: DataFrame) -> DataFrame:
     return log.where(F.col("alarm_active"))
 
 
-def one_session(df: DataFrame, session_id: int) -> DataFrame:
-    return df.where(F.col("session_id") == session_id)
-
-
 def long_values(
     log: DataFrame, parameters: list[str] = MEASUREMENTS, ids: list[str] | None = None
 ) -> DataFrame:
