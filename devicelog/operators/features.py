@@ -18,6 +18,10 @@ FEATURES = [
 ]
 
 
+# What features, target and split are made from.
+INPUTS = ["session_id", "row_ordinal", "timestamp", "alarm_active", *MEASUREMENTS]
+
+
 def pressure_flow_ratio() -> Column:
     """Pressure difference over flow, 0 where unknown, kept within -50..50."""
     ratio = F.col("pressure_delta_mmhg") / F.nullif(F.col("flow_rate_lpm"), F.lit(0.0))

@@ -267,7 +267,7 @@ def _scored_levels(log: DataFrame) -> DataFrame:
 
 
 def _split(log: DataFrame, sizes: Sizes) -> DataFrame:
-    placed = with_global_position(log, sizes)
+    placed = with_global_position(log.select(*features.INPUTS), sizes)
     return features.train_test_split(features.alarm_target(placed, sizes), sizes)
 
 
@@ -419,7 +419,9 @@ def queries() -> dict[str, Query]:
         # features
         "rolling_features": _from_log(
             lambda log, sizes: to_digits(
-                features.features(log, sizes).select("session_id", "row_ordinal", *features.FEATURES)
+                features.features(log.select(*features.INPUTS), sizes).select(
+                    "session_id", "row_ordinal", *features.FEATURES
+                )
             )
         ),
         "pressure_flow_ratio": _from_log(
@@ -430,17 +432,17 @@ def queries() -> dict[str, Query]:
             )
         ),
         "alarm_target": _from_log(
-            lambda log, sizes: features.alarm_target(log, sizes).select(
+            lambda log, sizes: features.alarm_target(log.select(*features.INPUTS), sizes).select(
                 "session_id", "row_ordinal", "alarm_future"
             )
         ),
         "alarm_target_next": _from_log(
-            lambda log, sizes: features.alarm_target(log, sizes, coded=False).select(
+            lambda log, sizes: features.alarm_target(log.select(*features.INPUTS), sizes, coded=False).select(
                 "session_id", "row_ordinal", "alarm_future"
             )
         ),
         "train_test_split": _from_log(
-            lambda log, sizes: features.train_test_split(log, sizes).select(
+            lambda log, sizes: features.train_test_split(log.select(*features.INPUTS), sizes).select(
                 "session_id", "row_ordinal", "position", "global_position", "split"
             )
         ),

@@ -42,7 +42,8 @@ def load_files(
         spark, names, files, column_map, store.last_session_id() + 1
     )
     rows, sizes = load_raw(
-        raw,
+        # The text is parsed once; sizes, formats and types are read from columns.
+        written(raw),
         numbered_files,
         store,
         store.last_load_id() + 1 if load_id is None else load_id,
