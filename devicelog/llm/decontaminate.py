@@ -176,7 +176,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """The documents without a window of the benchmark; columns and order of columns stay."""
-    found = written(exact_matches(docs, benchmark, length).select("doc_id", "h"))
-    key = F.xxhash64(F.col("text").cast("string"))
-    on = docs.doc_id.cast("long").eqNullSafe(found.doc_id) & (key == found.h)
+    found = exact_matches(docs, benchmark, length).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("hit_h"))
     return docs.join(measured(found, "40"), on, "left_anti")
