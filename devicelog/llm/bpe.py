@@ -34,7 +34,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
