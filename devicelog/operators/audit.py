@@ -14,9 +14,6 @@ from devicelog.functions.figures import lookup
 from devicelog.operators.clean import RAW, copies
 from devicelog.schema import CANONICAL, DISPLAY_LABELS, LIMITS, MEASUREMENTS, SENTINELS
 
-# Longer lists are left to the long tables; the JSON then says how many there are.
-LISTED_IN_JSON = 1000
-
 AUDIT_JSON_SCHEMA = """
     timestamp STRUCT<status: STRING, unparseable_rows: BIGINT, sorted: BOOLEAN>,
     measurements MAP<STRING, STRUCT<sentinel_count: BIGINT,
@@ -204,15 +201,11 @@ def missing_readings(typed_log: DataFrame) -> DataFrame:
 
 
 def _map_of(entries: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Maps with at most LISTED_IN_JSON keys per session; sessions with more get none."""
-    few = (
-        entries.groupBy("session_id").count().where(f"count <= {LISTED_IN_JSON}").select("session_id")
-    )
+    """One map per session with all of its keys, which are grouped already."""
     by_key = "(p, q) -> CASE WHEN p.key < q.key THEN -1 WHEN p.key > q.key THEN 1 ELSE 0 END"
     pairs = f"collect_list(struct({key} AS key, {value} AS value))"
     return (
-        entries.join(few, "session_id", "left_semi")
-        .groupBy("session_id")
+        entries.groupBy("session_id")
         .agg(F.expr(f"map_from_entries(array_sort({pairs}, {by_key})) AS {name}"))
     )
 

@@ -35,7 +35,7 @@ def load_files(
     use_utc(spark)
     files = written(csv_files.new_files(csv_files.list_files(spark, paths), store.sessions()))
     # File names only: Spark lists the same names on the driver to read them.
-    names = [row.source_file for row in files.select("source_file").toLocalIterator()]
+    names = [csv_files.as_path(row.source_file) for row in files.select("source_file").toLocalIterator()]
     if not names:
         return Loaded(0, None)
     raw, numbered_files, headers = csv_files.read_sessions(

@@ -143,7 +143,6 @@ ALARM_CATEGORY_LABELS = {
 }
 ALARM_LOG_LABELS = {"overall": "General", "bubble": "Bubble / Air", "technical": "Technical"}
 
-MAX_COMPARED = 5
 MAX_TRAINING_SESSIONS = 5
 HISTOGRAM_BINS = 30
 ROLLING_ROWS = 10

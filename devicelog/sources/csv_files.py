@@ -7,6 +7,9 @@ never move between columns when files order or name them differently.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,15 @@ _BYTES_PER_FILE = 2048
 _INDEX_MASK = (1 << 33) - 1
 
 
+#: Any case of the ending.
+CSV_FILES = "*.[cC][sS][vV]"
+
+
+def as_path(source_file: str) -> str:
+    """A path to read a listed file by: names arrive URL-encoded, and glob characters stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(source_file))
+
+
 def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: ``source_file``, ``filename``, ``length``. Contents are not read.
 
@@ -30,7 +42,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .load(paths)
         .select(
             F.col("_metadata.file_path").alias("source_file"),
@@ -73,7 +85,7 @@ def read_headers(
     """One row per file: its column names and the 1-based place of each canonical column."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .text(paths)
         .select(
             F.col("_metadata.file_path").alias("source_file"),
@@ -118,7 +130,7 @@ def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -
         .option("header", "true")
         .option("escape", '"')
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .csv(paths)
         .selectExpr(
             f"array({cells}) AS cells",

@@ -114,8 +114,30 @@ class Store:
         return Sizes(sessions=row[0], rows=row[1] or 0, longest=row[2] or 0)
 
     def last_load_id(self) -> int:
+        """The largest load id that sessions have or that a batch was given."""
         found = self._read("sessions", SESSIONS_SCHEMA).agg(F.max("load_id")).first()[0]
-        return -1 if found is None else found
+        given = self._batches().agg(F.max("load")).first()[0]
+        return max(-1 if found is None else found, -1 if given is None else given)
+
+    def _batches(self) -> DataFrame:
+        schema = "source STRING, batch LONG, load LONG"
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/batches")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def load_of_batch(self, source: str, batch_id: int) -> int:
+        """The load id of a stream's batch: the one it was given before, else a new one."""
+        known = self._batches().where((F.col("source") == source) & (F.col("batch") == batch_id))
+        row = known.select(F.min("load")).first()
+        if row[0] is not None:
+            return row[0]
+        load = self.last_load_id() + 1
+        given = self.spark.createDataFrame([(source, batch_id, load)], "source STRING, batch LONG, load LONG")
+        given.write.mode("append").parquet(f"{self.folder}/batches")
+        return load
 
     def last_session_id(self) -> int:
         return self.sessions().agg(F.max("session_id")).first()[0] or 0

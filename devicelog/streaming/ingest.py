@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from devicelog.plans.load import load_files
+from devicelog.sources.csv_files import CSV_FILES, as_path
 from devicelog.sources.store import Store
 
 FILES_PER_BATCH = 1000
@@ -32,15 +33,16 @@ def stream_ingest(
     """Load all files not seen before, in micro-batches, then stop.
 
     The stream carries file names, not contents: a format is elected per whole
-    file, so each batch reads its files through the batch loader. The batch id
-    is the load id, so a batch that is run again replaces what it had written.
+    file, so each batch reads its files through the batch loader. The store
+    notes which load a batch of this checkpoint is, so a batch that is run again
+    replaces what it had written itself, and nothing else.
     """
     store = Store(spark, store_folder)
     names = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", CSV_FILES)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select(F.col("_metadata.file_path").alias("source_file"))
@@ -48,9 +50,9 @@ def stream_ingest(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         # At most files_per_batch names.
-        paths = [row.source_file for row in batch.collect()]
+        paths = [as_path(row.source_file) for row in batch.collect()]
         if paths:
-            load_files(spark, paths, store, load_id=batch_id)
+            load_files(spark, paths, store, load_id=store.load_of_batch(checkpoint, batch_id))
 
     return (
         names.writeStream.foreachBatch(load)

@@ -135,3 +135,33 @@ def test_stream_loads_each_file_once(spark, write_csv, folder):
     assert sorted(r.session_id for r in store.sessions().collect()) == [1, 2, 3]
     assert store.measurements().count() == 4
     assert run().measurements().count() == 4
+
+
+def one_file(write_csv, name, case, sub):
+    return write_csv(name, A + f"2026-01-01 00:00:00,{case},2.5,Alarm\n2026-01-01 00:00:01,{case},2.6,\n", sub=sub)
+
+
+def test_a_stream_leaves_earlier_loads_alone(spark, write_csv, folder):
+    store = Store(spark, f"{folder}/store")
+    load_files(spark, one_file(write_csv, "h.csv", 1, "one"), store)
+    for name, sub in (("l.csv", "two"), ("m.csv", "three")):
+        source = one_file(write_csv, name, name, sub)
+        stream_ingest(spark, source, f"{folder}/store", f"{folder}/progress-{sub}").awaitTermination()
+    load_files(spark, one_file(write_csv, "n.csv", 4, "four"), store)
+    assert sorted(r.filename for r in store.sessions().collect()) == ["h.csv", "l.csv", "m.csv", "n.csv"]
+    assert store.measurements().count() == 8
+
+
+def test_a_batch_keeps_its_load(spark, folder):
+    store = Store(spark, f"{folder}/store")
+    assert [store.load_of_batch("a", 0), store.load_of_batch("b", 0), store.load_of_batch("a", 1)] == [0, 1, 2]
+    assert (store.load_of_batch("a", 0), store.load_of_batch("b", 0), store.last_load_id()) == (0, 1, 2)
+
+
+def test_names_with_blanks_brackets_and_capitals(spark, write_csv, folder):
+    names = ["log (1).csv", "log[2].csv", "a 50%.csv", "{x},*.CSV"]
+    for i, name in enumerate(names):
+        source = one_file(write_csv, name, i, "in")
+    store = Store(spark, f"{folder}/store")
+    assert load_files(spark, source, store).sessions == 4
+    assert store.measurements().count() == 8
