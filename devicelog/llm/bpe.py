@@ -34,7 +34,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 130_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
@@ -142,7 +142,7 @@ class Transducer:
 
 
 class StreamDecoder:
-    """Text of ids that arrive bit by bit.
+    """Bytes and text of ids that arrive bit by bit.
 
     The state is the beginning of a character whose last bytes are still to come,
     at most three bytes. Bytes that are no UTF-8 become U+FFFD, the same ones as
@@ -150,7 +150,10 @@ class StreamDecoder:
     """
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self._bytes_of = bytes_of
+        tokens = [bytes_of.get(i, b"") for i in range(max(bytes_of, default=-1) + 1)]
+        self._flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self._sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self._held = b""
 
     @staticmethod
@@ -165,15 +168,26 @@ class StreamDecoder:
                 return 0
         return 0
 
-    def feed(self, ids: list[int]) -> str:
-        data = self._held + b"".join(map(self._bytes_of.__getitem__, ids))
+    def take(self, ids: np.ndarray | list[int]) -> bytes:
+        """The bytes of the characters that are complete now."""
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        data = self._held + self._flat[places].tobytes()
         cut = len(data) - self.unfinished(data)
         self._held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return data[:cut]
 
-    def end(self) -> str:
+    def rest(self) -> bytes:
         rest, self._held = self._held, b""
-        return rest.decode("utf-8", "replace")
+        return rest
+
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        return self.take(ids).decode("utf-8", "replace")
+
+    def end(self) -> str:
+        return self.rest().decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
@@ -216,33 +230,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
     return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": name for i, name in enumerate(carry or [])})
 
 
-def decode(encoded: DataFrame, ranks_path: str, chunk: int = 4096) -> DataFrame:
-    """``encoded`` with ``text`` and ``decoded_sha256`` (of the decoded bytes) instead of ``ids``, and ``ids_sha256``."""
+def decode(encoded: DataFrame, ranks_path: str, chunk: int = 65_536, with_text: bool = True) -> DataFrame:
+    """``encoded`` with ``ids_sha256`` and ``decoded_sha256`` (of the decoded bytes) instead of ``ids``, and ``text``
+    unless only the digests are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = {rank: token for token, rank in load_ranks(ranks_path).items()}
+        stream = StreamDecoder({rank: token for token, rank in load_ranks(ranks_path).items()})
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts, decoded, digests = [], [], []
                 for raw in batch.column(place).to_pylist():
-                    ids = np.frombuffer(raw, dtype="<u4").tolist()
-                    stream, parts = StreamDecoder(bytes_of), []
-                    digest = hashlib.sha256()
+                    ids, parts, digest = np.frombuffer(raw, dtype="<u4"), [], hashlib.sha256()
                     for k in range(0, len(ids), chunk):
-                        some = ids[k : k + chunk]
-                        parts.append(stream.feed(some))
-                        digest.update(b"".join(map(bytes_of.__getitem__, some)))
-                    parts.append(stream.end())
-                    texts.append("".join(parts))
+                        parts.append(stream.take(ids[k : k + chunk]))
+                        digest.update(parts[-1])
+                    parts.append(stream.rest())
+                    digest.update(parts[-1])
+                    if with_text:
+                        texts.append("".join([p.decode("utf-8", "replace") for p in parts]))
                     decoded.append(digest.hexdigest())
                     digests.append(hashlib.sha256(raw).hexdigest())
-                kept = [c for k, c in enumerate(batch.columns) if k != place]
-                columns = [*kept, pa.array(texts, pa.string()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [c for k, c in enumerate(batch.columns) if k != place]
+                columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if with_text else [])], names=names)
 
     place = encoded.columns.index("ids")
     kept = [f for f in encoded.schema.fields if f.name != "ids"]
-    names = [f.name for f in kept] + ["text", "ids_sha256", "decoded_sha256"]
+    names = [f.name for f in kept] + ["ids_sha256", "decoded_sha256"] + ["text"] * with_text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return encoded.mapInArrow(run, schema + ", text string, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, schema + ", ids_sha256 string, decoded_sha256 string" + ", text string" * with_text)

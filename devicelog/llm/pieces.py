@@ -30,7 +30,7 @@ class Encoder:
         self,
         encode_words: Callable[[list[str]], list[bytes]],
         encode: Callable[[list[str]], list[bytes]],
-        limit: int = 300_000,
+        limit: int = 400_000,
     ):
         self._encode_words, self._encode, self._limit = encode_words, encode, limit
         #: Ids of a blank and a part; None if the part ends in white space, so that no cut may follow it.

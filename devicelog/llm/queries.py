@@ -72,7 +72,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.decode(encoded, ranks, with_text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
