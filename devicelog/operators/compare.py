@@ -60,3 +60,11 @@ def progress(log: DataFrame, sizes: Sizes | None = None) -> DataFrame:
         f"{elapsed} AS elapsed_minutes",
         f"{elapsed} / nullif({length}, 0.0D) * 100 AS progress_pct",
     )
+
+
+def alarms_per_file(alarm_events: DataFrame, sessions: DataFrame, sizes: Sizes) -> DataFrame:
+    """Alarms by file, type and value; counted per session before the names of files are joined."""
+    kinds = ["alarm_type", "alarm_value"]
+    counts = alarm_events.groupBy("session_id", *kinds).agg(F.count(F.lit(1)).alias("events"))
+    named = attached(counts, sessions.select("session_id", "filename"), sizes)
+    return named.groupBy("filename", *kinds).agg(F.sum("events").alias("events"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.functions.figures import count_if, lookup, percent, rounded
-from devicelog.operators.filters import long_values
 from devicelog.operators.sizes import Sizes, attached
 from devicelog.schema import DISPLAY_LABELS, MEASUREMENTS, TREND_PARAMETERS
 
@@ -55,17 +54,16 @@ def session_cases(log: DataFrame) -> DataFrame:
 
 def parameter_stats(log: DataFrame) -> DataFrame:
     """Mean, extremes, spread and coverage per session and parameter with readings."""
+    # Samples are aggregated as they are; only the figures are taken apart, eight rows a session.
+    figures = ", ".join(
+        f"struct('{c}' AS parameter, avg({c}) AS mean, min({c}) AS min, max({c}) AS max, "
+        f"stddev_samp({c}) AS std_dev, 100.0D * count({c}) / count(1) AS coverage_pct, count({c}) AS readings)"
+        for c in MEASUREMENTS
+    )
     return (
-        long_values(log)
-        .groupBy("session_id", "parameter")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.stddev_samp("value").alias("std_dev"),
-            percent(F.count("value"), F.count(F.lit(1))).alias("coverage_pct"),
-            F.count("value").alias("readings"),
-        )
+        log.groupBy("session_id")
+        .agg(F.expr(f"array({figures}) AS figures"))
+        .selectExpr("session_id", "inline(figures)")
         .where("readings > 0")
         .withColumn("label", lookup(F.col("parameter"), DISPLAY_LABELS))
     )

@@ -170,12 +170,7 @@ def ingest_raw(spark: SparkSession, folder: str) -> DataFrame:
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
     target = _exported(spark, folder)
     raw, files, headers = csv_files.read_sessions(spark, target)
-    counts = (
-        raw.groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .join(files, "session_id")
-        .select("source_file", "rows")
-    )
+    counts = csv_files.row_counts(raw, files)
     report = csv_files.load_report(files.drop("session_id"), headers, counts)
     return report.groupBy("code", "message").agg(F.count(F.lit(1)).alias("files"))
 
@@ -361,11 +356,10 @@ def queries() -> dict[str, Query]:
             loaded(spark, folder).store.sessions(),
             loaded(spark, folder).sizes,
         ),
-        "session_alarm_join": _from_store(
-            lambda s: s.alarm_events()
-            .join(s.sessions().select("session_id", "filename"), "session_id")
-            .groupBy("filename", "alarm_type", "alarm_value")
-            .agg(F.count(F.lit(1)).alias("events"))
+        "session_alarm_join": lambda spark, folder: compare.alarms_per_file(
+            loaded(spark, folder).store.alarm_events(),
+            loaded(spark, folder).store.sessions(),
+            loaded(spark, folder).sizes,
         ),
         # summaries
         "session_summary": _from_log(
@@ -395,6 +389,16 @@ def queries() -> dict[str, Query]:
         ),
         "case_header": _from_log(lambda log, sizes: to_digits(summary.case_header(log))),
         "case_positions": _from_store(lambda s: compare.case_positions(s.sessions())),
+        # figures as shown
+        "session_summary_display": _from_log(
+            lambda log, sizes: summary.session_summary(log).drop("alarm_rate_pct")
+        ),
+        "compare_summary_display": lambda spark, folder: summary.compared(
+            loaded(spark, folder).store.measurements(),
+            loaded(spark, folder).store.sessions(),
+            loaded(spark, folder).sizes,
+        ).drop("alarm_rate_pct"),
+        "cohort_stats_display": _from_log(lambda log, sizes: distribution.cohort_stats(log, sizes)),
         # distributions
         "cohort_stats": _from_log(
             lambda log, sizes: to_digits(distribution.cohort_stats(log, sizes, display=False))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from devicelog.operators.audit import audit_json
 from devicelog.operators.clean import deduplicated, typed
@@ -19,7 +18,7 @@ from devicelog.sources.store import Store, build_sessions
 @dataclass(frozen=True)
 class Loaded:
     sessions: int
-    report: DataFrame | None
+    report: DataFrame
 
 
 def load_files(
@@ -31,34 +30,31 @@ def load_files(
     device_type: str = "unknown",
     center_id: str = "unknown",
 ) -> Loaded:
-    """Load each file whose name the store does not know yet."""
+    """Load each file whose name the store does not know yet; the report names the others."""
     use_utc(spark)
-    files = written(csv_files.new_files(csv_files.list_files(spark, paths), store.sessions()))
+    listed = csv_files.list_files(spark, paths)
+    files = written(csv_files.new_files(listed, store.sessions()))
+    skipped = csv_files.skipped_report(listed.join(files.select("source_file"), "source_file", "left_anti"))
     # File names only: Spark lists the same names on the driver to read them.
     names = [csv_files.as_path(row.source_file) for row in files.select("source_file").toLocalIterator()]
     if not names:
-        return Loaded(0, None)
+        return Loaded(0, skipped)
     raw, numbered_files, headers = csv_files.read_sessions(
         spark, names, files, column_map, store.last_session_id() + 1
     )
-    rows, sizes = load_raw(
-        # The text is parsed once; sizes, formats and types are read from columns.
-        written(raw),
+    # The text is parsed once; sizes, formats and types are read from columns.
+    raw = written(raw)
+    _, sizes = load_raw(
+        raw,
         numbered_files,
         store,
         store.last_load_id() + 1 if load_id is None else load_id,
         device_type=device_type,
         center_id=center_id,
     )
-    counts = (
-        rows.groupBy("session_id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .join(numbered_files, "session_id")
-        .select("source_file", "rows")
-    )
-    return Loaded(
-        sizes.sessions, csv_files.load_report(numbered_files.drop("session_id"), headers, counts)
-    )
+    counts = csv_files.row_counts(raw, numbered_files)
+    found = csv_files.load_report(numbered_files.drop("session_id"), headers, counts)
+    return Loaded(sizes.sessions, found.unionByName(skipped))
 
 
 def load_raw(

@@ -214,6 +214,11 @@ _SUMMARY = ", ".join(
     for c in MEASUREMENTS
     for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))
 )
+_SUMMARY_SHOWN = ", ".join(
+    f"round_even({f}({c}), 2) AS {c}_{n}"
+    for c in MEASUREMENTS
+    for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))
+)
 _TOTALS = """
 totals AS (
   SELECT session_id, count(*) AS total_records, min(timestamp) AS time_start, max(timestamp) AS time_end,
@@ -516,6 +521,27 @@ def oracle_sql() -> dict[str, str]:
             "count(*) OVER () AS cases FROM sessions",
             _SESSIONS,
         ),
+        "session_summary_display": _sql(
+            "SELECT session_id, count(*) AS total_records, min(timestamp) AS time_start, max(timestamp) AS time_end, "
+            f"round_even({_minutes('min(timestamp)', 'max(timestamp)')}, 1) AS duration_minutes, "
+            f"count(*) FILTER (alarm_active) AS alarm_events, {_SUMMARY_SHOWN} FROM log GROUP BY session_id"
+        ),
+        "compare_summary_display": _sql(
+            f"SELECT session_id, round_even({_minutes('t.time_start', 't.time_end')}, 1) AS duration_minutes, "
+            "total_records, alarm_events, "
+            + ", ".join(f"m.{c}_mean" for c in TREND_PARAMETERS)
+            + ", 'Case ' || s.case_id AS \"case\", s.filename FROM totals t JOIN sessions s USING (session_id) "
+            f"JOIN (SELECT session_id, {_SUMMARY_SHOWN} FROM log GROUP BY session_id) m USING (session_id)",
+            _SESSIONS,
+            _TOTALS,
+        ),
+        "cohort_stats_display": _sql(
+            "SELECT parameter, round_even(quantile_cont(value, 0.5), 2) AS median, "
+            "round_even(quantile_cont(value, 0.25), 1) AS q1, round_even(quantile_cont(value, 0.75), 1) AS q3, "
+            "round_even(min(value), 2) AS min, round_even(max(value), 2) AS max, count(*) AS readings "
+            "FROM long WHERE value IS NOT NULL GROUP BY parameter",
+            _LONG,
+        ),
         "cohort_stats": _sql(
             "SELECT parameter, round(quantile_cont(value, 0.5) + 1e-9, 6) AS median, "
             "round(quantile_cont(value, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(value, 0.75) + 1e-9, 6) AS q3, "

@@ -100,6 +100,17 @@ GUESSED_FORMATS = [
     "d/M/yyyy H:m",
     "d/M/yyyy",
     "yyyyMMddHHmmss",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSS'Z'",
+    "yyyy-M-d'T'H:m:s'Z'",
+    "yyyy/M/d H:m:s.SSSSSSSSS",
+    "yyyy/M/d H:m",
+    "yyyy/M/d",
+    "d.M.yyyy H:m:s",
+    "d.M.yyyy H:m",
+    "d.M.yyyy",
+    "d-M-yyyy H:m:s",
+    "d-M-yyyy H:m",
+    "d-M-yyyy",
 ]
 
 DISPLAY_LABELS = {

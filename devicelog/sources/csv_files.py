@@ -120,9 +120,11 @@ def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -
     """The raw rows of all files: ``source_file``, ``row_ordinal``, canonical cells, ``extra``.
 
     A cell is NULL only where its file lacks the column; blank cells are ``''``.
+    ``wide`` marks rows with a filled cell beyond their file's header.
     """
     size = headers.agg(F.max(F.size("names")), F.count(F.lit(1))).first()
-    width, n_files = size[0] or 1, size[1]
+    # One place more than the widest header shows rows that are wider still.
+    width, n_files = (size[0] or 1) + 1, size[1]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     cells = ", ".join(f"coalesce({stripped(f'c{i}')}, '')" for i in range(width))
     rows = (
@@ -148,6 +150,24 @@ def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -
         "row_ordinal",
         *[f"try_element_at(cells, places.{c}) AS {c}" for c in CANONICAL],
         f"IF(size(unmapped) > 0, {extra}, NULL) AS extra",
+        "exists(slice(cells, size(names) + 1, size(cells)), c -> c <> '') AS wide",
+    )
+
+
+def row_counts(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows and too wide rows per ``source_file``."""
+    counts = raw.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("wide").alias("wide_rows"))
+    return counts.join(files, "session_id").select("source_file", "rows", "wide_rows")
+
+
+def skipped_report(skipped: DataFrame) -> DataFrame:
+    """A finding for each file that is not loaded because its name is known."""
+    return skipped.select(
+        "source_file",
+        "filename",
+        F.lit("NAME_KNOWN").alias("code"),
+        F.lit("Not loaded: a file of this name is in the store or in this load.").alias("message"),
+        F.array().cast("array<string>").alias("columns"),
     )
 
 
@@ -178,7 +198,7 @@ def read_sessions(
 def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) -> DataFrame:
     """Findings per file: code, message and the columns concerned.
 
-    ``row_counts`` has the rows read per ``source_file``.
+    ``row_counts`` has the rows read and the too wide ones per ``source_file``.
     """
     joined = files.join(headers, "source_file", "left").join(row_counts, "source_file", "left")
 
@@ -200,6 +220,12 @@ def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) ->
             F.lit("The file has no rows below its header."),
             none,
         ),
+        finding(
+            F.col("wide_rows") > 0,
+            "WIDE_ROWS",
+            F.concat(F.col("wide_rows").cast("string"), F.lit(" rows have cells beyond the header; those cells are not loaded.")),
+            none,
+        ),
         finding(
             F.size("unmapped") > 0,
             "UNRECOGNISED_COLUMNS",
@@ -209,13 +235,13 @@ def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) ->
         finding(
             readable & F.col("places.timestamp").isNull(),
             "NO_TIMESTAMP",
-            F.lit("No 'Timestamp' column found. Time-series plots will be unavailable."),
+            F.lit("The header names no timestamp; reports over time leave this file out."),
             none,
         ),
         finding(
             readable & F.col("places.case_id").isNull(),
             "NO_CASE_ID",
-            F.lit(f"No 'Case Number' column found. Defaulting case_id to '{UNKNOWN_CASE}'."),
+            F.lit(f"The header names no case; every row gets the case id '{UNKNOWN_CASE}'."),
             none,
         ),
     )

@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 from devicelog.operators.alarms import alarm_events
 from devicelog.operators.compare import newest_first
-from devicelog.operators.sizes import Sizes, attached
+from devicelog.operators.sizes import BROADCAST_BYTES, Sizes, attached
 from devicelog.schema import ALARM_EVENTS_SCHEMA, MEASUREMENTS_SCHEMA, SESSIONS_SCHEMA
 
+#: A load id in a hash table.
+_BYTES_PER_LOAD = 64
+
 
 def build_sessions(
     log: DataFrame,
@@ -98,6 +101,9 @@ class Store:
 
     def _committed(self, table: str, schema: T.StructType) -> DataFrame:
         loads = self._read("sessions", SESSIONS_SCHEMA).select("load_id").distinct()
+        # Measurements are not shuffled by load: a load is one key, however many rows it has.
+        if loads.count() * _BYTES_PER_LOAD <= BROADCAST_BYTES:
+            loads = F.broadcast(loads)
         return self._read(table, schema).join(loads, "load_id", "left_semi").drop("load_id")
 
     def sessions(self) -> DataFrame:

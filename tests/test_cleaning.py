@@ -57,6 +57,24 @@ def test_guess_follows_the_first_row(spark):
     assert (row.unparseable_rows, row.blank_rows) == (3, 1)
 
 
+@pytest.mark.parametrize(
+    "cell",
+    [
+        "2026-01-31T15:33:00Z",
+        "2026-01-31T15:33:00.000Z",
+        "2026/01/31 15:33:00.0",
+        "2026/01/31 15:33",
+        "31.01.2026 15:33:00",
+        "31.1.2026 15:33",
+        "31-01-2026 15:33:00",
+        "31-1-2026 15:33",
+    ],
+)
+def test_guessed_shapes(spark, cell):
+    typed = clean.typed(raw_frame(spark, {"Timestamp": [cell, "junk"]}))
+    assert column(typed, "timestamp") == [datetime(2026, 1, 31, 15, 33), None]
+
+
 def test_guess_prefers_month_first(spark):
     typed = clean.typed(raw_frame(spark, {"Timestamp": ["01/02/2026 00:00:00", "junk"]}))
     assert column(typed, "timestamp") == [datetime(2026, 1, 2), None]

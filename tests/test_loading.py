@@ -48,6 +48,28 @@ def test_short_rows_have_blank_cells(spark, write_csv):
     assert [r.flow_rate_lpm for r in raw.orderBy("row_ordinal").collect()] == ["", ""]
 
 
+def test_rows_wider_than_their_header_are_reported(spark, write_csv, folder):
+    write_csv("wide.csv", A + "2026-01-01 00:00:00,1,2,,lost\n2026-01-01 00:00:01,1,2,,\n2026-01-01 00:00:02,1,2,\n")
+    source = write_csv("other.csv", "Case Number,Timestamp\n1,2026-01-01 00:00:00,more\n1,2026-01-01 00:00:01\n")
+    store = Store(spark, f"{folder}/store")
+    report = load_files(spark, source, store).report.where("code = 'WIDE_ROWS'").collect()
+    assert sorted((r.filename, r.message.split()[0]) for r in report) == [("other.csv", "1"), ("wide.csv", "1")]
+    assert store.measurements().count() == 5
+
+
+def test_stored_rows_are_not_shuffled_by_load(spark, write_csv, folder):
+    store = Store(spark, f"{folder}/store")
+    load_files(spark, write_csv("a.csv", A + "2026-01-01 00:00:00,1,2,Alarm\n"), store)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = store.measurements()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
+
+
 def test_row_order_follows_a_split_file(spark, write_csv):
     folder = write_csv("big.csv", "Case Number,Flow rate L/min\n" + "".join(f"{i},1\n" for i in range(5000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -90,8 +112,11 @@ def test_a_file_name_is_loaded_once(spark, write_csv, folder):
     store = Store(spark, f"{folder}/store")
     source = write_csv("a.csv", A + "2026-01-01 00:00:00,1,2,Alarm\n")
     write_csv("a.csv", A + "2026-01-01 00:00:00,9,9,\n", sub="in/again")
-    assert load_files(spark, source, store).sessions == 1
-    assert load_files(spark, source, store).sessions == 0
+    first = load_files(spark, source, store)
+    assert first.sessions == 1
+    assert [(r.filename, r.code) for r in first.report.collect()] == [("a.csv", "NAME_KNOWN")]
+    again = load_files(spark, source, store)
+    assert (again.sessions, again.report.count()) == (0, 2)
     write_csv("b.csv", A + "2026-01-01 00:00:00,2,3,\n2026-01-01 00:00:01,2,3,\n")
     assert load_files(spark, source, store).sessions == 1
     ids = {r.filename: r.session_id for r in store.sessions().collect()}
