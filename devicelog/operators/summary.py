@@ -34,7 +34,8 @@ def session_summary(log: DataFrame, display: bool = True) -> DataFrame:
     totals = _totals(log, *[F.expr(f"{figure} AS {name}") for figure, name in names.items()])
 
     def shown(value: str, digits: int) -> str:
-        return f"bround({value}, {digits})" if display else value
+        # Noise of the order of summation is cut first, so that ties do not depend on partitions.
+        return f"bround(round({value}, 9), {digits})" if display else value
 
     return totals.selectExpr(
         "session_id",

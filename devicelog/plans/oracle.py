@@ -215,7 +215,7 @@ _SUMMARY = ", ".join(
     for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))
 )
 _SUMMARY_SHOWN = ", ".join(
-    f"round_even({f}({c}), 2) AS {c}_{n}"
+    f"round_even(round({f}({c}), 9), 2) AS {c}_{n}"
     for c in MEASUREMENTS
     for n, f in (("mean", "avg"), ("min", "min"), ("max", "max"))
 )
