@@ -183,8 +183,9 @@ def test_positions_and_default_choice(spark):
     places = {r.session_id: (r.place, r.cases) for r in compare.case_positions(sessions).collect()}
     assert places == {2: (1, 4), 1: (2, 4), 3: (3, 4), 0: (4, 4)}
     assert [r.session_id for r in compare.default_selection(sessions).collect()] == [2, 1]
+    assert compare.default_selection(sessions, 6).count() == 4
     with pytest.raises(ValueError):
-        compare.default_selection(sessions, 6)
+        compare.default_selection(sessions, 0)
 
 
 def test_session_takes_the_case_of_its_earliest_row(spark):
