@@ -221,7 +221,11 @@ def trained(spark: SparkSession, folder: str, model_type: str = risk.FOREST) ->
 def _metrics(model_type: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         metrics = trained(spark, folder, model_type).metrics
-        return spark.createDataFrame([tuple(metrics.values())], list(metrics))
+        # The AUC is NULL where the test rows have one class.
+        return spark.createDataFrame(
+            [tuple(metrics.values())],
+            "auc DOUBLE, train_samples LONG, test_samples LONG, alarm_rate_train DOUBLE, alarm_rate_test DOUBLE",
+        )
 
     return run
 
