@@ -195,12 +195,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component.
+    """The documents without those that have a smaller doc_id in their component."""
+    return without_later(docs, near_duplicates(docs, shingle).select("doc_id", "component_id"))
+
+
+def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents without those whose component_id in ``found`` is another doc_id.
 
     Equal rows count as one. Of rows that share the smallest doc_id all stay if
     they differ; rows without a doc_id cannot be named by a decision and stay.
     """
-    found = written(near_duplicates(docs, shingle).select("doc_id", "component_id"))
+    found = written(found)
     drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
     rows, distinct = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()

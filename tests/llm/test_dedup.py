@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from devicelog.llm import simhash, substring_dedup, suffix_dedup
+import corpus_pipeline
+from devicelog.llm import near_copies, simhash, substring_dedup, suffix_dedup
 from devicelog.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -165,3 +166,51 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (5, 5)], "u LONG, v LONG")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
+
+
+def five_word_sets(text):
+    words = (text or "").encode().translate(LOWER).split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_near_copies_equal_brute_force(spark, documents, rows):
+    rng = random.Random(9)
+    given = [(0, None), (1, ""), (2, " "), (3, "One two"), (4, "ONE\ttwo"), (5, "one two three"), (6, "\t"), (7, " ")]
+    fresh = lambda n: [f"Word{rng.randint(0, 9999)}" for _ in range(n)]
+    similar = []
+    for g in range(25):
+        base = fresh(rng.randint(60, 500))
+        given.append((100 + 10 * g, " ".join(base)))
+        for k in range(1, 6):
+            words = list(base)
+            # Each changed word takes up to five shingles from both texts: similarities from 0.7 to 1.
+            for _ in range(round(len(base) * rng.choice([0, 0.005, 0.01, 0.02, 0.022, 0.03]))):
+                words[rng.randrange(len(words))] = "changed" + str(rng.randint(0, 99))
+            given.append((100 + 10 * g + k, " ".join(words).lower() if k == 3 else "  ".join(words)))
+    given += [(None, given[20][1]), (900, given[20][1])]
+    sets = [five_word_sets(t) for _, t in given]
+    parent = list(range(len(given)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(given)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            alike = 5 * shared >= 4 * len(sets[a] | sets[b]) if sets[a] and sets[b] else (given[a][1] or "") == (given[b][1] or "")
+            if alike:
+                parent[root(a)] = root(b)
+                if sets[a] and sets[a] != sets[b]:
+                    similar.append(shared / len(sets[a] | sets[b]))
+    least = {}
+    for i, (doc_id, _) in enumerate(given):
+        if doc_id is not None:
+            least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    assert min(similar) < 0.83 and len(similar) > 40
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_copies.near_copies(documents(given)))}
+    assert got == {d: least[root(i)] for i, (d, _) in enumerate(given)}
+    kept = [r["doc_id"] for r in rows(corpus_pipeline.drop_near_duplicates(spark, documents(given), ""))]
+    assert kept == [None, *sorted(set(least.values()))]
+    assert near_copies.near_copies(documents([(1, "a")]).filter("doc_id < 0")).count() == 0
