@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,7 +32,8 @@ from devicelog.session import written
 
 TRIGGER = 36
 #: Phrases of triggers found at more places are cut into single windows, so that
-#: equal ones meet inside the blocks and no task gets a phrase per document.
+#: equal ones meet inside the blocks, and each window goes to the bucket of its own
+#: bytes, so that no task gets a phrase per document.
 HOT = 20_000
 U64 = np.uint64
 
@@ -132,7 +134,12 @@ def covered_spans(blocks: DataFrame, length: int = 100, hot: int = HOT) -> DataF
         if len(again):
             yield -1, B.pack(starts[again], ends[again] + length - 1)
         keys = lowest[starts[first]]
-        for b, some in B.by_bucket(((keys & U64(0xFFFFFFFF)) % U64(n)).astype(np.int64), n):
+        dealt = keys & U64(0xFFFFFFFF)
+        # All windows of a hot trigger are phrases of their own: equal ones still meet.
+        single = np.flatnonzero(is_hot[at[starts[first]]])
+        own = starts[first][single].tolist()
+        dealt[single] = np.array([xxhash.xxh64_intdigest(raw[a : a + length]) & 0xFFFFFFFF for a in own], dtype=U64)
+        for b, some in B.by_bucket((dealt % U64(n)).astype(np.int64), n):
             i = first[some]
             text = b"".join(raw[a:z] for a, z in zip(starts[i].tolist(), (ends[i] + length - 1).tolist()))
             yield b, B.pack(

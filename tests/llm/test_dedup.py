@@ -61,6 +61,28 @@ def test_suffix_dedup_equals_brute_force(documents, rows, hot):
     assert {(r["lang"], r["found"]) for r in got} == {("en", 2.0)}
 
 
+def test_suffix_dedup_deals_out_a_hot_line(documents, rows, monkeypatch):
+    """A line of one trigger between unlike texts: its windows are spread over the buckets, with the same result."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    # Of many lines of 36 bytes, the one whose trigger wins over its neighbours.
+    lines = [text(36) for _ in range(3000)]
+    line = min(lines, key=lambda x: int(suffix_dedup._trigger_hashes(np.frombuffer((x + "." * 64).encode(), dtype=np.uint8))[0]))
+    given = [(i, text(150) + line + text(150)) for i in range(60)] + [(70 + i, "z" * 80 + line + "y" * 80) for i in range(3)]
+    buckets = []
+    settle = suffix_dedup.B.settle
+    monkeypatch.setattr(suffix_dedup.B, "bucket_count", lambda *a: 16)
+
+    def settled(frame, decide):
+        buckets[:] = (r.bucket for r in frame.select("bucket").distinct().collect())
+        return settle(frame, decide)
+
+    monkeypatch.setattr(suffix_dedup.B, "settle", settled)
+    got = rows(suffix_dedup.remove_repeats(documents(given), hot=5))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed_bytes(given)
+    assert len(buckets) == 16
+
+
 def test_suffix_ranks_are_the_order_of_suffixes():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
