@@ -150,6 +150,28 @@ def test_main_text_of_given_pages(spark):
         assert r.text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", own))).split())
 
 
+def test_main_text_keeps_quotes_and_captions(spark, rows):
+    """Classed elements of the article that some pages lack, and figures, stay; what is equal on all pages goes."""
+
+    def html_of(n):
+        quote = f"<blockquote class='pull'>said {n}</blockquote>" if n % 2 else ""
+        lead = f"<p class='lead'>lead {n}</p>" if n % 3 == 1 else ""
+        figure = f"<figure><img src='x'><figcaption>caption {n}</figcaption></figure>"
+        return (
+            f"<html><body><div class='top'><p class='brand'>My site</p></div><div class='story'><h2>title {n}</h2>{lead}<p>one {n}</p>{quote}"
+            f"{figure}<p>two {n}</p><div class='same'>always this</div></div></body></html>"
+        )
+
+    given = [(i, f"https://q.org/{i}", html_of(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in rows(wrappers.main_text(spark.createDataFrame(given, "page_id LONG, url STRING, html STRING")), "page_id")}
+    for n in range(8):
+        parts = [f"title {n}", f"lead {n}" * (n % 3 == 1), f"one {n}", f"said {n}" * (n % 2), f"caption {n}", f"two {n}"]
+        assert got[n] == " ".join(p for p in parts if p)
+    # An element that a single page of the sample has is not fixed.
+    rules = wrappers.rules_of(wrappers.infer([html_of(0), html_of(2), html_of(3)]))
+    assert "blockquote pull" not in rules["fixed"] and "div same" in rules["fixed"]
+
+
 def test_wrappers_have_groups_and_slots():
     wrapper = wrappers.infer([page(0), page(1), page(2)])
     shapes = " ".join(map(str, wrapper))
