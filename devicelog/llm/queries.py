@@ -11,12 +11,15 @@ from devicelog.llm import (
     bpe,
     chat,
     decontaminate,
+    divergence,
     perplexity,
     records,
     simhash,
     substring_dedup,
     suffix_dedup,
+    token_counts,
     toxicity,
+    whitening,
     wrappers,
 )
 
@@ -81,6 +84,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that does not fit in a long is NULL."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_chat,
@@ -93,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_substring_dedup,
         op9_bpe,
         op10_decontamination,
+        op11_whitening,
+        op12_divergence,
+        op13_token_counts,
     )
     return {f.__name__: f for f in own}
 
@@ -133,5 +155,32 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT row_number() OVER () AS r, lang, source, w FROM d),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM o),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, term, count(DISTINCT r) AS docs, count(*) AS n FROM t GROUP BY ALL HAVING docs >= 30),
+v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM k GROUP BY lang),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM f GROUP BY ALL),
+p AS (SELECT f.lang, f.source, f.term, f.n,
+             1 + (1000000000 * (f.n + 5)::HUGEINT) // (s.total + 5 * v.terms) AS p,
+             1 + (1000000000 * (f.lang_n + 5)::HUGEINT) // (v.total + 5 * v.terms) AS q
+      FROM f JOIN s USING (lang, source) JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT * FROM y UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+e AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM e WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": _OP8, "op10_decontamination": _OP10}
+    return {"op8_substring_dedup": _OP8, "op10_decontamination": _OP10, "op12_divergence": _OP12}
