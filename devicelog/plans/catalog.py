@@ -134,44 +134,45 @@ def to_digits(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _exported(spark: SparkSession, folder: str) -> str:
-    """The device log as CSV files of two layouts, in the shared folder."""
+    """The device log as CSV files of two layouts in the shared folder, one file for each session.
+
+    Every seventh record has a note with a line break, a comma and quotes in its cell.
+    """
     use_utc(spark)
     log = device_log(spark, folder).selectExpr(
         "* EXCEPT (session_id, row_ordinal)",
         "CAST(session_id AS STRING) AS `Session`",
         "CAST(row_ordinal AS STRING) AS `Record`",
+        "IF(row_ordinal % 7 = 0, concat('first ', row_ordinal, ',\n\nthen \"', session_id, '\"'), '') AS `Note`",
     )
     target = shared_folder(spark)
     turned = list(reversed(log.columns))
-    for name, test, columns in (
-        ("a", "CAST(`Session` AS BIGINT) % 2 = 0", log.columns),
-        ("b", "CAST(`Session` AS BIGINT) % 2 = 1", turned),
-    ):
-        log.where(test).select(*[F.col(f"`{c}`").alias(f" {c} ") for c in columns]).write.option(
-            "header", "true"
-        ).option("ignoreTrailingWhiteSpace", "false").option(
-            "ignoreLeadingWhiteSpace", "false"
-        ).csv(f"{target}/{name}")
+    for parity, columns in ((0, log.columns), (1, turned)):
+        rows = log.where(f"CAST(`Session` AS BIGINT) % 2 = {parity}").repartition("Session")
+        # Partitioning by session gives each one its own file, whatever the number of cores.
+        rows = rows.select(F.col("Session").alias("s"), *[F.col(f"`{c}`").alias(f" {c} ") for c in columns])
+        rows.write.partitionBy("s").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(f"{target}/{parity}")
     return target
 
 
 def ingest_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Write the log as CSV files with different headers and read them all back."""
-    target = _exported(spark, folder)
-    headers = written(csv_files.read_headers(spark, target))
-    raw = csv_files.read_logs(spark, target, headers)
+    records = csv_files.read_records(spark, _exported(spark, folder))
+    raw = csv_files.read_logs(records, written(csv_files.read_headers(records)))
     return raw.selectExpr(
         "CAST(extra['Session'] AS BIGINT) AS session_id",
         "CAST(extra['Record'] AS BIGINT) AS record",
+        "extra['Note'] AS note",
         *CANONICAL,
     )
 
 
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
-    target = _exported(spark, folder)
-    raw, files, headers = csv_files.read_sessions(spark, target)
+    raw, files, headers, records = csv_files.read_sessions(spark, _exported(spark, folder))
     counts = csv_files.row_counts(raw, files)
-    report = csv_files.load_report(files.drop("session_id"), headers, counts)
+    report = csv_files.load_report(files.drop("session_id"), headers, counts, records.broken)
     return report.groupBy("code", "message").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -189,10 +190,8 @@ def streamed(spark: SparkSession, folder: str) -> DataFrame:
     """Stream the exported CSV files into a store; the sessions it then holds."""
     target = _exported(spark, folder)
     out = shared_folder(spark)
-    stream_ingest(spark, target, f"{out}/store", f"{out}/checkpoint").awaitTermination()
-    return stores.Store(spark, f"{out}/store").sessions().select(
-        "session_id", "row_count", "time_start", "time_end"
-    )
+    stream_ingest(spark, target, f"{out}/store", f"{out}/checkpoint", identity="path").awaitTermination()
+    return stores.Store(spark, f"{out}/store").sessions().select("case_id", "row_count", "time_start", "time_end")
 
 
 def audit_roundtrip(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,10 @@ from devicelog.sources import csv_files
 from devicelog.sources.store import Store, build_sessions
 
 
+#: So many new files are read by their names.
+NAMED_FILES = 1000
+
+
 @dataclass(frozen=True)
 class Loaded:
     sessions: int
@@ -29,31 +33,47 @@ def load_files(
     column_map: dict[str, str] = COLUMN_MAP,
     device_type: str = "unknown",
     center_id: str = "unknown",
+    batch: tuple[str, int] | None = None,
+    identity: str = "name",
 ) -> Loaded:
-    """Load each file whose name the store does not know yet; the report names the others."""
+    """Load each file that the store does not know yet; the report names the others.
+
+    A file is known by its name, as in the original, or with ``identity`` "path" by
+    its path and length, so that files of one name in several folders are loaded.
+    ``batch`` names a stream and its batch, which keeps its load when it runs again.
+    """
+    if identity not in ("name", "path"):
+        raise ValueError("identity must be 'name' or 'path'")
     use_utc(spark)
     listed = csv_files.list_files(spark, paths)
-    files = written(csv_files.new_files(listed, store.sessions()))
-    skipped = csv_files.skipped_report(listed.join(files.select("source_file"), "source_file", "left_anti"))
-    # File names only: Spark lists the same names on the driver to read them.
-    names = [csv_files.as_path(row.source_file) for row in files.select("source_file").toLocalIterator()]
-    if not names:
+    by_path = identity == "path"
+    chosen = csv_files.changed_files(listed, store.files()) if by_path else csv_files.new_files(listed, store.sessions())
+    files = written(chosen)
+    skipped = csv_files.skipped_report(listed.join(files.select("source_file"), "source_file", "left_anti"), by_path)
+    n_files = files.count()
+    if not n_files:
         return Loaded(0, skipped)
-    raw, numbered_files, headers = csv_files.read_sessions(
-        spark, names, files, column_map, store.last_session_id() + 1
-    )
+    source = paths
+    if n_files <= NAMED_FILES and n_files < listed.count():
+        # A few new files among many are read by name; else the folder is read, and others drop out by a join.
+        source = [csv_files.as_path(row.source_file) for row in files.select("source_file").collect()]
+    if batch is not None:
+        claim = store.claim_of_batch(*batch, n_files)
+    else:
+        claim = store.claim(n_files) if load_id is None else store.claim_of(load_id, n_files)
+    raw, numbered_files, headers, records = csv_files.read_sessions(spark, source, files, column_map, claim.first_session)
     # The text is parsed once; sizes, formats and types are read from columns.
     raw = written(raw)
     _, sizes = load_raw(
         raw,
         numbered_files,
         store,
-        store.last_load_id() + 1 if load_id is None else load_id,
+        claim.load_id,
         device_type=device_type,
         center_id=center_id,
     )
     counts = csv_files.row_counts(raw, numbered_files)
-    found = csv_files.load_report(numbered_files.drop("session_id"), headers, counts)
+    found = csv_files.load_report(numbered_files.drop("session_id"), headers, counts, records.broken)
     return Loaded(sizes.sessions, found.unionByName(skipped))
 
 
@@ -86,5 +106,6 @@ def load_raw(
             device_type,
             center_id,
         ),
+        files if "source_file" in files.columns else None,
     )
     return rows, sizes

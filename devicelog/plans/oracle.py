@@ -334,7 +334,15 @@ def oracle_sql() -> dict[str, str]:
         for side, c in zip(("low", "high"), pair)
     )
     return {
-        "ingest_raw": _sql(f"SELECT session_id, row_ordinal AS record, {cells} FROM device_raw"),
+        "ingest_raw": _sql(
+            "SELECT session_id, row_ordinal AS record, CASE WHEN row_ordinal % 7 = 0 THEN 'first ' || row_ordinal || "
+            f"',' || chr(10) || chr(10) || 'then \"' || session_id || '\"' ELSE '' END AS note, {cells} FROM device_raw"
+        ),
+        "load_report": """SELECT 'UNRECOGNISED_COLUMNS' AS code,
+  'Columns without a canonical name, kept under their own: ' ||
+  CASE WHEN user_id % 2 = 0 THEN 'Session, Record, Note' ELSE 'Note, Record, Session' END AS message,
+  count(DISTINCT user_id) AS files FROM events GROUP BY ALL""",
+        "stream_ingest": _sql("SELECT case_id, row_count, time_start, time_end FROM sessions", _SESSIONS),
         "map_columns": _sql(f"SELECT session_id, row_ordinal, {cells} FROM device_raw"),
         "new_files": _sql(
             "SELECT filename, 'in/' || filename AS source_file FROM sessions WHERE session_id % 2 = 0", _SESSIONS

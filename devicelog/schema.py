@@ -207,3 +207,12 @@ SESSIONS_SCHEMA = T.StructType(
         T.StructField("uploaded_at", T.TimestampNTZType()),
     ]
 )
+
+FILES_SCHEMA = T.StructType(
+    [
+        T.StructField("session_id", T.LongType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("source_file", T.StringType()),
+        T.StructField("length", T.LongType()),
+    ]
+)

@@ -1,8 +1,8 @@
 """Reading folders of device CSV files whose headers differ.
 
-All files are read by one scan with positional columns ``c0..cN``. Each file's
-own header, found beforehand, says which position holds which column, so values
-never move between columns when files order or name them differently.
+All files come from one scan as records of cells (``csv_records``). Each file's own
+header, its first record, says which place holds which column, so values never
+move between columns when files order or name them differently.
 """
 
 from __future__ import annotations
@@ -12,21 +12,18 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from devicelog.functions.cells import quoted, stripped
+from devicelog.functions.cells import quoted
 from devicelog.operators.positions import numbered
 from devicelog.operators.sizes import BROADCAST_BYTES
 from devicelog.schema import CANONICAL, COLUMN_MAP, UNKNOWN_CASE
 from devicelog.session import written
+from devicelog.sources.csv_records import CSV_FILES, Records, read_records
 
-_FIELDS = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
-_BYTES_PER_FILE = 2048
-_INDEX_MASK = (1 << 33) - 1
-
-
-#: Any case of the ending.
-CSV_FILES = "*.[cC][sS][vV]"
+#: A file's row beside its names, which are measured.
+_BYTES_PER_FILE = 512
+#: Cells beyond a header are kept under this name and their place.
+BEYOND = "beyond header "
 
 
 def as_path(source_file: str) -> str:
@@ -55,50 +52,32 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def new_files(files: DataFrame, sessions: DataFrame) -> DataFrame:
     """Files whose name no session has; of two files with one name the first counts."""
     first = files.groupBy("filename").agg(
-        F.min("source_file").alias("source_file"), F.min("length").alias("length")
+        F.min("source_file").alias("source_file"), F.min_by("length", "source_file").alias("length")
     )
     return first.join(sessions.select("filename"), "filename", "left_anti")
 
 
-def _header_names(lines: DataFrame) -> DataFrame:
-    """The column names of each file's header line; a repeated name gets a numbered suffix."""
-    unquoted = "IF(startswith(f, '\"'), replace(substr(f, 2, length(f) - 2), '\"\"', '\"'), f)"
-    same = "size(filter(slice(fields, 1, i), other -> other = f))"
-    return (
-        lines.selectExpr(
-            "source_file",
-            f"regexp_extract_all(replace(line, '\\ufeff', ''), {quoted(_FIELDS)}, 1) AS fields",
-        )
-        # The pattern also matches the empty rest behind the last field.
-        .selectExpr("source_file", "slice(fields, 1, greatest(size(fields) - 1, 1)) AS fields")
-        .selectExpr("source_file", f"transform(fields, f -> {stripped(unquoted)}) AS fields")
-        .selectExpr(
-            "source_file",
-            f"transform(fields, (f, i) -> IF({same} > 0, concat(f, '.', {same}), f)) AS names",
-        )
+def changed_files(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files whose path is not stored with their length; names do not matter."""
+    return files.join(stored.select("source_file", "length"), ["source_file", "length"], "left_anti").select(
+        "filename", "source_file", "length"
     )
 
 
-def read_headers(
-    spark: SparkSession, paths: str | list[str], column_map: dict[str, str] = COLUMN_MAP
-) -> DataFrame:
-    """One row per file: its column names and the 1-based place of each canonical column."""
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", CSV_FILES)
-        .text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("source_file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line_id"),
-            "value",
-        )
-        .where((F.col("block") == 0) & (F.trim("value") != ""))
+def read_headers(records: Records, column_map: dict[str, str] = COLUMN_MAP) -> DataFrame:
+    """One row per file: its column names, the 1-based place of each canonical column, and where the header is.
+
+    A repeated name gets a numbered suffix.
+    """
+    first = records.rows.where("block = 0").groupBy("source_file").agg(
+        F.min_by("cells", "row_ordinal").alias("fields"), F.min("row_ordinal").alias("header_at")
     )
-    first = lines.groupBy("source_file").agg(
-        F.min_by("value", "line_id").alias("line")
+    same = "size(filter(slice(fields, 1, i), other -> other = f))"
+    names = first.selectExpr(
+        "source_file",
+        "header_at",
+        f"transform(fields, (f, i) -> IF({same} > 0, concat(f, '.', {same}), f)) AS names",
     )
-    names = _header_names(first)
     of_canonical: dict[str, list[str]] = {}
     for header, canonical in column_map.items():
         of_canonical.setdefault(canonical, []).append(header)
@@ -110,47 +89,44 @@ def read_headers(
     known = ", ".join(quoted(h) for h in column_map)
     return names.selectExpr(
         "source_file",
+        "header_at",
         "names",
         f"struct({', '.join(place(c) for c in CANONICAL)}) AS places",
         f"filter(names, n -> NOT array_contains(array({known}), n)) AS unmapped",
     )
 
 
-def read_logs(spark: SparkSession, paths: str | list[str], headers: DataFrame) -> DataFrame:
+def _small(files: DataFrame, names: bool = False) -> DataFrame:
+    """A written table with a row for each file, marked for broadcast if it is measured to be small."""
+    width = F.octet_length("source_file") + F.lit(_BYTES_PER_FILE)
+    if names:
+        width = width + 2 * F.octet_length(F.array_join("names", ",")) + 32 * F.size("names")
+    size = files.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(files) if size <= BROADCAST_BYTES else files
+
+
+def read_logs(records: Records, headers: DataFrame) -> DataFrame:
     """The raw rows of all files: ``source_file``, ``row_ordinal``, canonical cells, ``extra``.
 
     A cell is NULL only where its file lacks the column; blank cells are ``''``.
-    ``wide`` marks rows with a filled cell beyond their file's header.
+    ``wide`` marks rows with a filled cell beyond their file's header; ``extra``
+    keeps such cells by their place.
     """
-    size = headers.agg(F.max(F.size("names")), F.count(F.lit(1))).first()
-    # One place more than the widest header shows rows that are wider still.
-    width, n_files = (size[0] or 1) + 1, size[1]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    cells = ", ".join(f"coalesce({stripped(f'c{i}')}, '')" for i in range(width))
-    rows = (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("escape", '"')
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", CSV_FILES)
-        .csv(paths)
-        .selectExpr(
-            f"array({cells}) AS cells",
-            "_metadata.file_path AS source_file",
-            # A split holds fewer rows than bytes, so this rises through a file's splits.
-            f"_metadata.file_block_start + (monotonically_increasing_id() & {_INDEX_MASK}L) AS row_ordinal",
-        )
+    rows = records.rows.drop("block").join(_small(headers, names=True), "source_file").where("row_ordinal > header_at")
+    cell = "coalesce(try_element_at(cells, CAST(array_position(names, n) AS INT)), '')"
+    named = f"transform(unmapped, n -> struct(n AS name, {cell} AS cell))"
+    name = f"concat('{BEYOND}', i + size(names) + 1)"
+    beyond = (
+        f"filter(transform(slice(cells, size(names) + 1, size(cells)), (c, i) -> "
+        f"struct(IF(array_contains(names, {name}), concat({name}, '.1'), {name}) AS name, c AS cell)), e -> e.cell <> '')"
     )
-    if n_files * _BYTES_PER_FILE <= BROADCAST_BYTES:
-        headers = F.broadcast(headers)
-    cell = "try_element_at(cells, CAST(array_position(names, n) AS INT))"
-    extra = f"map_from_entries(transform(unmapped, n -> struct(n, {cell})))"
-    return rows.join(headers, "source_file").selectExpr(
+    rows = rows.withColumn("others", F.expr(f"IF(size(cells) > size(names), concat({named}, {beyond}), {named})"))
+    return rows.selectExpr(
         "source_file",
         "row_ordinal",
-        *[f"try_element_at(cells, places.{c}) AS {c}" for c in CANONICAL],
-        f"IF(size(unmapped) > 0, {extra}, NULL) AS extra",
-        "exists(slice(cells, size(names) + 1, size(cells)), c -> c <> '') AS wide",
+        *[f"IF(places.{c} IS NULL, NULL, coalesce(try_element_at(cells, places.{c}), '')) AS {c}" for c in CANONICAL],
+        "IF(size(others) > 0, map_from_entries(others), NULL) AS extra",
+        "size(others) > size(unmapped) AS wide",
     )
 
 
@@ -160,13 +136,15 @@ def row_counts(raw: DataFrame, files: DataFrame) -> DataFrame:
     return counts.join(files, "session_id").select("source_file", "rows", "wide_rows")
 
 
-def skipped_report(skipped: DataFrame) -> DataFrame:
-    """A finding for each file that is not loaded because its name is known."""
+def skipped_report(skipped: DataFrame, by_path: bool = False) -> DataFrame:
+    """A finding for each file that is not loaded because its name, or its path and length, is known."""
+    known = ("FILE_KNOWN", "Not loaded: this file is in the store with the same length.")
+    code, message = known if by_path else ("NAME_KNOWN", "Not loaded: a file of this name is in the store or in this load.")
     return skipped.select(
         "source_file",
         "filename",
-        F.lit("NAME_KNOWN").alias("code"),
-        F.lit("Not loaded: a file of this name is in the store or in this load.").alias("message"),
+        F.lit(code).alias("code"),
+        F.lit(message).alias("message"),
         F.array().cast("array<string>").alias("columns"),
     )
 
@@ -174,7 +152,7 @@ def skipped_report(skipped: DataFrame) -> DataFrame:
 def with_session_ids(files: DataFrame, first_id: int = 1) -> DataFrame:
     """Number the files by name, starting at ``first_id``."""
     return numbered(files, [F.asc("filename"), F.asc("source_file")], files.count()).select(
-        (F.col("number") + first_id).cast("long").alias("session_id"), "source_file", "filename"
+        (F.col("number") + first_id).cast("long").alias("session_id"), "source_file", "filename", "length"
     )
 
 
@@ -184,23 +162,27 @@ def read_sessions(
     files: DataFrame | None = None,
     column_map: dict[str, str] = COLUMN_MAP,
     first_id: int = 1,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Read files as sessions: raw rows, the numbered files, and their headers."""
+) -> tuple[DataFrame, DataFrame, DataFrame, Records]:
+    """Read files as sessions: raw rows, the numbered files, their headers and the records behind them.
+
+    Files below ``paths`` that ``files`` does not have are left out.
+    """
     files = written(with_session_ids(files if files is not None else list_files(spark, paths), first_id))
-    headers = written(read_headers(spark, paths, column_map))
-    ids = files.select("session_id", "source_file")
-    if files.count() * _BYTES_PER_FILE <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    raw = read_logs(spark, paths, headers).join(ids, "source_file").drop("source_file")
-    return raw, files, headers
+    records = read_records(spark, paths)
+    headers = written(read_headers(records, column_map))
+    ids = _small(files.select("session_id", "source_file"))
+    raw = read_logs(records, headers).join(ids, "source_file").drop("source_file")
+    return raw, files, headers, records
 
 
-def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) -> DataFrame:
+def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame, broken: DataFrame) -> DataFrame:
     """Findings per file: code, message and the columns concerned.
 
-    ``row_counts`` has the rows read and the too wide ones per ``source_file``.
+    ``row_counts`` has the rows read and the too wide ones per ``source_file``,
+    ``broken`` the files in which a quoted cell never ends.
     """
-    joined = files.join(headers, "source_file", "left").join(row_counts, "source_file", "left")
+    joined = files.drop("length").join(headers, "source_file", "left").join(row_counts, "source_file", "left")
+    joined = joined.join(broken.select("source_file", F.lit(True).alias("is_broken")), "source_file", "left")
 
     def finding(test: Column, code: str, message: Column, columns: Column) -> Column:
         return F.when(
@@ -213,7 +195,8 @@ def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) ->
     none = F.array().cast("array<string>")
     readable = F.col("names").isNotNull()
     findings = F.array(
-        finding(~readable, "UNREADABLE", F.lit("Cannot parse CSV: no header line."), none),
+        finding(F.col("is_broken"), "OPEN_QUOTE", F.lit("Not loaded: a quoted cell is still open where the file ends."), none),
+        finding(~readable & F.col("is_broken").isNull(), "UNREADABLE", F.lit("Not loaded: the file has no header."), none),
         finding(
             readable & (F.coalesce("rows", F.lit(0)) == 0),
             "EMPTY_FILE",
@@ -223,13 +206,13 @@ def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame) ->
         finding(
             F.col("wide_rows") > 0,
             "WIDE_ROWS",
-            F.concat(F.col("wide_rows").cast("string"), F.lit(" rows have cells beyond the header; those cells are not loaded.")),
+            F.concat(F.col("wide_rows").cast("string"), F.lit(" rows have cells beyond the header; they are kept by their place.")),
             none,
         ),
         finding(
             F.size("unmapped") > 0,
             "UNRECOGNISED_COLUMNS",
-            F.concat(F.lit("Unrecognised columns (kept as-is): "), F.concat_ws(", ", "unmapped")),
+            F.concat(F.lit("Columns without a canonical name, kept under their own: "), F.concat_ws(", ", "unmapped")),
             F.col("unmapped"),
         ),
         finding(

@@ -2,7 +2,8 @@
 
 Each load writes its own folder of every table, measurements first and sessions
 last. A load counts once its sessions are written: rows of an unfinished load
-are not read, and running it again replaces them.
+are not read, and running it again replaces them. Load and session numbers are
+claimed first (``claims``), so loads may run at the same time.
 """
 
 from __future__ import annotations
@@ -16,11 +17,9 @@ from pyspark.sql import types as T
 
 from devicelog.operators.alarms import alarm_events
 from devicelog.operators.compare import newest_first
-from devicelog.operators.sizes import BROADCAST_BYTES, Sizes, attached
-from devicelog.schema import ALARM_EVENTS_SCHEMA, MEASUREMENTS_SCHEMA, SESSIONS_SCHEMA
-
-#: A load id in a hash table.
-_BYTES_PER_LOAD = 64
+from devicelog.operators.sizes import Sizes, attached
+from devicelog.schema import ALARM_EVENTS_SCHEMA, FILES_SCHEMA, MEASUREMENTS_SCHEMA, SESSIONS_SCHEMA
+from devicelog.sources.claims import Claim, Claims
 
 
 def build_sessions(
@@ -61,13 +60,19 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._claims = Claims(spark, f"{self.folder}/claims")
 
     def append(
-        self, load_id: int, log: DataFrame, sessions_of: Callable[[DataFrame], DataFrame]
+        self,
+        load_id: int,
+        log: DataFrame,
+        sessions_of: Callable[[DataFrame], DataFrame],
+        files: DataFrame | None = None,
     ) -> None:
         """Write one load; writing the same load id again replaces it.
 
-        ``sessions_of`` gives the sessions of the stored measurements.
+        ``sessions_of`` gives the sessions of the stored measurements, ``files`` the
+        paths and lengths of the files they come from.
         """
         by_time = ["session_id", "timestamp", "row_ordinal"]
         self._write(
@@ -82,6 +87,8 @@ class Store:
             self._part("measurements", load_id)
         )
         self._write("alarm_events", load_id, alarm_events(stored))
+        if files is not None:
+            self._write("files", load_id, files.select(*FILES_SCHEMA.names))
         self._write("sessions", load_id, sessions_of(stored).select(*SESSIONS_SCHEMA.names))
 
     def _part(self, table: str, load_id: int) -> str:
@@ -99,71 +106,97 @@ class Store:
                 raise
             return self.spark.createDataFrame([], full)
 
+    def _loads(self, table: str, marker: str = "") -> set[int]:
+        """Loads that have a folder in a table; a listing of the driver, no Spark job."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/load_id=*{marker}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [status.getPath() for status in files.globStatus(path) or []]
+        return {int((p.getParent() if marker else p).getName().removeprefix("load_id=")) for p in found}
+
+    def unfinished(self, table: str) -> set[int]:
+        """Loads with rows in a table whose sessions are not written: those of writers at work or lost."""
+        return self._loads(table) - self._loads("sessions", "/_SUCCESS")
+
     def _committed(self, table: str, schema: T.StructType) -> DataFrame:
-        loads = self._read("sessions", SESSIONS_SCHEMA).select("load_id").distinct()
-        # Measurements are not shuffled by load: a load is one key, however many rows it has.
-        if loads.count() * _BYTES_PER_LOAD <= BROADCAST_BYTES:
-            loads = F.broadcast(loads)
-        return self._read(table, schema).join(loads, "load_id", "left_semi").drop("load_id")
+        """All rows of finished loads, with ``load_id``."""
+        rows = self._read(table, schema)
+        unfinished = self.unfinished(table)
+        return rows.where(~F.col("load_id").isin(*sorted(unfinished))) if unfinished else rows
+
+    def _finished_sessions(self) -> DataFrame:
+        return self._committed("sessions", SESSIONS_SCHEMA)
 
     def sessions(self) -> DataFrame:
         """All sessions, newest first."""
-        return self._read("sessions", SESSIONS_SCHEMA).drop("load_id").orderBy(*newest_first())
+        return self._finished_sessions().drop("load_id").orderBy(*newest_first())
+
+    def files(self) -> DataFrame:
+        """Path and length of the file behind each session, where a load noted them."""
+        return self._committed("files", FILES_SCHEMA).drop("load_id")
 
     def sizes(self) -> Sizes:
         """Sizes of the stored log, from the row counts of its sessions."""
         row = (
-            self._read("sessions", SESSIONS_SCHEMA)
+            self._finished_sessions()
             .agg(F.count(F.lit(1)), F.sum("row_count"), F.max("row_count"))
             .first()
         )
         return Sizes(sessions=row[0], rows=row[1] or 0, longest=row[2] or 0)
 
     def last_load_id(self) -> int:
-        """The largest load id that sessions have or that a batch was given."""
-        found = self._read("sessions", SESSIONS_SCHEMA).agg(F.max("load_id")).first()[0]
-        given = self._batches().agg(F.max("load")).first()[0]
-        return max(-1 if found is None else found, -1 if given is None else given)
-
-    def _batches(self) -> DataFrame:
-        schema = "source STRING, batch LONG, load LONG"
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/batches")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def load_of_batch(self, source: str, batch_id: int) -> int:
-        """The load id of a stream's batch: the one it was given before, else a new one."""
-        known = self._batches().where((F.col("source") == source) & (F.col("batch") == batch_id))
-        row = known.select(F.min("load")).first()
-        if row[0] is not None:
-            return row[0]
-        load = self.last_load_id() + 1
-        given = self.spark.createDataFrame([(source, batch_id, load)], "source STRING, batch LONG, load LONG")
-        given.write.mode("append").parquet(f"{self.folder}/batches")
-        return load
+        """The largest load id that a table has or a writer has claimed; -1 if there is none."""
+        written = self._loads("sessions") | self._loads("measurements")
+        return max([-1, *written, *(c.load_id for c in self._claims.all())])
 
     def last_session_id(self) -> int:
-        return self.sessions().agg(F.max("session_id")).first()[0] or 0
+        """The largest session id that is stored or claimed."""
+        stored = self._read("sessions", SESSIONS_SCHEMA).agg(F.max("session_id")).first()[0] or 0
+        return max([stored, *(c.last_session for c in self._claims.all())])
+
+    def claim(self, sessions: int, source: str | None = None, batch: int | None = None) -> Claim:
+        """A load id and session ids of its own for a new load."""
+        return self._claims.take(sessions, self.last_load_id() + 1, self.last_session_id() + 1, source, batch)
+
+    def claim_of_batch(self, source: str, batch: int, sessions: int) -> Claim:
+        """The claim of a stream's batch: the one it was given before if that has as many sessions, else a new one.
+
+        An earlier claim of the batch with another number is given up; what it
+        wrote has no sessions, or the files would be known.
+        """
+        known = [c for c in self._claims.all() if (c.source, c.batch) == (source, batch) and c.sessions == sessions]
+        return known[-1] if known else self.claim(sessions, source, batch)
+
+    def claim_of(self, load_id: int, sessions: int) -> Claim:
+        """A given load, which is written anew, with session ids of its own."""
+        known = [c for c in self._claims.all() if c.load_id == load_id and c.sessions == sessions]
+        if known:
+            return known[0]
+        return Claim(load_id, self.claim(sessions).first_session, sessions)
 
     def measurements(self, session_ids: int | list[int] | DataFrame | None = None) -> DataFrame:
         """Samples of all, one or several sessions; ids may be a frame with ``session_id``."""
-        return _chosen(self._committed("measurements", MEASUREMENTS_SCHEMA), session_ids)
+        return self._chosen("measurements", MEASUREMENTS_SCHEMA, session_ids)
 
     def alarm_events(self, session_ids: int | list[int] | DataFrame | None = None) -> DataFrame:
-        return _chosen(self._committed("alarm_events", ALARM_EVENTS_SCHEMA), session_ids)
-
-
-def _chosen(table: DataFrame, session_ids: int | list[int] | DataFrame | None) -> DataFrame:
-    if session_ids is None:
-        return table
-    if isinstance(session_ids, DataFrame):
-        return table.join(session_ids.select("session_id"), "session_id", "left_semi")
-    if isinstance(session_ids, int):
-        return table.where(F.col("session_id") == session_ids)
-    return table.where(F.col("session_id").isin(session_ids))
+        return self._chosen("alarm_events", ALARM_EVENTS_SCHEMA, session_ids)
+
+    def loads_of(self, session_ids: list[int]) -> list[int]:
+        """The loads of sessions, from the sessions table; no more of them than sessions."""
+        found = self._finished_sessions().where(F.col("session_id").isin(session_ids)).select("load_id").distinct()
+        return sorted(row.load_id for row in found.collect())
+
+    def _chosen(self, table: str, schema: T.StructType, session_ids: int | list[int] | DataFrame | None) -> DataFrame:
+        """Rows of sessions; only the folders of their loads are listed and read."""
+        rows = self._committed(table, schema)
+        if session_ids is None:
+            return rows.drop("load_id")
+        if isinstance(session_ids, DataFrame):
+            # A session lies in one load, so the load is a partition filter that Spark finds at run time.
+            ids = self._finished_sessions().join(session_ids.select("session_id"), "session_id", "left_semi")
+            return rows.join(ids.select("load_id", "session_id"), ["load_id", "session_id"], "left_semi").drop("load_id")
+        ids = [session_ids] if isinstance(session_ids, int) else session_ids
+        chosen = F.col("session_id").isin(ids)
+        return rows.where(F.col("load_id").isin(self.loads_of(ids)) & chosen).drop("load_id")
 
 
 def by_time(table: DataFrame) -> DataFrame:

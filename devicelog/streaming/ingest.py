@@ -29,13 +29,15 @@ def stream_ingest(
     store_folder: str,
     checkpoint: str,
     files_per_batch: int = FILES_PER_BATCH,
+    identity: str = "name",
 ) -> StreamingQuery:
     """Load all files not seen before, in micro-batches, then stop.
 
     The stream carries file names, not contents: a format is elected per whole
     file, so each batch reads its files through the batch loader. The store
     notes which load a batch of this checkpoint is, so a batch that is run again
-    replaces what it had written itself, and nothing else.
+    replaces what it had written itself, and nothing else. ``identity`` says by what
+    the store knows a file (``load_files``).
     """
     store = Store(spark, store_folder)
     names = (
@@ -52,7 +54,7 @@ def stream_ingest(
         # At most files_per_batch names.
         paths = [as_path(row.source_file) for row in batch.collect()]
         if paths:
-            load_files(spark, paths, store, load_id=store.load_of_batch(checkpoint, batch_id))
+            load_files(spark, paths, store, batch=(checkpoint, batch_id), identity=identity)
 
     return (
         names.writeStream.foreachBatch(load)

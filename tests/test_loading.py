@@ -1,10 +1,16 @@
 from __future__ import annotations
 
+import csv
+import io
+import random
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from devicelog.plans.load import load_files
 from devicelog.session import use_utc
 from devicelog.sources import csv_files
+from devicelog.sources.claims import Claim, Claims
 from devicelog.sources.store import Store
 from devicelog.streaming.ingest import stream_ingest
 
@@ -13,7 +19,7 @@ A = "Timestamp,Case Number,Flow rate L/min,Overall alarm status\n"
 
 def read(spark, folder):
     use_utc(spark)
-    raw, files, headers = csv_files.read_sessions(spark, folder)
+    raw, files, headers, _ = csv_files.read_sessions(spark, folder)
     return raw.join(files, "session_id"), files, headers
 
 
@@ -48,26 +54,29 @@ def test_short_rows_have_blank_cells(spark, write_csv):
     assert [r.flow_rate_lpm for r in raw.orderBy("row_ordinal").collect()] == ["", ""]
 
 
-def test_rows_wider_than_their_header_are_reported(spark, write_csv, folder):
-    write_csv("wide.csv", A + "2026-01-01 00:00:00,1,2,,lost\n2026-01-01 00:00:01,1,2,,\n2026-01-01 00:00:02,1,2,\n")
-    source = write_csv("other.csv", "Case Number,Timestamp\n1,2026-01-01 00:00:00,more\n1,2026-01-01 00:00:01\n")
+def test_rows_wider_than_their_header_keep_their_cells(spark, write_csv, folder):
+    wide = "".join(f"2026-01-01 00:00:0{k},1,2,{rest}\n" for k, rest in enumerate([",kept", ",", "", ",,,far"]))
+    write_csv("wide.csv", A + wide)
+    source = write_csv("other.csv", "Case Number,beyond header 3\n1,x,more\n1,y\n")
     store = Store(spark, f"{folder}/store")
     report = load_files(spark, source, store).report.where("code = 'WIDE_ROWS'").collect()
-    assert sorted((r.filename, r.message.split()[0]) for r in report) == [("other.csv", "1"), ("wide.csv", "1")]
-    assert store.measurements().count() == 5
+    assert sorted((r.filename, r.message.split()[0]) for r in report) == [("other.csv", "1"), ("wide.csv", "2")]
+    of = {r.filename: r.session_id for r in store.sessions().collect()}
+    rows = store.measurements(of["wide.csv"]).orderBy("row_ordinal").collect()
+    assert [r.extra for r in rows] == [{"beyond header 5": "kept"}, None, None, {"beyond header 7": "far"}]
+    others = store.measurements(of["other.csv"]).orderBy("row_ordinal").collect()
+    assert [r.extra for r in others] == [{"beyond header 3": "x", "beyond header 3.1": "more"}, {"beyond header 3": "y"}]
 
 
 def test_stored_rows_are_not_shuffled_by_load(spark, write_csv, folder):
     store = Store(spark, f"{folder}/store")
     load_files(spark, write_csv("a.csv", A + "2026-01-01 00:00:00,1,2,Alarm\n"), store)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = store.measurements()._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan
+    plan = store.measurements()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # With the rows of an unfinished load beside them, its folder is left out by a partition filter.
+    store.measurements().write.parquet(f"{folder}/store/measurements/load_id=7")
+    plan = store.measurements()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "load_id" in plan.split("PartitionFilters", 1)[1]
 
 
 def test_row_order_follows_a_split_file(spark, write_csv):
@@ -129,6 +138,21 @@ def test_a_file_name_is_loaded_once(spark, write_csv, folder):
     assert store.sizes().longest == 2
 
 
+def test_files_known_by_path_and_length(spark, write_csv, folder):
+    store = Store(spark, f"{folder}/store")
+    source = one_file(write_csv, "a.csv", 1, "in")
+    one_file(write_csv, "a.csv", 2, "in/again")
+    first = load_files(spark, source, store, identity="path")
+    assert (first.sessions, first.report.count()) == (2, 0)
+    again = load_files(spark, source, store, identity="path")
+    assert again.sessions == 0 and {r.code for r in again.report.collect()} == {"FILE_KNOWN"}
+    # A file that has grown is another one; by name it would be known.
+    write_csv("a.csv", A + "2026-01-01 00:00:00,1,2.5,Alarm\n" * 9, sub="in")
+    assert load_files(spark, source, store).sessions == 0
+    assert load_files(spark, source, store, identity="path").sessions == 1
+    assert store.files().count() == store.sessions().count() == 3
+
+
 def test_an_unfinished_load_is_not_read(spark, write_csv, folder):
     store = Store(spark, f"{folder}/store")
     source = write_csv("a.csv", A + "2026-01-01 00:00:00,1,2,Alarm\n")
@@ -177,10 +201,158 @@ def test_a_stream_leaves_earlier_loads_alone(spark, write_csv, folder):
     assert store.measurements().count() == 8
 
 
-def test_a_batch_keeps_its_load(spark, folder):
+def test_a_batch_keeps_its_claim(spark, folder):
+    store = Store(spark, f"{folder}/store")
+    given = [store.claim_of_batch(s, b, n) for s, b, n in (("a", 0, 2), ("b", 0, 1), ("a", 1, 3))]
+    assert [(c.load_id, c.first_session) for c in given] == [(0, 1), (1, 3), (2, 4)]
+    assert store.claim_of_batch("a", 0, 2) == given[0] and Store(spark, store.folder).claim_of_batch("b", 0, 1) == given[1]
+    assert (store.last_load_id(), store.last_session_id()) == (2, 6)
+    assert store.claim_of_batch("a", 0, 5).load_id == 3
+
+
+def test_a_taken_load_cannot_be_claimed(spark, folder):
+    one, other = (Claims(spark, f"{folder}/claims") for _ in range(2))
+    assert one.publish(Claim(0, 1, 2))
+    assert not other.publish(Claim(0, 1, 7))
+    assert other.all() == one.all() == [Claim(0, 1, 2)]
+    # A writer that read the claims before the other took the number goes on to the next.
+    late, publish = Claims(spark, f"{folder}/claims"), Claims.publish
+    tried = []
+
+    def slow(claim):
+        if not tried:
+            assert publish(one, Claim(1, 3, 4))
+        tried.append(claim.load_id)
+        return publish(late, claim)
+
+    late.publish = slow
+    assert late.take(5, 0, 1) == Claim(2, 7, 5) and tried == [1, 2]
+
+
+def test_two_loads_at_once_keep_every_session(spark, write_csv, folder):
+    """Each writer has read the store before the other writes anything."""
+    first, second = Store(spark, f"{folder}/store"), Store(spark, f"{folder}/store")
+    sources = [[one_file(write_csv, f"{w}{k}.csv", f"{w}{k}", w) for k in range(3)][0] for w in ("x", "y")]
+    append, done = Store.append, []
+
+    def between(*load):
+        if not done:
+            done.append(load_files(spark, sources[1], second))
+        append(first, *load)
+
+    first.append = between
+    assert load_files(spark, sources[0], first).sessions == 3 and done[0].sessions == 3
+    store = Store(spark, f"{folder}/store")
+    sessions = {r.session_id: r.filename for r in store.sessions().collect()}
+    assert sorted(sessions.values()) == ["x0.csv", "x1.csv", "x2.csv", "y0.csv", "y1.csv", "y2.csv"]
+    assert len(sessions) == 6 and store.measurements().count() == 12
+    for i, name in sessions.items():
+        assert {r.case_id for r in store.measurements(i).collect()} == {name[:2]}
+
+
+def test_loads_from_several_threads(spark, write_csv, folder):
+    sources = [one_file(write_csv, f"t{k}.csv", f"t{k}", f"t{k}") for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda source: load_files(spark, source, Store(spark, f"{folder}/store")), sources))
+    store = Store(spark, f"{folder}/store")
+    assert sorted(r.session_id for r in store.sessions().collect()) == [1, 2, 3, 4]
+    assert store.measurements().count() == 8
+
+
+def test_a_session_is_read_from_its_load_alone(spark, write_csv, folder):
     store = Store(spark, f"{folder}/store")
-    assert [store.load_of_batch("a", 0), store.load_of_batch("b", 0), store.load_of_batch("a", 1)] == [0, 1, 2]
-    assert (store.load_of_batch("a", 0), store.load_of_batch("b", 0), store.last_load_id()) == (0, 1, 2)
+    for k in range(3):
+        load_files(spark, one_file(write_csv, f"p{k}.csv", k, f"p{k}"), store)
+    ids = {r.case_id: r.session_id for r in store.sessions().collect()}
+
+    def loads_read(rows):
+        rows.collect()
+        scans = rows._jdf.queryExecution().executedPlan().collectLeaves()
+        names = [scans.apply(i).metrics() for i in range(scans.size())]
+        return [m.apply("numPartitions").value() for m in names if m.contains("numPartitions")]
+
+    assert loads_read(store.measurements(ids["1"])) == [1]
+    assert loads_read(store.alarm_events([ids["0"], ids["2"]])) == [2]
+    assert loads_read(store.measurements()) == [3]
+    chosen = spark.createDataFrame([(ids["2"],)], "session_id LONG")
+    assert {r.case_id for r in store.measurements(chosen).collect()} == {"2"}
+    assert store.loads_of([ids["2"], 99]) == [2]
+
+
+def test_reading_the_store_runs_no_job(spark, write_csv, folder):
+    store = Store(spark, f"{folder}/store")
+    load_files(spark, one_file(write_csv, "j.csv", 1, "j"), store)
+    group = f"read-{folder}"
+    spark.sparkContext.setJobGroup(group, "reads")
+    try:
+        store.measurements(), store.sessions(), store.alarm_events()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+
+
+BREAKS = [
+    ("2026-01-01 00:00:00,1,2.5,plain\n", "plain"),
+    ('2026-01-01 00:00:01,1,2.6,"two\nlines"\n', "two\nlines"),
+    ('2026-01-01 00:00:02,1,"2.7","a ""b"",\n\n , c"\n', 'a "b",\n\n , c'),
+    ('2026-01-01 00:00:03,1,2.8,5" tube\n', '5" tube'),
+    ('2026-01-01 00:00:04,1,2.9,"x""\n""y"\n', 'x"\n"y'),
+    ('2026-01-01 00:00:05,1,3.0,"q" tail\n', "q tail"),
+    ("\n", None),
+    ('2026-01-01 00:00:06,1,3.1,"first,\n2026-01-01 00:00:09,9,9.9,""no row""\nlast"\n', 'first,\n2026-01-01 00:00:09,9,9.9,"no row"\nlast'),
+]
+
+
+def test_line_breaks_inside_cells(spark, write_csv, folder):
+    header = 'Timestamp,Case Number,Flow rate L/min,"Note\nof it"\n'
+    body = "".join(line for line, _ in BREAKS)
+    write_csv("breaks.csv", header + body)
+    write_csv("plain.csv", A + "2026-01-01 00:00:00,1,2.5,\n")
+    source = write_csv("never.csv", A + '2026-01-01 00:00:00,1,2,"open\n2026-01-01 00:00:01,1,2,\n')
+    raw, _, _ = read(spark, source)
+    rows = raw.where("filename = 'breaks.csv'").orderBy("row_ordinal").collect()
+    wanted = [note for _, note in BREAKS if note is not None]
+    assert [r.extra["Note\nof it"] for r in rows] == wanted
+    assert [r.timestamp for r in rows] == [f"2026-01-01 00:00:0{k}" for k in range(7)]
+    assert [r.flow_rate_lpm for r in rows] == ["2.5", "2.6", "2.7", "2.8", "2.9", "3.0", "3.1"]
+    loaded = load_files(spark, source, Store(spark, f"{folder}/store"))
+    assert loaded.sessions == 2
+    assert [(r.filename, r.code) for r in loaded.report.where("code <> 'UNRECOGNISED_COLUMNS'").collect()] == [("never.csv", "OPEN_QUOTE")]
+
+
+def test_records_across_the_splits_of_a_file(spark, write_csv):
+    """Cells that begin in one split and end in a later one, checked against Python's csv module."""
+    rng = random.Random(7)
+    bits = ["a", "b,", '""', "\n", "longer text ", "\n\n"]
+    text, wanted = "Case Number,Note,Last\n", []
+    for i in range(1500):
+        cell = "".join(rng.choice(bits) for _ in range(rng.choice([1, 2, 30])))
+        text += f'{i},"{cell}",{rng.choice(["", "z", chr(34) * 2])}\n'
+    for fields in list(csv.reader(io.StringIO(text)))[1:]:
+        wanted.append((fields[0], fields[1].strip(" \t\n")))
+    folder = write_csv("big.csv", text)
+    write_csv("other.csv", "Case Number,Note\n" + "".join(f"{i},n\n" for i in range(900)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        raw, _, _ = read(spark, folder)
+        got = raw.where("filename = 'big.csv'").orderBy("row_ordinal").collect()
+        plans = raw._jdf.queryExecution().toString()
+        assert raw.where("filename = 'other.csv'").count() == 900
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r.case_id, r.extra["Note"]) for r in got] == wanted
+    assert "multiLine" not in plans
+
+
+def test_text_is_read_once(spark, write_csv):
+    """The lines written hold what the folder has, and headers and rows come from them."""
+    source = write_csv("a.csv", A + "2026-01-01 00:00:00,1,2.5,Alarm\n" * 50)
+    raw, _, headers, records = csv_files.read_sessions(spark, source)
+    for frame in (raw, headers, records.rows):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan or "FileScan parquet" in plan
+        assert "FileScan text" not in plan and "FileScan csv" not in plan
 
 
 def test_names_with_blanks_brackets_and_capitals(spark, write_csv, folder):
