@@ -6,6 +6,8 @@ cells beside the typed values, duplicates included.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,76 +29,106 @@ AUDIT_JSON_SCHEMA = """
 """
 
 
-def _cells(typed_log: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per sample and column its file has: raw cell and typed value."""
-    structs = ", ".join(
-        f"IF({RAW}.{c} IS NULL, NULL, struct('{c}' AS parameter, {RAW}.{c} AS cell, {c} AS value))"
-        for c in columns
-    )
-    return typed_log.selectExpr("session_id", f"inline(array_compact(array({structs})))")
+def _figures(typed_log: DataFrame) -> DataFrame:
+    """Every figure that is a count over a session's rows, one row per session: one aggregate, no row taken apart.
 
+    ``m_<column>`` has the device codes and missing values of a measurement, NULL
+    where the file lacks the column, ``l_<column>`` the missing values of a limit.
+    """
+    known = [c for c in CANONICAL if c not in ("timestamp", "case_id")]
 
-def timestamp_audit(typed_log: DataFrame) -> DataFrame:
-    """Rows whose timestamp could not be read; blanks count as such and are shown apart."""
+    def cells(c: str) -> str:
+        codes = ", ".join(f"count_if({RAW}.{c} = {quoted(s)}) AS `{s}`" for s in SENTINELS)
+        return (
+            f"IF(count({RAW}.{c}) > 0, struct(count_if({is_sentinel(f'{RAW}.{c}')}) AS sentinel_count, "
+            f"count_if({c} IS NULL AND {RAW}.{c} IS NOT NULL) AS total_nan_after, struct({codes}) AS codes), NULL) AS m_{c}"
+        )
+
+    present = " + ".join(f"IF(count({RAW}.{c}) > 0, 1, 0)" for c in known)
     return typed_log.groupBy("session_id").agg(
         F.expr(f"IF(count({RAW}.timestamp) > 0, 'parsed', 'column_missing') AS status"),
         F.expr(f"count_if(timestamp IS NULL AND {RAW}.timestamp IS NOT NULL) AS unparseable_rows"),
         F.expr(f"count_if({RAW}.timestamp = '') AS blank_rows"),
         F.max("ts_format").alias("ts_format"),
+        *[F.expr(cells(c)) for c in MEASUREMENTS],
+        *[
+            F.expr(f"IF(count({RAW}.{c}) > 0, count_if({c} IS NULL AND {RAW}.{c} IS NOT NULL), NULL) AS l_{c}")
+            for c in LIMITS
+        ],
+        F.expr("IF(count(alarm_active) > 0, count_if(alarm_active), NULL) AS alarm_active_true_count"),
+        F.expr(f"IF(count({RAW}.technical_fault) > 0, count(technical_fault), NULL) AS technical_fault_non_null"),
+        # Cleaning adds a missing timestamp or case id, so those two always count.
+        F.expr(f"CAST(2 + max(coalesce(size(extra), 0)) + {present} AS BIGINT) AS cols"),
     )
 
 
-def cell_audit(typed_log: DataFrame, columns: list[str] = MEASUREMENTS) -> DataFrame:
-    """Device codes (in all and by code) and missing values per session and column it has."""
-    by_code = [F.expr(f"count_if(cell = {quoted(s)}) AS `{s}`") for s in SENTINELS]
+def _by_value(typed_log: DataFrame) -> DataFrame:
+    """Rows per bubble code and per case id of each session, from one scan: ``kind``, ``value``, ``n``, ``defaulted``."""
     return (
-        _cells(typed_log, columns)
-        .groupBy("session_id", "parameter")
+        typed_log.groupingSets(
+            [[F.col("session_id"), F.col("alarm_bubble")], [F.col("session_id"), F.col("case_id")]],
+            "session_id",
+            "alarm_bubble",
+            "case_id",
+        )
         .agg(
-            F.expr(f"count_if({is_sentinel('cell')}) AS sentinel_count"),
-            F.expr("count_if(value IS NULL) AS total_nan_after"),
-            *by_code,
+            F.grouping("case_id").alias("is_bubble"),
+            F.count(F.lit(1)).alias("n"),
+            F.expr(f"count({RAW}.case_id) = 0 AS defaulted"),
         )
+        .selectExpr(
+            "session_id",
+            "IF(is_bubble = 1, 'bubble', 'case') AS kind",
+            "IF(is_bubble = 1, alarm_bubble, case_id) AS value",
+            "n",
+            "defaulted",
+        )
+        .where("kind = 'case' OR value IS NOT NULL")
     )
 
 
-def measurement_audit(typed_log: DataFrame) -> DataFrame:
-    return cell_audit(typed_log).select(
-        "session_id", "parameter", "sentinel_count", "total_nan_after"
+def timestamp_audit(typed_log: DataFrame) -> DataFrame:
+    """Rows whose timestamp could not be read; blanks count as such and are shown apart."""
+    return _figures(typed_log).select("session_id", "status", "unparseable_rows", "blank_rows", "ts_format")
+
+
+def _stacked(figures: DataFrame, columns: list[str], prefix: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each of a session's columns that its file has."""
+    entries = ", ".join(
+        f"IF({prefix}{c} IS NULL, NULL, struct('{c}' AS parameter, "
+        + ", ".join(f"{of.format(prefix + c)} AS {name}" for name, of in fields.items())
+        + "))"
+        for c in columns
     )
+    return figures.selectExpr("session_id", f"inline(array_compact(array({entries})))")
+
+
+_CELL_FIELDS = {"sentinel_count": "{}.sentinel_count", "total_nan_after": "{}.total_nan_after"}
+
+
+def measurement_audit(typed_log: DataFrame) -> DataFrame:
+    """Device codes and missing values per session and measurement it has."""
+    return _stacked(_figures(typed_log), MEASUREMENTS, "m_", _CELL_FIELDS)
 
 
 def sentinel_audit(typed_log: DataFrame) -> DataFrame:
     """How often each device code stands in each measurement column."""
+    codes = {f"`{s}`": f"{{}}.codes.`{s}`" for s in SENTINELS}
     return (
-        cell_audit(typed_log)
+        _stacked(_figures(typed_log), MEASUREMENTS, "m_", codes)
         .unpivot(["session_id", "parameter"], [f"`{s}`" for s in SENTINELS], "sentinel", "n")
         .where("n > 0")
     )
 
 
 def limit_audit(typed_log: DataFrame) -> DataFrame:
-    return (
-        _cells(typed_log, LIMITS)
-        .groupBy("session_id", "parameter")
-        .agg(F.expr("count_if(value IS NULL) AS total_nan_after"))
-    )
-
-
-def _flags(typed_log: DataFrame) -> DataFrame:
-    return typed_log.groupBy("session_id").agg(
-        F.expr("IF(count(alarm_active) > 0, count_if(alarm_active), NULL) AS alarm_active_true_count"),
-        F.expr(
-            f"IF(count({RAW}.technical_fault) > 0, count(technical_fault), NULL) "
-            "AS technical_fault_non_null"
-        ),
-    )
+    return _stacked(_figures(typed_log), LIMITS, "l_", {"total_nan_after": "{}"})
 
 
 def flag_audit(typed_log: DataFrame) -> DataFrame:
     """Active alarms, readable fault codes, and rows per bubble code."""
     counts = (
-        _flags(typed_log)
+        _figures(typed_log)
         .unpivot(
             ["session_id"], ["alarm_active_true_count", "technical_fault_non_null"], "metric", "n"
         )
@@ -129,65 +161,49 @@ def dedup_audit(typed_log: DataFrame) -> DataFrame:
     )
 
 
-def shape_audit(typed_log: DataFrame) -> DataFrame:
-    """Duplicates removed, rows left, and columns of the cleaned file."""
-    rows = copies(typed_log).groupBy("session_id").agg(
+def _merged(typed_log: DataFrame) -> DataFrame:
+    """Rows left and duplicates removed per session."""
+    return copies(typed_log).groupBy("session_id").agg(
         F.expr("sum(copies) - count(1) AS duplicates_removed"), F.expr("count(1) AS rows")
     )
-    # Cleaning adds a missing timestamp or case id, so those two always count.
-    known = [c for c in CANONICAL if c not in ("timestamp", "case_id")]
-    cols = typed_log.groupBy("session_id").agg(
-        *[F.expr(f"count({RAW}.{c}) AS {c}") for c in known],
-        F.expr("max(coalesce(size(extra), 0)) AS extra_cols"),
-    )
-    width = " + ".join(f"IF({c} > 0, 1, 0)" for c in known)
-    return rows.join(
-        cols.selectExpr("session_id", f"CAST(2 + extra_cols + {width} AS BIGINT) AS cols"), "session_id"
-    )
+
+
+def shape_audit(typed_log: DataFrame) -> DataFrame:
+    """Duplicates removed, rows left, and columns of the cleaned file."""
+    return _merged(typed_log).join(_figures(typed_log).select("session_id", "cols"), "session_id")
 
 
 def audit_table(typed_log: DataFrame) -> DataFrame:
-    """Every audited figure as one row: session, step, parameter, metric, value."""
+    """Every audited figure as one row: session, step, parameter, metric, value.
 
-    def step(df: DataFrame, name: str, parameter: str, metrics: list[str]) -> DataFrame:
-        entries = ", ".join(
-            f"struct('{m}' AS metric, CAST({m} AS STRING) AS value)" for m in metrics
-        )
-        return df.selectExpr(
-            "session_id", f"'{name}' AS step", f"{parameter} AS parameter", f"inline(array({entries}))"
-        )
+    Three scans: counts over a session's rows, rows per code and case id, duplicates.
+    """
 
-    parts = [
-        step(timestamp_audit(typed_log), "timestamp", "''", ["status", "unparseable_rows"]),
-        step(
-            measurement_audit(typed_log),
-            "measurements",
-            "parameter",
-            ["sentinel_count", "total_nan_after"],
-        ),
-        step(limit_audit(typed_log), "alarm_limits", "parameter", ["total_nan_after"]),
-        flag_audit(typed_log).selectExpr(
-            "session_id",
-            "'status_flags' AS step",
-            "code AS parameter",
-            "metric",
-            "CAST(n AS STRING) AS value",
-        ),
-        case_audit(typed_log).selectExpr(
-            "session_id",
-            "'case_id' AS step",
-            "case_id AS parameter",
-            "'rows' AS metric",
-            "CAST(n AS STRING) AS value",
-        ),
-    ]
-    shape = shape_audit(typed_log)
-    parts.append(step(shape.drop("rows", "cols"), "dedup", "''", ["duplicates_removed"]))
-    parts.append(step(shape, "final_shape", "''", ["rows", "cols"]))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionByName(part)
-    return table
+    def entry(step: str, parameter: str, metric: str, value: str) -> str:
+        return f"struct('{step}' AS step, {parameter} AS parameter, '{metric}' AS metric, CAST({value} AS STRING) AS value)"
+
+    def given(test: str, one: str) -> str:
+        return f"IF({test} IS NULL, NULL, {one})"
+
+    counts = [entry("timestamp", "''", m, m) for m in ("status", "unparseable_rows")]
+    counts += [given(f"m_{c}", entry("measurements", f"'{c}'", m, f"m_{c}.{m}")) for c in MEASUREMENTS for m in _CELL_FIELDS]
+    counts += [given(f"l_{c}", entry("alarm_limits", f"'{c}'", "total_nan_after", f"l_{c}")) for c in LIMITS]
+    flags = ("alarm_active_true_count", "technical_fault_non_null")
+    counts += [given(m, entry("status_flags", "''", m, m)) for m in flags]
+    counts.append(entry("final_shape", "''", "cols", "cols"))
+    merged = [entry("dedup", "''", "duplicates_removed", "duplicates_removed"), entry("final_shape", "''", "rows", "rows")]
+    by_value = _by_value(typed_log).selectExpr(
+        "session_id",
+        "IF(kind = 'case', 'case_id', 'status_flags') AS step",
+        "value AS parameter",
+        "IF(kind = 'case', 'rows', 'alarm_bubble_distribution') AS metric",
+        "CAST(n AS STRING) AS value",
+    )
+
+    def listed(df: DataFrame, entries: list[str]) -> DataFrame:
+        return df.selectExpr("session_id", f"inline(array_compact(array({', '.join(entries)})))")
+
+    return listed(_figures(typed_log), counts).unionByName(by_value).unionByName(listed(_merged(typed_log), merged))
 
 
 def missing_readings(typed_log: DataFrame) -> DataFrame:
@@ -200,51 +216,55 @@ def missing_readings(typed_log: DataFrame) -> DataFrame:
     )
 
 
-def _map_of(entries: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """One map per session with all of its keys, which are grouped already."""
-    by_key = "(p, q) -> CASE WHEN p.key < q.key THEN -1 WHEN p.key > q.key THEN 1 ELSE 0 END"
-    pairs = f"collect_list(struct({key} AS key, {value} AS value))"
-    return (
-        entries.groupBy("session_id")
-        .agg(F.expr(f"map_from_entries(array_sort({pairs}, {by_key})) AS {name}"))
-    )
-
-
 def audit_json(typed_log: DataFrame) -> DataFrame:
     """One JSON text per session with every step of its cleaning.
 
-    Reads the log several times, so pass one that is written.
+    Reads the log three times, as the audit table does, so pass one that is written.
     """
-    stamps = timestamp_audit(typed_log).selectExpr(
+
+    def column(c: str) -> str:
+        found = ", ".join(f"struct({quoted(s)} AS key, m_{c}.codes.`{s}` AS value)" for s in SENTINELS)
+        return (
+            f"IF(m_{c} IS NULL, NULL, struct('{c}' AS key, struct(m_{c}.sentinel_count AS sentinel_count, "
+            f"map_from_entries(filter(array({found}), e -> e.value > 0)) AS sentinels_found, "
+            f"m_{c}.total_nan_after AS total_nan_after) AS value))"
+        )
+
+    def in_order(entries: str) -> str:
+        by_key = "(p, q) -> CASE WHEN p.key < q.key THEN -1 WHEN p.key > q.key THEN 1 ELSE 0 END"
+        return f"map_from_entries(array_sort({entries}, {by_key}))"
+
+    def some(columns: list[str], of: Callable[[str], str], name: str) -> str:
+        listed = f"array_compact(array({', '.join(of(c) for c in columns)}))"
+        return f"IF(size({listed}) > 0, {in_order(listed)}, NULL) AS {name}"
+
+    figures = _figures(typed_log).selectExpr(
         "session_id",
         "IF(status = 'parsed', struct(status, unparseable_rows, true AS sorted), "
         "struct(status, CAST(NULL AS BIGINT) AS unparseable_rows, CAST(NULL AS BOOLEAN) AS sorted)) "
         "AS timestamp",
+        some(MEASUREMENTS, column, "measurements"),
+        some(LIMITS, lambda c: f"IF(l_{c} IS NULL, NULL, struct('{c}' AS key, l_{c} AS value))", "alarm_limits"),
+        "alarm_active_true_count",
+        "technical_fault_non_null",
+        "cols",
     )
-    found = ", ".join(f"struct({quoted(s)} AS key, `{s}` AS value)" for s in SENTINELS)
-    column = (
-        "struct(sentinel_count, "
-        f"map_from_entries(filter(array({found}), e -> e.value > 0)) AS sentinels_found, "
-        "total_nan_after)"
+    # The lists hold what the audit names: all codes and case ids of a session.
+    values = _by_value(typed_log).groupBy("session_id").agg(
+        F.expr("collect_list(IF(kind = 'bubble', struct(value AS key, n AS value), NULL)) AS codes"),
+        F.expr("array_sort(collect_list(IF(kind = 'case', value, NULL))) AS unique_cases"),
+        F.expr("count_if(kind = 'case') AS n_cases"),
+        F.expr("bool_or(defaulted) FILTER (WHERE kind = 'case') AS defaulted"),
     )
-    cases = case_audit(typed_log)
-    parts = [
-        _map_of(cell_audit(typed_log), "parameter", column, "measurements"),
-        _map_of(limit_audit(typed_log), "parameter", "total_nan_after", "alarm_limits"),
-        _flags(typed_log),
-        _map_of(bubble_counts(typed_log), "code", "n", "alarm_bubble_distribution"),
-        cases.groupBy("session_id").agg(
-            F.expr("count(1) AS n_cases"), F.expr("bool_or(defaulted) AS defaulted")
-        ),
-        _map_of(cases, "case_id", "n", "cases").selectExpr(
-            "session_id", "map_keys(cases) AS unique_cases"
-        ),
-        shape_audit(typed_log),
-    ]
-    joined = stamps
-    for part in parts:
-        # Every part has one row per session, so no session is long here.
-        joined = joined.join(part, "session_id", "left")
+    values = values.selectExpr(
+        "session_id",
+        f"IF(size(codes) > 0, {in_order('codes')}, NULL) AS alarm_bubble_distribution",
+        "unique_cases",
+        "n_cases",
+        "defaulted",
+    )
+    # Every part has one row per session, so no session is long here.
+    joined = figures.join(values, "session_id", "left").join(_merged(typed_log), "session_id", "left")
     return joined.selectExpr(
         "session_id",
         """to_json(struct(

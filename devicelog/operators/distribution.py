@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from devicelog.functions.figures import count_if
 from devicelog.operators.filters import readings
 from devicelog.operators.quantiles import quantiles
 from devicelog.operators.sizes import Sizes, attached, measured
@@ -38,17 +37,20 @@ def _with_figures(log: DataFrame, per_session: DataFrame, names: list[str], size
 def histogram(log: DataFrame, sizes: Sizes | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts per bin of each session and parameter, with the mean to mark.
 
-    Bins have equal width between the smallest and largest value; equal values make one bin.
+    Bins have equal width between the smallest and largest finite value; equal values
+    make one bin, infinite ones none.
     """
     sizes = sizes or measured(log)
-    kinds = {"lo": "min", "hi": "max", "mean": "avg"}
+    finite = "IF(abs({c}) < double('infinity'), {c}, NULL)"
+    kinds = {"lo": f"min({finite})", "hi": f"max({finite})", "mean": "avg({c})"}
     span = log.groupBy("session_id").agg(
-        *[F.expr(f"{f}({c}) AS {n}_{c}") for c in MEASUREMENTS for n, f in kinds.items()]
+        *[F.expr(f"{f.format(c=c)} AS {n}_{c}") for c in MEASUREMENTS for n, f in kinds.items()]
     )
     width = f"((hi - lo) / {bins})"
     step = f"IF(hi > lo, least({bins}, floor((value - lo) / {width}) + 1), 1)"
     return (
         _with_figures(log, span, list(kinds), sizes, ["session_id"])
+        .where("abs(value) < double('infinity')")
         .selectExpr(*GROUP, f"CAST({step} AS INT) AS bin", *kinds)
         .groupBy(*GROUP, "bin", *kinds)
         .agg(F.count(F.lit(1)).alias("readings"))
@@ -161,23 +163,23 @@ def correlations(log: DataFrame) -> DataFrame:
     """Pearson correlation of each pair of varying parameters, over the rows that have both.
 
     A pair with no variation on its common rows has no row, and a session with a
-    single varying parameter has none at all.
+    single varying parameter has none at all. All pairs are aggregated at once, from
+    central moments, and become rows afterwards.
     """
-    pairs = ", ".join(
-        f"IF({a} IS NOT NULL AND {b} IS NOT NULL, "
-        f"struct('{a}' AS a, '{b}' AS b, {a} AS x, {b} AS y), NULL)"
-        for a, b in combinations_with_replacement(MEASUREMENTS, 2)
-    )
-    figures = (
-        log.selectExpr("session_id", f"inline(array_compact(array({pairs})))")
-        .groupBy("session_id", "a", "b")
-        .agg(F.expr("covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0.0D) AS correlation"))
-        .where("correlation IS NOT NULL")
+    pairs = list(combinations(MEASUREMENTS, 2))
+    moments = [F.expr(f"corr({a}, {b}) AS `{a}*{b}`") for a, b in pairs]
+    moments += [F.expr(f"IF(var_samp({c}) > 0, 1.0D, NULL) AS `{c}*{c}`") for c in MEASUREMENTS]
+    names = [(c, c) for c in MEASUREMENTS] + pairs
+    varying = " + ".join(f"IF(`{c}*{c}` IS NULL, 0, 1)" for c in MEASUREMENTS)
+    entries = ", ".join(
+        f"struct('{x}' AS parameter_a, '{y}' AS parameter_b, `{a}*{b}` AS correlation)"
+        for a, b in names
+        for x, y in dict.fromkeys([(a, b), (b, a)])
     )
-    # At most 36 pairs per session.
-    in_session = Window.partitionBy("session_id")
-    varying = figures.withColumn("varying", count_if(F.expr("a = b")).over(in_session))
-    both_ways = "IF(a = b, array(struct(a, b)), array(struct(a, b), struct(b AS a, a AS b)))"
-    return varying.where("varying >= 2").selectExpr(
-        "session_id", f"inline({both_ways}) AS (parameter_a, parameter_b)", "correlation"
+    return (
+        log.groupBy("session_id")
+        .agg(*moments)
+        .where(f"{varying} >= 2")
+        .selectExpr("session_id", f"inline(array({entries}))")
+        .where("correlation IS NOT NULL AND NOT isnan(correlation)")
     )

@@ -1,24 +1,26 @@
 """Exact quantiles (linear interpolation) of groups of any size.
 
-Small groups use the built-in exact ``percentile``, which keeps a group's
-distinct values in memory. Large groups are narrowed down instead: each round
-counts values per bin, keeps the bin that holds the wanted rank, and looks
-again inside it, until the bin is a single value. Only bin counts are shuffled.
+Groups that are proven small use the built-in exact ``percentile``, which keeps a
+group's distinct values in memory. Others take two rounds over the values. The
+first merges a quantile sketch per group; its values somewhat below and above a
+wanted rank enclose it, as the sketch's error is bounded. The second counts the
+rows outside these narrow ranges and the copies of each value inside, which is all
+that is shuffled, and the ranks are then exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from devicelog.operators.sizes import Sizes, by_length
 from devicelog.session import written
 
-BINS = 4096
-_BROADCAST_RANGES = 200_000
-_LARGEST = 1.7976931348623157e308
+#: A sketch's ranks are wrong by one in so many at most.
+ACCURACY = 10_000
+#: Values of a group that one task may hold to sort them.
+ROWS_IN_MEMORY = 100_000
+_BROADCAST_GROUPS = 200_000
 
 
 def quantiles(
@@ -29,13 +31,14 @@ def quantiles(
     ``sizes`` describes the log the values come from.
     """
     values = values.select(*keys, "value").where(F.col("value").isNotNull())
+    limit = min(sizes.rows_per_task, ROWS_IN_MEMORY)
     largest = sizes.longest if "session_id" in keys else sizes.rows
-    if largest <= sizes.rows_per_task:
+    if largest <= limit:
         return _builtin(values, keys, probabilities)
     if "session_id" not in keys:
-        return _narrowed(values, keys, probabilities)
-    short, long = by_length(values, sizes)
-    return _builtin(short, keys, probabilities).unionByName(_narrowed(long, keys, probabilities))
+        return _by_sketch(values, keys, probabilities)
+    short, long = by_length(values, sizes.with_limits(limit))
+    return _builtin(short, keys, probabilities).unionByName(_by_sketch(long, keys, probabilities))
 
 
 def _builtin(values: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
@@ -47,96 +50,60 @@ def _builtin(values: DataFrame, keys: list[str], probabilities: dict[str, float]
     )
 
 
-def _place(p: float) -> Column:
-    return (F.col("n") - 1) * F.lit(float(p))
-
-
-def _narrowed(
-    values: DataFrame, keys: list[str], probabilities: dict[str, float], bins: int = BINS
+def _by_sketch(
+    values: DataFrame, keys: list[str], probabilities: dict[str, float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    finite = F.greatest(F.lit(-_LARGEST), F.least(F.lit(_LARGEST), F.col("value")))
-    values = written(values.withColumn("value", finite))
-    counts = written(
-        values.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-    )
-    ranks = F.array_distinct(
-        F.array(*[f(_place(p)).cast("long") for p in probabilities.values() for f in (F.floor, F.ceil)])
-    )
-    # One row per wanted rank: the range it lies in and the rows below that range.
-    found = written(
-        counts.select(*keys, F.explode(ranks).alias("rank"), "lo", "hi").withColumn(
-            "below", F.lit(0).cast("long")
-        )
-    )
-    done = []
-    while True:
-        done.append(found.where(F.col("lo") == F.col("hi")))
-        open_ranks = found.where(F.col("lo") < F.col("hi"))
-        n_open = open_ranks.count()
-        if n_open == 0:
-            break
-        found = written(_narrow_once(values, open_ranks, keys, bins, n_open))
-
-    at_rank = reduce(DataFrame.unionByName, done).select(*keys, "rank", F.col("lo").alias("v"))
-    # At most two ranks per probability, so the map of a group is tiny.
-    by_rank = at_rank.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at")
-    )
-    return counts.join(by_rank, keys).select(
-        *keys, "n", *[_interpolated(p).alias(name) for name, p in probabilities.items()]
+    slack = 2.0 / accuracy
+    wanted = list(probabilities.values())
+    # Beyond the ends there is no edge.
+    edges = [p + side for p in wanted for side in (-slack, slack)]
+    inner = [e for e in edges if 0 < e < 1] or [0.5]
+    sketched = F.percentile_approx("value", F.array(*[F.lit(e) for e in inner]), F.lit(accuracy))
+    groups = written(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketched.alias("e")))
+    if groups.count() <= _BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+
+    # In a group of few rows the slack is less than the steps between ranks, so all its values are looked at.
+    few = F.col("n") < 3 * accuracy
+
+    def edge(e: float, beyond: str) -> Column:
+        none = F.lit(float(beyond))
+        return F.when(few, none).otherwise(F.col("e")[inner.index(e)]) if 0 < e < 1 else none
+
+    ranges = [(edge(low, "-inf"), edge(high, "inf")) for low, high in zip(edges[::2], edges[1::2])]
+    value = F.col("value")
+    inside = F.lit(False)
+    for low, high in ranges:
+        inside = inside | value.between(low, high)
+    # A row outside counts just below the next range above it; above the last one it does not matter.
+    above = F.array_min(F.array_compact(F.array(*[F.when(low > value, low) for low, _ in ranges])))
+    counted = (
+        values.join(groups, keys)
+        .select(*keys, "n", inside.alias("inside"), F.when(inside, value).otherwise(above).alias("value"))
+        .where(F.col("value").isNotNull())
+        .groupBy(*keys, "n", "value", "inside")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
+    order = Window.partitionBy(*keys).orderBy("value", "inside")
+    placed = counted.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
+    def at(rank: Column) -> Column:
+        own = (F.col("upto") - F.col("copies") <= rank) & (rank < F.col("upto"))
+        return F.max(F.when(own, F.when(F.col("inside"), value).otherwise(F.raise_error(F.lit("a rank lies outside its range")))))
 
-def _interpolated(p: float) -> Column:
-    place = _place(p)
-    low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
-    low_value, high_value = F.col("at")[low], F.col("at")[high]
-    between = (high - place) * low_value + (place - low) * high_value
-    value = F.when((low == high) | (low_value == high_value), low_value).otherwise(between)
-    infinite = F.lit(float("inf"))
-    return (
-        F.when(value >= _LARGEST, infinite).when(value <= -_LARGEST, -infinite).otherwise(value)
+    ends = [f(_place(p)).cast("long") for p in wanted for f in (F.floor, F.ceil)]
+    found = placed.groupBy(*keys, "n").agg(*[at(rank).alias(f"v{i}") for i, rank in enumerate(ends)])
+    return found.select(
+        *keys, "n", *[_interpolated(p, f"v{2 * i}", f"v{2 * i + 1}").alias(name) for i, (name, p) in enumerate(probabilities.items())]
     )
 
 
-def _narrow_once(
-    values: DataFrame, open_ranks: DataFrame, keys: list[str], bins: int, n_open: int
-) -> DataFrame:
-    ranges = open_ranks.select(*keys, "lo", "hi").distinct()
-    if n_open <= _BROADCAST_RANGES:
-        ranges = F.broadcast(ranges)
-    # Halves, so that the width of a range cannot overflow.
-    share = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    counts = (
-        values.join(ranges, keys)
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .withColumn("bin", F.least(F.floor(share * bins).cast("long"), F.lit(bins - 1)))
-        .groupBy(*keys, "lo", "hi", "bin")
-        .agg(
-            F.count(F.lit(1)).alias("in_bin"),
-            F.min("value").alias("bin_lo"),
-            F.max("value").alias("bin_hi"),
-        )
-    )
-    earlier = (
-        Window.partitionBy(*keys, "lo", "hi")
-        .orderBy("bin")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = counts.withColumn(
-        "before", F.coalesce(F.sum("in_bin").over(earlier), F.lit(0).cast("long"))
-    )
-    offset = F.col("rank") - F.col("below")
-    return (
-        open_ranks.join(placed, [*keys, "lo", "hi"])
-        .where((offset >= F.col("before")) & (offset < F.col("before") + F.col("in_bin")))
-        .select(
-            *keys,
-            "rank",
-            F.col("bin_lo").alias("lo"),
-            F.col("bin_hi").alias("hi"),
-            (F.col("below") + F.col("before")).alias("below"),
-        )
-    )
+def _place(p: float) -> Column:
+    return (F.col("n") - 1) * F.lit(float(p))
+
+
+def _interpolated(p: float, low_name: str, high_name: str) -> Column:
+    place, low_value, high_value = _place(p), F.col(low_name), F.col(high_name)
+    low, high = F.floor(place).cast("long"), F.ceil(place).cast("long")
+    between = (high - place) * low_value + (place - low) * high_value
+    return F.when((low == high) | (low_value == high_value), low_value).otherwise(between)
