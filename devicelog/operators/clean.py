@@ -48,24 +48,46 @@ def map_columns(
     )
 
 
-def elect_formats(raw: DataFrame) -> DataFrame:
-    """One row per session: the timestamp format that fits its whole file."""
+def _matched(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows with the kind of their timestamp and its parts, in steps of their own so that each is found once."""
+    rows = rows.selectExpr("*", f"{kind} AS ts_kind")
+    return rows.selectExpr("*", f"{timestamps.parts('timestamp', 'ts_kind')} AS ts_parts")
+
+
+def elect_formats(raw: DataFrame, sizes: Sizes | None = None) -> DataFrame:
+    """One row per session: the timestamp format that fits its whole file.
+
+    Only if no device format does, the first timestamp of the file is looked up for
+    its shape; the log is not read for that if there is no such file.
+    """
     votes = timestamps.election("timestamp", "fits", "row_ordinal")
-    return (
+    found = (
         raw.selectExpr(*KEYS, "timestamp", f"{timestamps.fitting('timestamp')} AS fits")
         .groupBy("session_id")
         .agg(*[F.expr(v) for v in votes])
-        .selectExpr("session_id", f"{timestamps.elected()} AS ts_format")
+    )
+    odd = found.where("common = 0").select("session_id", F.col("first_filled").alias("row_ordinal"))
+    if sizes is None or sizes.fits_broadcast(32):
+        odd = F.broadcast(odd)
+    first = _matched(raw.select(*KEYS, "timestamp").join(odd, KEYS), timestamps.kind("timestamp")).selectExpr(
+        "session_id",
+        f"IF({timestamps.wall('ts_parts', 'ts_kind')} IS NULL, NULL, {timestamps.shape('ts_parts', 'ts_kind')}) AS shape",
+    )
+    # A row that is logged twice has the same place and the same text.
+    first = first.groupBy("session_id").agg(F.max("shape").alias("shape"))
+    return found.join(first, "session_id", "left").selectExpr(
+        "session_id", f"{timestamps.elected('shape')} AS ts_format"
     )
 
 
 def typed(raw: DataFrame, sizes: Sizes | None = None) -> DataFrame:
     """Typed columns beside the raw cells (kept in the struct ``raw``), duplicates included."""
     sizes = sizes or measured(raw)
-    with_format = attached(raw, elect_formats(raw), sizes, row_bytes=32)
-    return with_format.selectExpr(
+    with_format = attached(raw, elect_formats(raw, sizes), sizes, row_bytes=32)
+    with_parts = _matched(with_format, timestamps.elected_kind("timestamp", "ts_format"))
+    return with_parts.selectExpr(
         *KEYS,
-        f"{timestamps.parsed_as('timestamp', 'ts_format')} AS timestamp",
+        f"{timestamps.parsed_as('timestamp', 'ts_format', 'ts_parts', 'ts_kind')} AS timestamp",
         f"{cells.stripped(f'coalesce(case_id, {cells.quoted(UNKNOWN_CASE)})')} AS case_id",
         *[f"{to_number(c)} AS {c}" for c in MEASUREMENTS + LIMITS],
         f"{cells.alarm_flag('alarm_overall')} AS alarm_active",

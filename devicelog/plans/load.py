@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from devicelog.operators.audit import audit_json
 from devicelog.operators.clean import deduplicated, typed
@@ -64,7 +65,7 @@ def load_files(
     raw, numbered_files, headers, records = csv_files.read_sessions(spark, source, files, column_map, claim.first_session)
     # The text is parsed once; sizes, formats and types are read from columns.
     raw = written(raw)
-    _, sizes = load_raw(
+    rows, sizes = load_raw(
         raw,
         numbered_files,
         store,
@@ -73,7 +74,8 @@ def load_files(
         center_id=center_id,
     )
     counts = csv_files.row_counts(raw, numbered_files)
-    found = csv_files.load_report(numbered_files.drop("session_id"), headers, counts, records.broken)
+    formats = rows.groupBy("session_id").agg(F.max("ts_format").alias("ts_format")).join(numbered_files, "session_id")
+    found = csv_files.load_report(numbered_files.drop("session_id"), headers, counts, records.broken, formats)
     return Loaded(sizes.sessions, found.unionByName(skipped))
 
 

@@ -81,38 +81,6 @@ TIMESTAMP_FORMATS = [
 # Cells read as "no timestamp" by every format.
 BLANK_TIMESTAMPS = ["", "NaT", "nat", "NAT", "nan", "NaN", "NAN"]
 
-# Formats guessed from a file's first timestamp when no device format fits all rows.
-GUESSED_FORMATS = [
-    "yyyy-M-d'T'H:m:s.SSSSSSSSS",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m",
-    "yyyy-M-d H:m:s.SSSSSSSSS",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d H:m",
-    "yyyy-M-d",
-    "yyyy.M.d H:m:s.SSSSSSSSS",
-    "yyyy.M.d H:m:s",
-    "yyyy/M/d H:m:s",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy H:m",
-    "M/d/yyyy",
-    "d/M/yyyy H:m:s",
-    "d/M/yyyy H:m",
-    "d/M/yyyy",
-    "yyyyMMddHHmmss",
-    "yyyy-M-d'T'H:m:s.SSSSSSSSS'Z'",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy/M/d H:m:s.SSSSSSSSS",
-    "yyyy/M/d H:m",
-    "yyyy/M/d",
-    "d.M.yyyy H:m:s",
-    "d.M.yyyy H:m",
-    "d.M.yyyy",
-    "d-M-yyyy H:m:s",
-    "d-M-yyyy H:m",
-    "d-M-yyyy",
-]
-
 DISPLAY_LABELS = {
     "pressure_pre_mmhg": "Pre-Oxygenator Pressure (mmHg)",
     "pressure_post_mmhg": "Post-Oxygenator Pressure (mmHg)",

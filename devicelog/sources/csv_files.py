@@ -13,6 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from devicelog.functions import timestamps
 from devicelog.functions.cells import quoted
 from devicelog.operators.positions import numbered
 from devicelog.operators.sizes import BROADCAST_BYTES
@@ -175,13 +176,20 @@ def read_sessions(
     return raw, files, headers, records
 
 
-def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame, broken: DataFrame) -> DataFrame:
+def load_report(
+    files: DataFrame, headers: DataFrame, row_counts: DataFrame, broken: DataFrame, formats: DataFrame | None = None
+) -> DataFrame:
     """Findings per file: code, message and the columns concerned.
 
     ``row_counts`` has the rows read and the too wide ones per ``source_file``,
-    ``broken`` the files in which a quoted cell never ends.
+    ``broken`` the files in which a quoted cell never ends, ``formats`` the
+    ``ts_format`` elected for each ``source_file``.
     """
     joined = files.drop("length").join(headers, "source_file", "left").join(row_counts, "source_file", "left")
+    if formats is None:
+        joined = joined.withColumn("ts_format", F.lit(None).cast("int"))
+    else:
+        joined = joined.join(formats.select("source_file", "ts_format"), "source_file", "left")
     joined = joined.join(broken.select("source_file", F.lit(True).alias("is_broken")), "source_file", "left")
 
     def finding(test: Column, code: str, message: Column, columns: Column) -> Column:
@@ -221,6 +229,12 @@ def load_report(files: DataFrame, headers: DataFrame, row_counts: DataFrame, bro
             F.lit("The header names no timestamp; reports over time leave this file out."),
             none,
         ),
+        finding(
+            F.col("ts_format") == timestamps.EACH_ROW,
+            "NO_TIME_FORMAT",
+            F.lit("No format fits the timestamps of the file; each is read by its own shape."),
+            none,
+        ),
         finding(
             readable & F.col("places.case_id").isNull(),
             "NO_CASE_ID",

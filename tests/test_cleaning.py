@@ -68,6 +68,21 @@ def test_guess_follows_the_first_row(spark):
         "31.1.2026 15:33",
         "31-01-2026 15:33:00",
         "31-1-2026 15:33",
+        "2026-01-31T15:33:00+01:00",
+        "2026-01-31 15:33:00 +0100",
+        "2026-01-31T15:33Z",
+        "31 Jan 2026 15:33",
+        "31-Jan-2026 15:33:00",
+        "31 January 2026, 15:33:00",
+        "Jan 31, 2026 3:33 PM",
+        "2026-Jan-31 15:33",
+        "1/31/26 3:33 PM",
+        "31/1/26 03:33:00 pm",
+        "31.01.2026 15:33:00.000",
+        "31-01-2026 15:33:00.0",
+        "20260131 15:33:00",
+        "20260131T15:33:00.5"[:17],
+        "2026.1.31 15:33 UTC",
     ],
 )
 def test_guessed_shapes(spark, cell):
@@ -80,6 +95,45 @@ def test_guess_prefers_month_first(spark):
     assert column(typed, "timestamp") == [datetime(2026, 1, 2), None]
 
 
+def test_shapes_hold_for_all_rows(spark):
+    """Another separator, joint, clock or kind of date is another format."""
+    cells = ["5 Mar 2024 10:00", "6 mar 2024 11:00", "7 March 2024 12:00", "6 Mai 2024 11:00", "31 Feb 2024 11:00",
+             "5-Mar-2024 10:00", "5 Mar 2024 10:00:01", "5 Mar 2024", "5 Mar 2024 25:00", "5 Mar 24 10:00"]
+    typed = clean.typed(raw_frame(spark, {"Timestamp": cells}))
+    wanted = [datetime(2024, 3, 5, 10), datetime(2024, 3, 6, 11), datetime(2024, 3, 7, 12)] + [None] * 7
+    assert column(typed, "timestamp") == wanted
+
+
+def test_times_with_zones_keep_the_clock_of_the_first(spark):
+    """Across a change of clocks, times go on by the hours that passed."""
+    cells = ["2024-10-27T02:30:00+02:00", "2024-10-27T02:30:00+01:00", "2024-10-27T05:00:00-0030", "2024-10-27T02:30:00Z"]
+    typed = clean.typed(raw_frame(spark, {"Timestamp": cells}))
+    day = (2024, 10, 27)
+    assert column(typed, "timestamp") == [datetime(*day, 2, 30), datetime(*day, 3, 30), datetime(*day, 7, 30), None]
+
+
+def test_halves_of_the_day_and_short_years(spark):
+    cells = ["3/5/24 12:05 AM", "3/5/24 12:05 PM", "3/5/24 1:05 am", "3/5/69 1:05 pm", "13/5/24 1:05 pm", "3/5/24 13:05 pm", "3/5/24 0:05 am"]
+    typed = clean.typed(raw_frame(spark, {"Timestamp": cells}))
+    wanted = [datetime(2024, 3, 5, 0, 5), datetime(2024, 3, 5, 12, 5), datetime(2024, 3, 5, 1, 5), datetime(1969, 3, 5, 13, 5)]
+    assert column(typed, "timestamp") == wanted + [None] * 3
+
+
+def test_fractions_beyond_microseconds_are_cut(spark):
+    typed = clean.typed(raw_frame(spark, {"Timestamp": ["5.3.2024 01:02:03.1234569", "6.3.2024 01:02:03.5"]}))
+    assert column(typed, "timestamp") == [datetime(2024, 5, 3, 1, 2, 3, 123456), datetime(2024, 6, 3, 1, 2, 3, 500000)]
+
+
+def test_no_shape_is_looked_up_where_a_device_format_fits(spark):
+    raw = raw_frame(spark, {"Timestamp": ["2026-01-31 15:33:00", ""]})
+    found = clean.elect_formats(raw)
+    found.collect()
+    assert column(clean.typed(raw), "ts_format") == [2, 2]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("regexp_extract") < plan.count("regexp_extract") or "LocalTableScan <empty>" in final
+
+
 def test_no_guess_reads_row_by_row(spark):
     cells = ["junk", "2026-01-31T15:33:56", "2026/01/31 15:33:56"]
     typed = clean.typed(raw_frame(spark, {"Timestamp": cells}))

@@ -98,20 +98,22 @@ def test_load_report(spark, write_csv, folder):
     write_csv("none.csv", "\n\n")
     write_csv("empty.csv", A)
     write_csv("plain.csv", A + "2026-01-01 00:00:00,1,2,\n")
+    write_csv("clock.csv", A + "soon,1,2,\n5 Mar 2024,1,2,\n")
     source = write_csv("odd.csv", "Flow rate L/min,Note\n1,x\n")
     loaded = load_files(spark, source, Store(spark, f"{folder}/store"))
     codes = sorted((r.filename, r.code) for r in loaded.report.collect())
     assert codes == [
+        ("clock.csv", "NO_TIME_FORMAT"),
         ("empty.csv", "EMPTY_FILE"),
         ("none.csv", "UNREADABLE"),
         ("odd.csv", "NO_CASE_ID"),
         ("odd.csv", "NO_TIMESTAMP"),
         ("odd.csv", "UNRECOGNISED_COLUMNS"),
     ]
-    assert loaded.sessions == 2
+    assert loaded.sessions == 3
     store = Store(spark, f"{folder}/store")
     sessions = {r.filename: r for r in store.sessions().collect()}
-    assert set(sessions) == {"plain.csv", "odd.csv"}
+    assert set(sessions) == {"plain.csv", "odd.csv", "clock.csv"}
     assert sessions["odd.csv"].case_id == "unknown"
     assert sessions["odd.csv"].time_start is None
     assert '"duplicates_removed":0' in sessions["plain.csv"].provenance
