@@ -73,8 +73,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id and ``record`` of each text, in doc_id order over the partitions.
 
     ``tokenizer_path`` is a file of the tokenizers library that every executor
-    has, with a byte-level pre-tokenizer. Strings of special tokens in a text are
-    ordinary text. Ids take two bytes if the vocabulary allows, else four.
+    has, with a byte-level pre-tokenizer. Strings of special tokens in a text become
+    those tokens, as the library has it by default. Ids take two bytes if the vocabulary allows, else four.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,6 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
         tokenizer.model._resize_cache(0)  # words come once; the cache here has all of them
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind, end = f"<u{width}", np.array([end_id], dtype=f"<u{width}").tobytes()
@@ -116,8 +115,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # Rows of one doc_id are ordered by their texts; that string is shuffled anyway.
-    ordered = chosen.repartitionByRange(int(size // FILE_BYTES) + 1, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges also go by a hash of the texts, so that rows of one id, or without one, are many tasks.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = chosen.repartitionByRange(int(size // FILE_BYTES) + 1, *order[:2]).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, "doc_id long, record binary")
 
 

@@ -20,7 +20,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 SHORT = [
     "", "a  b", "a\n b", "a \n b", "it's,ok. Now\n\nx", "—, foo", "foo_bar.,baz ., a", "x.\n\n  y", " lead", "trail ",
-    "\t\ttab", "é,è. ñ", "1,234.5", "don't've 'll.", "<|endoftext|> hi", "a\x1cb \x85c", "½.x", "漢字 かな", "😀 😀", "\n",
+    "\t\ttab", "é,è. ñ", "1,234.5", "don't've 'll.", "<|endoftext|> hi", "a<|endoftext|>b, <|endoftext|>. c<|endoftext", " <|endoftext|>\n\n x", "a\x1cb \x85c", "½.x", "漢字 かな", "😀 😀", "\n",
 ]
 
 
@@ -81,7 +81,6 @@ def test_records_read_back(spark, documents, folder):
     records.write_records(documents(given), f"{folder}/r", JSON)
     index = records.write_index(spark, f"{folder}/r", f"{folder}/i").cache()
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     start = 0
     order = sorted(given, key=lambda r: (r[0] is not None, r[0] or 0))
     for (doc_id, text), row in zip(order, index.orderBy("start").collect(), strict=True):
