@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 from devicelog.session import written
 
 BLOCK_BYTES = 4 << 20
+#: Arrays over a block are made in slices of so many items, so that steps in between stay small.
+SLICE = 1 << 18
+#: Packets of a block that are handed over together, in bytes.
+PACKET_BYTES = 1 << 20
 #: Returned keys are broadcast to the blocks up to this measured size; above it, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
 #: Stands for a null doc_id, which comes before all others.
@@ -71,7 +75,7 @@ class Block:
         fits = ends > starts
         np.add.at(change, starts[fits], 1)
         np.add.at(change, ends[fits], -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def make_blocks(docs: DataFrame, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,21 +148,25 @@ def send(
     """Rows (bucket, block_id, payload) that ``emit(block_id, block, found)`` makes of each block."""
     has_found = "found" in blocks.columns
 
+    def rows_of(block_id: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([block_id] * len(rows), pa.int64())]
+        columns.append(pa.array([r[1] for r in rows], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "block_id", "payload"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block_id = batch.column(0)[i].as_py()
                 found = [unpack(p) for p in (batch.column(2)[i].as_py() or [])] if has_found else []
-                rows = list(emit(block_id, Block(batch.column(1)[i].as_py()), found))
+                rows, held = [], 0
+                for row in emit(block_id, Block(batch.column(1)[i].as_py()), found):
+                    rows.append(row)
+                    held += len(row[1])
+                    if held >= PACKET_BYTES:
+                        yield rows_of(block_id, rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r[0] for r in rows], pa.int32()),
-                            pa.array([block_id] * len(rows), pa.int64()),
-                            pa.array([r[1] for r in rows], pa.binary()),
-                        ],
-                        names=["bucket", "block_id", "payload"],
-                    )
+                    yield rows_of(block_id, rows)
 
     columns = ["block_id", "data", *(["found"] if has_found else [])]
     return blocks.select(*columns).mapInArrow(run, "bucket int, block_id long, payload binary")
@@ -168,9 +176,8 @@ def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of each bucket's items."""
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, order[edges[b] : edges[b + 1]]
 
 
 def settle(packets: DataFrame, decide: Callable[[list[tuple[int, list]]], Iterable[tuple[int, bytes]]]) -> DataFrame:
@@ -226,11 +233,22 @@ def anchors(hashes: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarr
 
     Equal windows have equal smallest hashes, whatever surrounds them.
     """
-    lowest = sliding(np.minimum, hashes, width)
-    held = np.where(valid, lowest, U64(0))
-    pad = np.zeros(width - 1, dtype=U64)
-    chosen = np.flatnonzero((sliding(np.maximum, np.concatenate([pad, held, pad]), width) == hashes) & (hashes != 0))
-    return lowest, chosen
+    size, windows = len(hashes), len(hashes) - width + 1
+    lowest = np.empty(windows, dtype=U64)
+    for a in range(0, windows, SLICE):
+        b = min(windows, a + SLICE)
+        lowest[a:b] = sliding(np.minimum, hashes[a : b + width - 1], width)
+    chosen = []
+    for a in range(0, size, SLICE):
+        b = min(size, a + SLICE)
+        # The windows that hold one of these places; there are none before the first and after the last.
+        first, last = max(0, a - width + 1), min(windows, b)
+        held = np.zeros(b - a + width - 1, dtype=U64)
+        start = first - (a - width + 1)
+        held[start : start + last - first] = np.where(valid[first:last], lowest[first:last], U64(0))
+        own = hashes[a:b]
+        chosen.append(a + np.flatnonzero((sliding(np.maximum, held, width) == own) & (own != 0)))
+    return lowest, np.concatenate(chosen)
 
 
 def repeated_anchors(
@@ -275,5 +293,9 @@ def place_in(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Where in the sorted ``keys`` each value is, and whether it is there."""
     if not len(keys):
         return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return at, keys[at] == values
+    at, there = np.empty(len(values), dtype=np.int32), np.empty(len(values), dtype=bool)
+    for a in range(0, len(values), SLICE):
+        own = values[a : a + SLICE]
+        at[a : a + SLICE] = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        there[a : a + SLICE] = keys[at[a : a + SLICE]] == own
+    return at, there

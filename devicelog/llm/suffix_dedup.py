@@ -44,13 +44,17 @@ def _byte_hashes() -> np.ndarray:
 
 def _trigger_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the 36 bytes from each place."""
-    h1 = _byte_hashes()[data]
-    h2 = B.widened(h1, h1, 1, 1)
-    h4 = B.widened(h2, h2, 2, 2)
-    h8 = B.widened(h4, h4, 4, 3)
-    h16 = B.widened(h8, h8, 8, 4)
-    h32 = B.widened(h16, h16, 16, 5)
-    return B.mixed(B.widened(h32, h4, 32, 6))
+    values, size = _byte_hashes(), max(0, len(data) - TRIGGER + 1)
+    out = np.empty(size, dtype=U64)
+    for a in range(0, size, B.SLICE):
+        h1 = values[data[a : a + B.SLICE + TRIGGER - 1]]
+        h2 = B.widened(h1, h1, 1, 1)
+        h4 = B.widened(h2, h2, 2, 2)
+        h8 = B.widened(h4, h4, 4, 3)
+        h16 = B.widened(h8, h8, 8, 4)
+        h32 = B.widened(h16, h16, 16, 5)
+        out[a : a + B.SLICE] = B.mixed(B.widened(h32, h4, 32, 6))
+    return out
 
 
 def _parse(block: B.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:

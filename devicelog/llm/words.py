@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from devicelog.llm.blocks import U64, mixed, widened
+from devicelog.llm.blocks import SLICE, U64, mixed, widened
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -37,13 +37,21 @@ def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
 
 def word_hashes(data: np.ndarray, words: Words) -> np.ndarray:
     """A hash of each word's bytes, the same wherever it stands."""
-    size = len(data)
-    powers = np.cumprod(np.concatenate([[U64(1)], np.full(size, _BASE, dtype=U64)]))
-    values = mixed(np.arange(1, 257, dtype=U64) * U64(_BASE))[data]
-    sums = np.concatenate([[U64(0)], np.cumsum(values * powers[:-1])])
-    del values, powers
-    back = np.cumprod(np.concatenate([[U64(1)], np.full(size, _INVERSE, dtype=U64)]))
-    return mixed((sums[words.ends] - sums[words.starts]) * back[words.starts])
+    values = mixed(np.arange(1, 257, dtype=U64) * U64(_BASE))
+    out = np.empty(len(words), dtype=U64)
+    # Slices of whole words; a hash does not depend on where its slice begins.
+    bounds = np.searchsorted(words.starts, np.arange(0, len(data) + SLICE, SLICE))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if a == b:
+            continue
+        start = int(words.starts[a])
+        size = int(words.ends[b - 1]) - start
+        powers = np.cumprod(np.concatenate([[U64(1)], np.full(size, _BASE, dtype=U64)]))
+        sums = np.concatenate([[U64(0)], np.cumsum(values[data[start : start + size]] * powers[:-1])])
+        back = np.cumprod(np.concatenate([[U64(1)], np.full(size, _INVERSE, dtype=U64)]))
+        starts, ends = words.starts[a:b] - start, words.ends[a:b] - start
+        out[a:b] = mixed((sums[ends] - sums[starts]) * back[starts])
+    return out
 
 
 def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
