@@ -122,6 +122,17 @@ ALARM_CATEGORY_LABELS = {
 }
 ALARM_LOG_LABELS = {"overall": "General", "bubble": "Bubble / Air", "technical": "Technical"}
 
+# Wording of the model's features and of its explanation, shown as output.
+RATIO_LABEL = "Pressure/Flow instability index"
+FEATURE_WORDING = {
+    "rolling_mean_": "Avg. {} (recent trend)",
+    "rolling_std_": "{} — instability",
+    "delta_": "{} — rate of change",
+}
+EXPLAIN_NONE = "No feature importance available. Train the model first."
+EXPLAIN_FIRST = "The model identifies the following as the strongest early warning signals:"
+EXPLAIN_LAST = "Higher values in these parameters are associated with increased alarm risk."
+
 MAX_TRAINING_SESSIONS = 5
 HISTOGRAM_BINS = 30
 ROLLING_ROWS = 10
