@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from devicelog.llm.sizes import give_back
 from devicelog.session import written
 
 BLOCK_BYTES = 4 << 20
@@ -130,6 +131,7 @@ def make_blocks(docs: DataFrame, carry: list[str] | None = None, block_bytes: in
                     sources = [batch]
         if held:
             yield flush()
+        give_back()
 
     chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     chosen += [F.col(f"`{name}`").alias(f"k{i}") for i, name in enumerate(carry)]
@@ -167,6 +169,8 @@ def send(
                         rows, held = [], 0
                 if rows:
                     yield rows_of(block_id, rows)
+                rows = found = None
+                give_back()
 
     columns = ["block_id", "data", *(["found"] if has_found else [])]
     return blocks.select(*columns).mapInArrow(run, "bucket int, block_id long, payload binary")
@@ -188,6 +192,7 @@ def settle(packets: DataFrame, decide: Callable[[list[tuple[int, list]]], Iterab
         order = sorted(range(len(ids)), key=ids.__getitem__)
         payloads = table.column("payload")
         rows = list(decide([(ids[i], unpack(payloads[i].as_py())) for i in order]))
+        give_back()
         return pa.table(
             {"block_id": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())}
         )

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.llm.components import components
+from devicelog.llm.sizes import give_back
 from devicelog.session import written
 
 MAX_BITS = 3
@@ -62,6 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(_majority(b"".join(hashes), np.array(counts)), pa.int64())], names=["doc_id", "fp"]
             )
+        hashes = counts = None
+        give_back()
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, fp long")
@@ -157,6 +160,7 @@ def links(fps: DataFrame) -> DataFrame:
             values = batch.column(0).to_numpy(zero_copy_only=False)
             places, keys = golay_keys(values, code)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[places])], names=["key", "fp"])
+        give_back()
 
     keyed = fps.select("fp").mapInArrow(run, "key long, fp long")
     a, b = keyed.select("key", F.col("fp").alias("u")), keyed.select("key", F.col("fp").alias("v"))

@@ -1,7 +1,10 @@
-"""Tables whose size is measured before they are broadcast."""
+"""Tables whose size is measured before they are broadcast, and memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +18,12 @@ def measured(df: DataFrame, width: str) -> DataFrame:
     table = written(df)
     size = table.agg(F.sum(F.expr(width).cast("long"))).first()[0] or 0
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it stays, idle, beside the workers of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

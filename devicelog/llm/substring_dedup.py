@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from devicelog.llm import blocks as B
+from devicelog.llm.sizes import give_back
 from devicelog.llm.words import Words, find_words, run_hashes, word_hashes
 from devicelog.session import written
 
@@ -232,6 +233,8 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, carry: list[str] |
                     out.append(block.carried.column(f"k{k}").combine_chunks())
                     names.append(f"k{k}")
                 yield from pa.Table.from_arrays(out, names=names).to_batches()
+                del block, gone, rows, out
+                give_back()
 
     blocks = repeated_paths(B.make_blocks(docs, carry), length)
     out = blocks.select("data", "found").mapInArrow(finish, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from devicelog.llm import blocks as B
+from devicelog.llm.sizes import give_back
 from devicelog.session import written
 
 TRIGGER = 36
@@ -252,6 +253,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, carry: li
                     out.append(kept_columns.column(f"k{k}").combine_chunks())
                     names.append(f"k{k}")
                 yield from pa.Table.from_arrays(out, names=names).to_batches()
+                del block, gone, rows, out
+                give_back()
 
     blocks = covered_spans(B.make_blocks(docs, carry), length, hot)
     out = blocks.select("data", "found").mapInArrow(finish, schema)

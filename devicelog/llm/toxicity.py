@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from devicelog.llm.sizes import give_back
 from devicelog.session import written
 
 #: Labelled rows of each class that terms and classifier are fitted on, about.
@@ -296,6 +297,7 @@ def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None)
             scores = 1 / (1 + np.exp(-np.clip(np.array(logits, dtype=float), -700, 700)))
             columns = [batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     carry = carry or []
     rows = _texts(docs, *[F.col(f"`{name}`").alias(f"k{i}") for i, name in enumerate(carry)])
