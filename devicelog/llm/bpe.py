@@ -13,16 +13,18 @@ when no token goes on, so the lookahead is bounded by the longest tokens.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.llm.pieces import Encoder
+from devicelog.llm.sizes import give_back
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -190,6 +192,60 @@ class StreamDecoder:
         return self.rest().decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def _encoder(ranks_path: str, pattern: str) -> Encoder:
+    """Kept by a worker for its next tasks, with the words and states it has met."""
+    import regex
+
+    pieces_of = regex.compile(pattern).findall
+    transducer = Transducer(load_ranks(ranks_path))
+
+    def words(some: list[str]) -> list[bytes]:
+        return [transducer.encode(b" " + word.encode()) for word in some]
+
+    def many(some: list[str]) -> list[bytes]:
+        return [b"".join([transducer.encode(p.encode()) for p in pieces_of(text)]) for text in some]
+
+    return Encoder(words, many)
+
+
+@lru_cache(maxsize=1)
+def _decoder(ranks_path: str) -> StreamDecoder:
+    """Without held bytes between texts."""
+    return StreamDecoder({rank: token for token, rank in load_ranks(ranks_path).items()})
+
+
+def _slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of up to 1000 rows and about ``most`` bytes of a column of strings or bytes, or one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and (held + size > most or i - start == 1000):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def _decoded(stream: StreamDecoder, raw: bytes, chunk: int) -> Iterator[bytes]:
+    """The bytes of a text's ids, ``chunk`` ids at a time."""
+    ids = np.frombuffer(raw, dtype="<u4")
+    for k in range(0, len(ids), chunk):
+        yield stream.take(ids[k : k + chunk])
+    yield stream.rest()
+
+
+def _chosen(docs: DataFrame, carry: list[str] | None) -> tuple[DataFrame, dict[str, str]]:
+    chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    chosen += [F.col(f"`{name}`").alias(f"k{i}") for i, name in enumerate(carry or [])]
+    return docs.select(*chosen), {f"k{i}": name for i, name in enumerate(carry or [])}
+
+
+def _schema(rows: DataFrame) -> str:
+    return "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ``ids`` (4-byte little-endian) of each whole text, and the columns named by ``carry``.
 
@@ -199,64 +255,72 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        pieces_of = regex.compile(pattern).findall
-        transducer = Transducer(load_ranks(ranks_path))
-
-        def words(some: list[str]) -> list[bytes]:
-            return [transducer.encode(b" " + word.encode()) for word in some]
-
-        def many(some: list[str]) -> list[bytes]:
-            return [b"".join([transducer.encode(p.encode()) for p in pieces_of(text)]) for text in some]
-
-        encoder = Encoder(words, many)
-        gc.disable()  # the tables hold no cycles
+        encoder = _encoder(ranks_path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _slices(whole, 1):
                 ids = encoder.batch([text or "" for text in batch.column(1).to_pylist()])
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 columns = [batch.column(0), counts, pa.array(ids, pa.binary()), *batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", *names[2:]])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", *names])
+        give_back()
 
-    chosen = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    chosen += [F.col(f"`{name}`").alias(f"k{i}") for i, name in enumerate(carry or [])]
-    rows = docs.select(*chosen)
-    names = rows.columns
-    schema = "doc_id long, n_tokens long, ids binary" + "".join(
-        f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:]
-    )
-    return rows.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": name for i, name in enumerate(carry or [])})
+    rows, renamed = _chosen(docs, carry)
+    names = rows.columns[2:]
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + _schema(rows)).withColumnsRenamed(renamed)
 
 
 def decode(encoded: DataFrame, ranks_path: str, chunk: int = 65_536, with_text: bool = True) -> DataFrame:
     """``encoded`` with ``ids_sha256`` and ``decoded_sha256`` (of the decoded bytes) instead of ``ids``, and ``text``
-    unless only the digests are wanted."""
+    unless only the digests are wanted.
+
+    Null ids are no ids; other columns of any name but the new ones stay;
+    repeated rows and empty tables pass through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = StreamDecoder({rank: token for token, rank in load_ranks(ranks_path).items()})
+        stream = _decoder(ranks_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in _slices(whole, place):
                 texts, decoded, digests = [], [], []
                 for raw in batch.column(place).to_pylist():
-                    ids, parts, digest = np.frombuffer(raw, dtype="<u4"), [], hashlib.sha256()
-                    for k in range(0, len(ids), chunk):
-                        parts.append(stream.take(ids[k : k + chunk]))
-                        digest.update(parts[-1])
-                    parts.append(stream.rest())
-                    digest.update(parts[-1])
+                    parts = list(_decoded(stream, raw or b"", chunk))
+                    decoded.append(hashlib.sha256(b"".join(parts)).hexdigest())
+                    digests.append(hashlib.sha256(raw or b"").hexdigest())
                     if with_text:
                         texts.append("".join([p.decode("utf-8", "replace") for p in parts]))
-                    decoded.append(digest.hexdigest())
-                    digests.append(hashlib.sha256(raw).hexdigest())
                 columns = [c for k, c in enumerate(batch.columns) if k != place]
                 columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(texts, pa.string())] if with_text else [])], names=names)
+        give_back()
 
     place = encoded.columns.index("ids")
     kept = [f for f in encoded.schema.fields if f.name != "ids"]
     names = [f.name for f in kept] + ["ids_sha256", "decoded_sha256"] + ["text"] * with_text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return encoded.mapInArrow(run, schema + ", ids_sha256 string, decoded_sha256 string" + ", text string" * with_text)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | None = None, chunk: int = 65_536) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns named by ``carry``: ``encode`` and ``decode`` in one
+    pass, so that ids never leave the worker that made them. Cases as in ``encode``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, stream = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                counts, digests, decoded = [], [], []
+                for raw in encoder.batch([text or "" for text in batch.column(1).to_pylist()]):
+                    counts.append(len(raw) // 4)
+                    digests.append(hashlib.sha256(raw).hexdigest())
+                    digest = hashlib.sha256()
+                    for part in _decoded(stream, raw, chunk):
+                        digest.update(part)
+                    decoded.append(digest.hexdigest())
+                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
+        give_back()
+
+    rows, renamed = _chosen(docs, carry)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *rows.columns[2:]]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + _schema(rows)
+    return rows.mapInArrow(run, schema).withColumnsRenamed(renamed)

@@ -64,6 +64,11 @@ def test_bpe_of_documents_and_back(documents, rows, library):
         assert r["text"] == expected[r["doc_id"]]
         assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
         assert (r["lang"], r["found"]) == ("en", 2.0)
+    at_once = bpe.round_trip(documents(given), RANKS, public_tokenizers.PATTERN, carry=["lang", "found"], chunk=7)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lang", "found"]
+    assert at_once.columns == names
+    assert sorted(map(repr, at_once.collect())) == sorted(repr(r) for r in bpe.decode(encoded, RANKS, with_text=False).select(names).collect())
+    assert bpe.round_trip(documents(given).filter("doc_id < 0"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_stream_decoder_equals_decoding_at_once():
