@@ -64,9 +64,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, others = _with_plain_names(docs)
     names = dict(zip(plain.columns, docs.columns))
     others = [c for c in others if names[c].lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    encoded = bpe.encode(plain, ranks, public_tokenizers.PATTERN, carry=others)
-    found = bpe.decode(encoded, ranks, with_text=False).select("doc_id", *others, "n_tokens", "ids_sha256", "decoded_sha256")
-    return found.withColumnsRenamed({c: names[c] for c in others})
+    found = bpe.round_trip(plain, ranks, public_tokenizers.PATTERN, carry=others)
+    return found.select("doc_id", *others, "n_tokens", "ids_sha256", "decoded_sha256").withColumnsRenamed({c: names[c] for c in others})
 
 
 STAGES = [
