@@ -13,6 +13,7 @@ when no token goes on, so the lookahead is bounded by the longest tokens.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 130_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
@@ -206,6 +207,7 @@ def _encoder(ranks_path: str, pattern: str) -> Encoder:
     def many(some: list[str]) -> list[bytes]:
         return [b"".join([transducer.encode(p.encode()) for p in pieces_of(text)]) for text in some]
 
+    gc.disable()  # the tables hold no cycles
     return Encoder(words, many)
 
 
