@@ -1,7 +1,9 @@
 """Quality rules: counts of a text, and perplexity under an n-gram model of its language.
 
 The model is a modified Kneser-Ney model over the bytes of the texts, of order
-five, one per language. Spark counts the n-grams of all documents and derives
+four, two per language: each half of the different texts is scored by the model of the
+other half, since n-grams that a text brought in itself would make any junk look
+likely, and copies of a text share its half. Spark counts the n-grams of all documents and derives
 continuation counts, discounts, back-off weights and interpolated probabilities
 with joins. Words would need one row for nearly each pair of words; bytes keep
 the model to what the languages use, and it still grows with the texts.
@@ -11,9 +13,11 @@ For scoring, the model becomes sorted hash arrays: an invertible hash of
 ``ARRAY_ROWS`` rows they are sent to the executors; a larger model stays a table
 and n-grams are joined to it, with the same scores.
 
-A document is rejected if its perplexity lies outside its language's band: so
-many times the distance from the median to the 10th and the 90th percentile. A
-short text's figure is drawn towards the median, as it says less.
+A document is rejected if its perplexity lies outside its language's band:
+``BAND`` times the distance from the median to the lower or the upper quartile of the
+language's different texts that pass the base rules, on the scale of logarithms. The
+band of a text of n bytes is wider by the root of 1 + ``SHORT`` / n, as its figure
+scatters more.
 """
 
 from __future__ import annotations
@@ -22,18 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.llm.blocks import U64, mixed
+from devicelog.llm.sizes import measured
 from devicelog.llm.words import find_words, run_hashes, word_hashes
 from devicelog.session import written
 
-ORDER = 5
+ORDER = 4
 ARRAY_ROWS = 8_000_000
-BAND = 6.0
-#: So many bytes count as much as the median does.
-SHRINK = 400
+BAND = 8.0
+#: Texts of so many bytes scatter by the root of two more than long ones.
+SHORT = 100
+#: Quartiles are taken to be at least so far (in logarithms) from the median: texts of one kind, or near copies, are no measure.
+LEAST_SPREAD = 0.02
+#: A language with fewer different sound texts has no band.
+LEAST_TEXTS = 20
 MIN_WORDS = 20
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
@@ -77,8 +86,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _half(other: bool = False) -> Column:
+    """The language and the half of the documents that a text belongs to, or the other half; copies share theirs."""
+    half = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(2))
+    return F.concat("lang", F.lit("\t"), (1 - half if other else half).cast("string"))
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often each five bytes occur inside the texts of a language."""
+    """lang (with the half), gram, n: how often each ``ORDER`` bytes occur inside the texts of a language's half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -108,7 +123,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for lang in list(held):
             yield rows(lang)
 
-    counts = _texts(docs).select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counts = _texts(docs).select(_half().alias("lang"), "text").mapInArrow(run, "lang string, gram long, n long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -238,7 +253,7 @@ def repeat_words(data: np.ndarray, bounds: np.ndarray, width: int = 8) -> tuple[
 
 
 def measures(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, ``n_scored`` (n-grams) and ``log_p``, their sum."""
+    """doc_id, lang, key (of the text), the base counts, ``n_scored`` (n-grams) and ``log_p``, their sum."""
     spark = docs.sparkSession
     small = model.count() <= ARRAY_ROWS
     arrays = spark.sparkContext.broadcast(hash_arrays(model.toArrow())) if small else None
@@ -267,7 +282,7 @@ def measures(docs: DataFrame, model: DataFrame) -> DataFrame:
                 names = ["doc_id", "lang", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored", "log_p"]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *columns], names=names)
 
-    texts = _texts(docs).withColumn("key", F.xxhash64("text"))
+    texts = _texts(docs).withColumn("key", F.xxhash64("text")).withColumn("lang", _half(other=True))
     schema = (
         "doc_id long, lang string, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, n_scored long, log_p double"
@@ -275,7 +290,7 @@ def measures(docs: DataFrame, model: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(run, schema)
     if not small:
         rows = _scored_by_join(texts, rows.drop("n_scored", "log_p"), model)
-    return rows.drop("key")
+    return rows.withColumn("lang", F.expr("left(lang, length(lang) - 2)"))
 
 
 def _scored_by_join(texts: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
@@ -312,7 +327,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, perplexity, low, high, kept.
 
     Null texts have no words and fail; a null language, or a table without the
-    column, is the language "und"; a text of under five bytes has no perplexity
+    column, is the language "und"; a text of fewer bytes than ``ORDER`` has no perplexity,
+    a language of fewer than ``LEAST_TEXTS`` different sound texts no band,
     and only the base rules decide; repeated rows stay; an empty table gives an
     empty result; other columns make no difference.
     """
@@ -320,17 +336,21 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = measures(docs, model)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("x", -F.col("log_p") / F.nullif(F.col("n_scored"), F.lit(0)))
-    rows = written(rows)
-    sound = rows.filter("NOT base_failed AND x IS NOT NULL").groupBy("lang")
-    bands = sound.agg(F.percentile_approx("x", [0.1, 0.5, 0.9], 10_000).alias("q")).select(
-        F.col("lang").alias("band"),
-        F.col("q")[1].alias("middle"),
-        (F.col("q")[1] - BAND * (F.col("q")[1] - F.col("q")[0])).alias("low"),
-        (F.col("q")[1] + BAND * (F.col("q")[2] - F.col("q")[1])).alias("high"),
-    )
-    drawn = F.col("middle") + (F.col("x") - F.col("middle")) * F.col("n_scored") / (F.col("n_scored") + SHRINK)
-    joined = rows.join(bands, F.col("lang") == F.col("band"), "left").withColumn("drawn", drawn)
-    inside = F.coalesce((F.col("drawn") >= F.col("low")) & (F.col("drawn") <= F.col("high")), F.lit(True))
+    rows = written(rows.withColumn("spread", F.sqrt(1 + SHORT / F.nullif(F.col("n_scored"), F.lit(0)))))
+    # Each text once, however many copies it has.
+    sound = written(rows.filter("NOT base_failed AND x IS NOT NULL").groupBy("lang", "key").agg(F.first("x").alias("x"), F.first("spread").alias("spread")))
+    middles = sound.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10_000).alias("middle"), F.count("*").alias("texts"))
+    middles = middles.filter(F.col("texts") >= LEAST_TEXTS).select(F.col("lang").alias("of"), "middle")
+    middles = measured(middles, "octet_length(of) + 16")
+    apart = sound.join(middles, F.col("lang") == F.col("of")).withColumn("apart", (F.col("x") - F.col("middle")) / F.col("spread"))
+    quartiles = apart.groupBy("of").agg(F.first("middle").alias("middle"), F.percentile_approx("apart", [0.25, 0.75], 10_000).alias("q"))
+    far = lambda distance: BAND * F.greatest(distance, F.lit(LEAST_SPREAD))
+    bands = quartiles.select(F.col("of").alias("band"), "middle", far(-F.col("q")[0]).alias("below"), far(F.col("q")[1]).alias("above"))
+    bands = measured(bands, "octet_length(band) + 32")
+    joined = rows.join(bands, F.col("lang") == F.col("band"), "left")
+    joined = joined.withColumn("low", F.col("middle") - F.col("below") * F.col("spread"))
+    joined = joined.withColumn("high", F.col("middle") + F.col("above") * F.col("spread"))
+    inside = F.coalesce((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")), F.lit(True))
     return joined.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.exp("x").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"),

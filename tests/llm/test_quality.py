@@ -104,14 +104,46 @@ def test_quality_rules(spark, documents, rows, monkeypatch, array_rows):
 
 def test_model_probabilities_sum_to_one(documents):
     rng = random.Random(6)
-    docs = documents([(i, "".join(rng.choice("ab c") for _ in range(200))) for i in range(20)])
+    docs = documents([(i, "".join(rng.choice("ab c") for _ in range(200))) for i in range(40)])
     model = perplexity.kneser_ney(perplexity.count_grams(docs))
     arrays = perplexity.HashArrays(*perplexity.hash_arrays(model.toArrow()))
     import numpy as np
 
-    context = int.from_bytes(b"ab a", "big") << 8
-    total = np.exp(arrays.log_probabilities("en", context + np.arange(256))).sum()
-    assert abs(total - 1) < 1e-3
+    for lang in ("en\t0", "en\t1"):
+        for context in (b"ab ", b"a a", b"zab"):
+            total = np.exp(arrays.log_probabilities(lang, (int.from_bytes(context, "big") << 8) + np.arange(256))).sum()
+            assert abs(total - 1) < 1e-3
+    # A language without a model: each byte is as likely as any other.
+    assert np.allclose(arrays.log_probabilities("xx\t0", np.arange(3)), -np.log(256.0))
+
+
+def sound_text(rng, lang, n):
+    """Words of a language's syllables, frequent ones often."""
+    syllables = {"en": "the an re ing on sta ver tion ed ble ou".split(), "es": "que la de os ción ra mi ño lle as".split()}[lang]
+    words = [rng.choice(syllables) if rng.random() < 0.4 else "".join(rng.choice(syllables) for _ in range(rng.randint(2, 3))) for _ in range(n)]
+    return " ".join(words).capitalize() + "."
+
+
+def test_perplexity_bands_reject_junk_and_keep_sound_texts(spark, rows):
+    rng = random.Random(12)
+    sound = [(i, "en" if i % 3 else "es", sound_text(rng, "en" if i % 3 else "es", rng.randint(20, 250))) for i in range(600)]
+    # A third of the rows of a language are one text.
+    sound += [(1000 + i, "en", sound[1][2]) for i in range(200)]
+    consonants = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9)))
+    junk = [(2000 + i, "en", " ".join(consonants() for _ in range(rng.choice([25, 40, 200])))) for i in range(30)]
+    junk += [(2100 + i, "es", "".join(chr(rng.randrange(33, 127)) + " " * (k % 5 == 0) for k in range(400))) for i in range(10)]
+    junk += [(2200 + i, "en", sound_text(rng, "es", 60)) for i in range(5)]  # another language
+    # Frequent words only, drawn anew: likelier than other texts, though hardly below the band.
+    likely = [(2300 + i, "es", " ".join(rng.choice(["de", "que", "la"]) for _ in range(400))) for i in range(3)]
+    few = [(3000 + i, "xx", sound_text(rng, "en", 30) + str(i)) for i in range(perplexity.LEAST_TEXTS - 1)]
+    frame = spark.createDataFrame(sound + junk + likely + few, "doc_id LONG, lang STRING, text STRING").repartition(5)
+    got = {r["doc_id"]: r for r in rows(perplexity.judge(frame))}
+    judged = lambda some: [got[i]["kept"] for i, _, _ in some if not got[i]["base_failed"]]
+    assert sum(judged(sound[:600])) >= 0.95 * len(judged(sound[:600])) and all(judged(sound[600:]))
+    assert len(judged(junk)) > 40 and not any(judged(junk)), [(i, got[i]["perplexity"], got[i]["low"], got[i]["high"]) for i, _, _ in junk if got[i]["kept"]]
+    es = sorted(got[i]["perplexity"] for i, lang, _ in sound[:600] if lang == "es")
+    assert all(got[i]["perplexity"] < es[10] for i, _, _ in likely)
+    assert all(judged(few)) and got[3000]["low"] is None
 
 
 def test_quality_of_an_empty_table(documents):
