@@ -4,10 +4,14 @@ Tokens of the turns before a turn (prefix sums) choose the windows. With a
 stride of half of what the budget leaves beside history and system turn, a turn
 belongs to the stride that its last token falls into; the turns of a stride make
 a window, and a turn longer than a stride is a window alone. So every turn is
-new in exactly one window, windows end with turns, and no window but that of one
-overlong turn passes the budget. A window begins with the conversation's system
-turn and repeats whole turns of up to ``history`` tokens before it; repeated
-turns carry no loss.
+new in exactly one window, windows end with turns, and only the window of a turn
+longer than a stride may pass the budget. A window begins with the conversation's
+system turn and repeats whole turns of up to ``history`` tokens before it, or of
+a quarter of what the system turn leaves; repeated turns carry no loss. A system
+turn of more than half the budget stands in the first window alone. A stride is
+then at least 3/16 of the budget, a stride makes two windows at most beside those
+of longer turns, and all windows together hold less than eight times the tokens
+of the turns, and one window.
 
 Prefix sums are taken within blocks of a thousand turn numbers and over the
 blocks' sums, so a conversation with a third of all rows is not one task.
@@ -26,6 +30,7 @@ CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]")
 TURNS_PER_BLOCK = 1000
 #: Tokens that the marks of a turn count for.
 OVERHEAD = 4
+_NO_BLANKS = "".join(rf"\p{{Is{script}}}" for script in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 
 
 def escaped(text: Column, line: bool = False) -> Column:
@@ -44,8 +49,9 @@ def unescaped(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words and punctuation marks, as a measure of tokens that needs no vocabulary."""
-    return F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]")).cast("long")
+    """A measure of tokens that needs no vocabulary: begun dozens of a word's characters, punctuation marks, and each
+    character of scripts that write without blanks."""
+    return F.regexp_count(text, F.lit(rf"(?U)[{_NO_BLANKS}]|[\w&&[^{_NO_BLANKS}]]{{1,12}}|[^\w\s]")).cast("long")
 
 
 def placed_turns(conversations: DataFrame) -> DataFrame:
@@ -88,9 +94,11 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     system = turns.filter("pos = 0 AND role = 'system'").select(
         F.col("conv_id").alias("sc"), F.col("cost").alias("system_cost"), F.col("role").alias("srole"), F.col("text").alias("stext")
     )
-    costs = system.select("sc", "system_cost")
-    stride = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system_cost", F.lit(0))) / 2))
-    turns = turns.join(costs, _same("conv_id", "sc"), "left").withColumn("stride", stride)
+    system = system.filter(2 * F.col("system_cost") <= budget)
+    left = F.lit(budget) - F.coalesce("system_cost", F.lit(0))
+    turns = turns.join(system.select("sc", "system_cost"), _same("conv_id", "sc"), "left")
+    turns = turns.withColumn("history", F.least(F.lit(history), F.floor(left / 4)))
+    turns = turns.withColumn("stride", F.greatest(F.lit(1), F.floor((left - F.col("history")) / 2)))
     ends = F.floor((F.col("before") + F.col("cost") - 1) / F.col("stride"))
     # Sorts a long turn before the others that end in its stride.
     new = turns.withColumn("k", ends).withColumn("part", (F.col("cost") <= F.col("stride")).cast("int"))
@@ -103,12 +111,12 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     piece = F.struct(F.col("ord"), F.col("pos"), F.col("role"), F.col("text"), F.col("cost"))
     fresh = new.select("conv_id", "k", "part", F.lit(2).alias("ord"), "pos", "role", "text", "cost")
     places = F.sequence(
-        F.floor((F.col("before") + F.col("cost")) / F.col("stride")), F.floor((F.col("before") + history) / F.col("stride"))
+        F.floor((F.col("before") + F.col("cost")) / F.col("stride")), F.floor((F.col("before") + F.col("history")) / F.col("stride"))
     )
-    may = turns.filter((F.col("cost") <= history) & ~((F.col("pos") == 0) & (F.col("role") == "system")))
+    may = turns.filter((F.col("cost") <= F.col("history")) & ~((F.col("pos") == 0) & (F.col("role") == "system")))
     may = may.withColumn("at", F.explode(places))
     repeated = may.join(w, _same("conv_id", "wc") & (F.col("at") == F.col("place"))).filter(
-        (F.col("pos") < F.col("first_pos")) & (F.col("w_before") - F.col("before") <= history)
+        (F.col("pos") < F.col("first_pos")) & (F.col("w_before") - F.col("before") <= F.col("history"))
     )
     repeated = repeated.select("conv_id", F.col("wk").alias("k"), F.col("wpart").alias("part"), F.lit(1).alias("ord"), "pos", "role", "text", "cost")
     kept = w.filter("first_pos > 0").join(system, _same("wc", "sc")).select(

@@ -146,6 +146,44 @@ def test_chat_windows_read_back(spark):
     assert windows.filter("n_repeated > 1").count() > 0
 
 
+def plain_windows(costs, system, budget, history):
+    """Windows of one conversation by their definition: the place of the first new turn, new turns, repeated ones, tokens."""
+    kept = costs[0] if system and 2 * costs[0] <= budget else 0
+    own = min(history, (budget - kept) // 4)
+    stride = (budget - kept - own) // 2
+    before = [sum(costs[:i]) for i in range(len(costs))]
+    groups = {}
+    for i, cost in enumerate(costs):
+        groups.setdefault(((before[i] + cost - 1) // stride, cost <= stride), []).append(i)
+    out = []
+    for new in groups.values():
+        first = new[0]
+        again = [i for i in range(first) if costs[i] <= own and before[first] - before[i] <= own and not (system and i == 0)]
+        head = [0] if kept and first > 0 else []
+        out.append((first, len(new), len(head + again), sum(costs[i] for i in head + again + new)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("system_words", [0, 20, 200, 490, 800, 3000])
+def test_chat_windows_hold_the_budget_beside_long_system_turns(spark, system_words):
+    rng = random.Random(system_words)
+    turns = [(k + 1, ("user", "assistant")[k % 2], "w " * rng.choice([1, 3, 10, 60, 100] + [900] * (k % 40 == 7))) for k in range(150)]
+    turns = ([(0, "system", "s " * system_words)] if system_words else []) + turns
+    frame = spark.createDataFrame([(1, *t) for t in turns], "conv_id LONG, turn LONG, role STRING, text STRING")
+    got = chat.format_windows(frame).collect()
+    costs = [len(t.split()) + chat.OVERHEAD for _, _, t in turns]
+    windows = plain_windows(costs, system_words > 0, 1024, 256)
+    assert sorted((r.first_pos, r.n_turns, r.n_repeated, r.n_tokens) for r in got) == windows
+    assert all(not r.over_budget or r.n_turns == 1 and costs[r.first_pos] > 3 * 1024 // 16 for r in got)
+    assert sum(r.n_tokens for r in got) < 8 * sum(costs) + max(costs) + 1024
+
+
+def test_tokens_grow_with_the_characters_of_any_script(spark):
+    given = [("漢字" * 1300, 2600), ("かな。", 3), ("สวัสดี", 6), ("a " * 7, 7), ("abcdefghijklm", 2), ("x漢y", 3), ("a, b!", 4), ("", 0), ("é" * 25, 3)]
+    frame = spark.createDataFrame(given, "t STRING, n LONG")
+    assert [r.c for r in frame.select(chat.token_count(F.col("t")).alias("c")).collect()] == [n for _, n in given]
+
+
 def test_escapes_are_reversible_and_leave_no_control_string(spark):
     rng = random.Random(4)
     marks = ["\\", "n", "b", "i", "<", "|", "im_start", "|>", "<|im_start|>", "<s>", "</s>", "[INST]", "[", "/INST]", "\n"]
