@@ -36,6 +36,8 @@ TRIGGER = 36
 #: equal ones meet inside the blocks, and each window goes to the bucket of its own
 #: bytes, so that no task gets a phrase per document.
 HOT = 20_000
+#: Bytes of text in a block: a worker holds some thirty times as much for a moment.
+BLOCK_BYTES = 3 << 20
 U64 = np.uint64
 
 
@@ -256,6 +258,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, hot: int = HOT, carry: li
                 del block, gone, rows, out
                 give_back()
 
-    blocks = covered_spans(B.make_blocks(docs, carry), length, hot)
+    blocks = covered_spans(B.make_blocks(docs, carry, BLOCK_BYTES), length, hot)
     out = blocks.select("data", "found").mapInArrow(finish, schema)
     return out.withColumnsRenamed({f"k{i}": name for i, name in enumerate(carry)})
