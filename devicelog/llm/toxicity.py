@@ -2,18 +2,19 @@
 
 1. A bounded sample of labelled rows proposes terms: whole words and beginnings
    of words that toxic rows have far more often than others.
-2. Each of the best terms is a voter, and so are patterns over them (several
-   terms, a term that comes again, many terms for the length, a term at the
-   start). Every document votes; documents are counted by what they voted.
-3. A generative label model is fitted to those counts without labels, by
-   expectation maximisation: how often each voter speaks up in toxic and in
-   clean documents. Voters that agree beyond what their class explains share
-   their weight, by the correlations inside the classes.
+2. Each term is a voter, and so are patterns over them (several terms, a term that
+   comes again, many terms for the length, a term at the start). Every document
+   votes; documents are counted by what they voted.
+3. A generative label model is fitted to those counts, by expectation
+   maximisation that begins with the rates of the labelled sample and stays anchored
+   to them: how often each voter speaks up in toxic and in clean documents. Voters that agree beyond what
+   their class explains share their weight, by the correlations inside the classes.
 4. A linear classifier over all terms learns the model's posterior labels on
-   the sample; labels only place its threshold.
+   the sample; labels only place its threshold, which no text without a term passes.
 
-What the sample decides is bounded by ``FIT_ROWS`` and ``MAX_TERMS``; votes are
-counted over all documents, in Spark.
+What the sample decides is bounded by ``FIT_ROWS``; votes are counted over all
+documents, in Spark. Rows of equal texts with different labels count as what most
+of them say, toxic in a tie.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,12 @@ from devicelog.session import written
 
 #: Labelled rows of each class that terms and classifier are fitted on, about.
 FIT_ROWS = 6_000
-MAX_TERMS = 400
-MAX_VOTERS = 40
 ROUNDS = 12
-#: Of clean rows at most this share, against toxic ones, may have a term.
-PURE = 0.01
+#: A term is at least so many times as frequent in toxic rows as in clean ones.
+LEAST_RATIO = 50
+#: Rates of terms in the labelled sample weigh so many times as much as the votes: terms that never occur together
+#: would tell the label model nothing about each other.
+ANCHOR = 4.0
 PATTERNS = ("several", "again", "dense", "early")
 
 
@@ -46,6 +49,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Name, P(speaks up | toxic), P(speaks up | clean), weight.
+Voter = tuple[str, float, float, float]
+
+
 @dataclass
 class ToxicityModel:
     """Terms (``=`` before one: whole words only) with weights, and the fitted voters."""
@@ -53,9 +60,8 @@ class ToxicityModel:
     terms: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -6.0
-    n_voters: int = 0
     #: P(speaks up | toxic), P(speaks up | clean) of terms and patterns, and the weight left after correlations.
-    voters: list[tuple[str, float, float, float]] = field(default_factory=list)
+    voters: list[Voter] = field(default_factory=list)
 
 
 def _matcher(terms: list[str]):
@@ -85,17 +91,13 @@ def _matcher(terms: list[str]):
     return find if terms else lambda text: {}
 
 
-def _votes(found: dict[int, list[int]], size: int, n_voters: int) -> int:
-    """Bits of the voters that speak up: the first ``n_voters`` terms, then the patterns."""
-    votes = 0
-    for i in found:
-        if i < n_voters:
-            votes |= 1 << i
+def _votes(found: dict[int, list[int]], size: int, n_terms: int) -> list[int]:
+    """The voters that speak up, in order: terms, then patterns behind the last term."""
+    if not found:
+        return []
     hits = sum(map(len, found.values()))
     patterns = (len(found) > 1, any(len(x) > 1 for x in found.values()), hits * 400 > size, any(x[0] < 200 for x in found.values()))
-    for k, spoken in enumerate(patterns):
-        votes |= (hits > 0 and spoken) << (n_voters + k)
-    return votes
+    return sorted(found) + [n_terms + k for k, spoken in enumerate(patterns) if spoken]
 
 
 def _texts(docs: DataFrame, *more: Column) -> DataFrame:
@@ -103,7 +105,7 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """doc_id, text and label of about ``FIT_ROWS`` rows of each class, none of them held out."""
+    """Text and label of about ``FIT_ROWS`` rows of each class, none of them held out."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     counts = {row[0]: row[1] for row in known.groupBy("toxic").count().collect()}
@@ -113,11 +115,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     chosen = written(known.filter(chance < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0))))
     # Two classes of at most about FIT_ROWS rows of two numbers.
-    return written(_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]))
+    rows = _texts(docs).join(F.broadcast(chosen), "doc_id")
+    return written(rows.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic")))
 
 
 def _propose(sample: DataFrame) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
-    """Terms with the toxic and the clean rows that have them, the most telling first."""
+    """Terms with the toxic and the clean rows that have them, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(r"[^\W\d_]+")
@@ -139,12 +142,9 @@ def _propose(sample: DataFrame) -> tuple[list[tuple[str, int, int]], dict[int, i
         return [], sizes
     counts = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "term string, toxic long, clean long")
     counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = (F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0)
     # By chance a term of so many rows would hardly ever lie in toxic ones alone.
     least = max(3, int(np.ceil(np.log(1e-7) / np.log(n1 / (n0 + n1)))) if n1 + n0 > 500 else 3)
-    pure = F.col("clean") / n0 <= PURE * F.col("toxic") / n1
-    best = counts.filter((F.col("toxic") >= least) & pure).withColumn("gain", F.col("toxic") * F.log(ratio))
-    rows = best.orderBy(F.desc("gain"), "term").limit(20 * MAX_TERMS).collect()
+    rows = counts.filter((F.col("toxic") >= least) & (F.col("toxic") / n1 >= LEAST_RATIO * F.col("clean") / n0)).collect()
     return _pruned([(r.term, r.toxic, r.clean) for r in rows]), sizes
 
 
@@ -161,63 +161,109 @@ def _pruned(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
             kept[word] = row
         elif kept[shorter][2] > 0.02 * kept[shorter][1] and row[2] * kept[shorter][1] < kept[shorter][2] * row[1]:
             kept[word] = row
-    return sorted(kept.values(), key=lambda r: (-r[1], r[0]))[:MAX_TERMS]
+    return sorted(kept.values(), key=lambda r: (-r[1], r[0]))
+
+
+def _weights(voters: list[Voter], prior: float) -> tuple[float, np.ndarray]:
+    """The logarithm of the odds of a toxic document in which nobody speaks up, and what each voter adds to it."""
+    t1, t0, weight = (np.array([v[k] for v in voters]) for k in (1, 2, 3))
+    silent = weight * np.log((1 - t1) / (1 - t0))
+    return float(np.log(prior / (1 - prior)) + silent.sum()), weight * np.log(t1 / t0) - silent
+
 
+def posteriors(votes: list[list[int]], voters: list[Voter], prior: float) -> np.ndarray:
+    """P(toxic) given who speaks up."""
+    base, adds = _weights(voters, prior)
+    return 1 / (1 + np.exp(-np.clip(np.array([base + adds[v].sum() if v else base for v in votes]), -700, 700)))
 
-def _bit(i: int) -> Column:
-    return F.shiftrightunsigned("votes", i).bitwiseAND(F.lit(1)).cast("double")
 
+def _summed(counts: DataFrame, voters: list[Voter], prior: float) -> dict[int, tuple[float, float]]:
+    """Of each voter the toxic and the clean documents in which it speaks up; of all documents under -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, len(voters) + 1))
+        for batch in batches:
+            votes, n = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
+            q = posteriors(votes, voters, prior)
+            flat = np.array([i for v in votes for i in v], dtype=np.int64)
+            row = np.repeat(np.arange(len(votes)), [len(v) for v in votes])
+            for k, share in enumerate((n * q, n * (1 - q))):
+                sums[k, :-1] += np.bincount(flat, weights=share[row], minlength=len(voters))
+                sums[k, -1] += share.sum()
+        ids = [*range(len(voters)), -1]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums[0]), pa.array(sums[1])], names=["i", "a", "b"])
+
+    rows = counts.select("votes", "n").mapInArrow(run, "i int, a double, b double").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return {r.i: (r.a, r.b) for r in rows.collect()}
 
-def _log_odds(voters: list[tuple[str, float, float, float]], prior: float) -> Column:
-    """The logarithm of the odds of a toxic document, given who spoke up."""
-    total = F.lit(float(np.log(prior / (1 - prior))))
-    for i, (_, t1, t0, weight) in enumerate(voters):
-        silent = np.log((1 - t1) / (1 - t0))
-        total = total + weight * (silent + _bit(i) * (np.log(t1 / t0) - silent))
-    return total
 
+def _label_model(counts: DataFrame, voters: list[Voter], prior: float, anchored: int = 0, anchor: float = ANCHOR) -> list[Voter]:
+    """Fit the voters to the counts of votes (columns votes, n), from where they stand.
 
-def _label_model(counts: DataFrame, names: list[str], prior: float) -> list[tuple[str, float, float, float]]:
-    """Fit the voters to the counts of votes (columns votes, n)."""
+    The first ``anchored`` voters are held to where they stand as by ``anchor`` times all documents.
+    """
+    start = voters
     clip = lambda x: float(min(max(x, 1e-6), 0.999))
-    voters = [(name, 0.3, 0.003, 1.0) for name in names]
     for _ in range(ROUNDS):
-        q = counts.withColumn("q", 1 / (1 + F.exp(-_log_odds(voters, prior))))
-        sums = q.agg(
-            F.sum(F.col("n") * F.col("q")).alias("n1"),
-            F.sum(F.col("n") * (1 - F.col("q"))).alias("n0"),
-            *[F.sum(F.col("n") * F.col("q") * _bit(i)).alias(f"a{i}") for i in range(len(names))],
-            *[F.sum(F.col("n") * (1 - F.col("q")) * _bit(i)).alias(f"b{i}") for i in range(len(names))],
-        ).first()
-        if sums is None or not sums["n1"]:
+        sums = _summed(counts, voters, prior)
+        n1, n0 = sums.get(-1, (0.0, 0.0))
+        if not n1:
             return voters
         before = voters
+        k = [anchor if i < anchored else 0.0 for i in range(len(voters))]
         voters = [
-            (name, clip((sums[f"a{i}"] + 0.1) / (sums["n1"] + 1)), clip((sums[f"b{i}"] + 0.001) / (sums["n0"] + 1)), 1.0)
-            for i, name in enumerate(names)
+            (
+                v[0],
+                clip((sums[i][0] + 0.1 + k[i] * n1 * v[1]) / (n1 + 1 + k[i] * n1)),
+                clip((sums[i][1] + 0.001 + k[i] * n0 * v[2]) / (n0 + 1 + k[i] * n0)),
+                1.0,
+            )
+            for i, v in enumerate(start)
         ]
         if max(abs(a[1] - b[1]) for a, b in zip(voters, before)) < 1e-4:
             break
-    return _share_weight(counts, voters, prior, sums["n1"], sums["n0"])
+    return _share_weight(counts, voters, prior, n1, n0)
 
 
-def _share_weight(counts: DataFrame, voters: list, prior: float, n1: float, n0: float) -> list[tuple[str, float, float, float]]:
+def _share_weight(counts: DataFrame, voters: list[Voter], prior: float, n1: float, n0: float) -> list[Voter]:
     """Voters that agree beyond their class divide their weight."""
-    bits = F.expr(f"filter(sequence(0, {len(voters) - 1}), i -> (shiftrightunsigned(votes, i) & 1) = 1)")
-    q = counts.withColumn("q", 1 / (1 + F.exp(-_log_odds(voters, prior)))).withColumn("spoken", bits)
-    pairs = q.select("n", "q", "spoken", F.explode("spoken").alias("i")).select("n", "q", "i", F.explode("spoken").alias("j"))
-    # At most a row for each pair of voters.
-    rows = pairs.filter("i < j").groupBy("i", "j").agg(F.sum(F.col("n") * F.col("q")).alias("a"), F.sum(F.col("n") * (1 - F.col("q"))).alias("b")).collect()
-    extra = np.zeros(len(voters))
-    for r in rows:
-        correlation = 0.0
-        for both, total, k in ((r.a, n1, 1), (r.b, n0, 2)):
-            x, y = voters[r.i][k], voters[r.j][k]
-            spread = np.sqrt(x * (1 - x) * y * (1 - y))
-            share = n1 / (n1 + n0) if k == 1 else n0 / (n1 + n0)
-            correlation += share * max(0.0, (both / max(total, 1e-9) - x * y) / spread)
-        extra[[r.i, r.j]] += min(correlation, 1.0)
-    return [(name, t1, t0, float(1 / (1 + e))) for (name, t1, t0, _), e in zip(voters, extra)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[float]] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([p[k] for p in held], pa.int32()) for k in (0, 1)] + [pa.array([x[k] for x in held.values()], pa.float64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["i", "j", "a", "b"])
+
+        for batch in batches:
+            votes = batch.column(0).to_pylist()
+            for v, n, q in zip(votes, batch.column(1).to_pylist(), posteriors(votes, voters, prior).tolist()):
+                for pair in combinations(v, 2):
+                    own = held.setdefault(pair, [0.0, 0.0])
+                    own[0] += n * q
+                    own[1] += n * (1 - q)
+                    if len(held) > 500_000:
+                        yield rows()
+                        held.clear()
+        yield rows()
+
+    pairs = counts.select("votes", "n").mapInArrow(run, "i int, j int, a double, b double")
+    pairs = pairs.groupBy("i", "j").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.array([v[1:3] for v in voters])
+        for batch in batches:
+            i, j, a, b = (column.to_numpy() for column in batch.columns)
+            both = np.zeros(len(i))
+            for k, (together, total) in enumerate(((a, n1), (b, n0))):
+                x, y = t[i, k], t[j, k]
+                spread = np.sqrt(x * (1 - x) * y * (1 - y))
+                both += total / (n1 + n0) * np.maximum(0.0, (together / max(total, 1e-9) - x * y) / spread)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.minimum(both, 1.0))], names=["i", "j", "c"])
+
+    found = pairs.mapInArrow(agreement, "i int, j int, c double").withColumn("v", F.explode(F.array("i", "j")))
+    extra = {r.v: r.c for r in found.groupBy("v").agg(F.sum("c").alias("c")).collect()}
+    return [(name, t1, t0, float(1 / (1 + extra.get(i, 0.0)))) for i, (name, t1, t0, _) in enumerate(voters)]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -229,57 +275,63 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     if not proposed:
         return ToxicityModel()
     terms = [t for t, _, _ in proposed]
-    n_voters = min(len(terms), MAX_VOTERS)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _matcher(terms)
         for batch in batches:
-            counts = Counter(_votes(find(t.lower()), len(t), n_voters) for t in batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (counts.keys(), counts.values())], names=["votes", "n"])
+            counts = Counter(tuple(_votes(find(t.lower()), len(t), len(terms))) for t in batch.column(0).to_pylist())
+            columns = [pa.array(list(counts.keys()), pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["votes", "n"])
+        give_back()
 
-    counts = _texts(docs).select("text").mapInArrow(vote, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    counts = _texts(docs).select("text").mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     counts = written(counts)
     known = labels.filter("toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = float(min(max(known or 0.1, 0.01), 0.5))
-    voters = _label_model(counts, terms[:n_voters] + list(PATTERNS), prior)
-    weights, bias = _classifier(sample, terms, n_voters, voters, prior)
-    return ToxicityModel(terms, weights, bias, n_voters, voters)
+    rate = lambda n, of: float(min(max((n + 0.05) / (of + 1), 1e-6), 0.999))
+    # Patterns have no rates yet; the first round gives them theirs.
+    voters = [(t, rate(toxic, sizes[1]), rate(clean, sizes[0]), 1.0) for t, toxic, clean in proposed] + [(p, 0.01, 0.01, 1.0) for p in PATTERNS]
+    voters = _label_model(counts, voters, prior, anchored=len(terms))
+    weights, bias = _classifier(sample, terms, voters, prior)
+    return ToxicityModel(terms, weights, bias, voters)
 
 
-def _classifier(sample: DataFrame, terms: list[str], n_voters: int, voters: list, prior: float) -> tuple[np.ndarray, float]:
+def _classifier(sample: DataFrame, terms: list[str], voters: list[Voter], prior: float) -> tuple[np.ndarray, float]:
     """A logistic regression over the sample's terms, on the label model's posterior; bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _matcher(terms)
         for batch in batches:
-            found = [find(t.lower()) for t in batch.column(0).to_pylist()]
-            votes = [_votes(f, len(t), n_voters) for f, t in zip(found, batch.column(0).to_pylist())]
-            columns = [pa.array([sorted(f) for f in found], pa.list_(pa.int32())), pa.array(votes, pa.int64()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["found", "votes", "toxic"])
-
-    rows = sample.select("text", "toxic").mapInArrow(run, "found array<int>, votes long, toxic int")
-    rows = rows.withColumn("q", 1 / (1 + F.exp(-_log_odds(voters, prior)))).select("found", "toxic", "q").collect()
-    x = np.zeros((len(rows), len(terms)))
-    for i, row in enumerate(rows):
-        x[i, row.found] = 1
+            texts = batch.column(0).to_pylist()
+            found = [find(t.lower()) for t in texts]
+            q = posteriors([_votes(f, len(t), len(terms)) for f, t in zip(found, texts)], voters, prior)
+            columns = [pa.array([sorted(f) for f in found], pa.list_(pa.int32())), pa.array(q), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["found", "q", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "found array<int>, q double, toxic int").collect()
+    column = np.array([i for row in rows for i in row.found], dtype=np.int64)
+    line = np.repeat(np.arange(len(rows)), [len(row.found) for row in rows])
+    scored = lambda w: np.bincount(line, weights=w[column], minlength=len(rows))
+    gathered = lambda e: np.bincount(column, weights=e[line], minlength=len(terms))
     q, y = np.array([r.q for r in rows]), np.array([r.toxic for r in rows])
     # The sample has more toxic rows than the documents; weigh them back.
     balance = np.where(y == 1, prior / max((y == 1).mean(), 1e-9), (1 - prior) / max((y == 0).mean(), 1e-9))
     w, b = np.zeros(len(terms)), float(np.log(prior / (1 - prior)))
     for _ in range(400):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
+        p = 1 / (1 + np.exp(-(scored(w) + b)))
         error = balance * (p - q)
         # Each weight has its own step: rare terms would hardly move otherwise.
-        w -= 2.0 * (x.T @ error + 0.02 * w) / (x.T @ balance * 0.25 + 1.0)
+        w -= 2.0 * (gathered(error) + 0.02 * w) / (gathered(balance) * 0.25 + 1.0)
         b -= 2.0 * error.sum() / (balance.sum() * 0.25 + 1.0)
-    scores = x @ w + b
+    scores = scored(w) + b
     order = np.argsort(-scores, kind="stable")
     hit, miss = np.cumsum(balance[order] * (y[order] == 1)), np.cumsum(balance[order] * (y[order] == 0))
     f1 = 2 * hit / (hit + miss + (balance * (y == 1)).sum())
     ends = np.concatenate([np.diff(scores[order]) != 0, [True]])
     best = int(np.argmax(np.where(ends, f1, -1)))
     lower = scores[order][best + 1] if best + 1 < len(scores) else scores[order][best] - 2
-    return w, b - float(scores[order][best] + lower) / 2
+    # A text without a term has the score b, and is never toxic.
+    return w, b - max(float(scores[order][best] + lower) / 2, b + 0.01)
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
