@@ -12,6 +12,7 @@ import sys
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -68,6 +69,73 @@ def test_toxicity_without_labels(spark, documents):
     assert toxicity.score(docs.filter("doc_id < 0"), toxicity.fit(docs.filter("doc_id < 0"), none)).count() == 0
 
 
+def test_toxicity_of_a_long_tail_of_terms(spark, documents, rows):
+    """Each toxic text has one of 50 terms, once and late, in four languages; one label in a hundred is wrong."""
+    rng = random.Random(5)
+    syllables = {"en": "th er ing on", "de": "sch ein ung zu", "es": "ción os la ra", "fr": "eau eux le ment"}
+    terms = [f"vile{a}{b}" for a in "bcdfghjklm" for b in ("ox", "um", "ath", "eg", "ur")]
+    given = []
+    for i in range(6500):
+        some = syllables[rng.choice(list(syllables))].split()
+        words = ["".join(rng.choice(some) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(60, 90))]
+        toxic = i % 4 == 0
+        if toxic:
+            words[-rng.randint(1, 10)] = rng.choice(terms)[::-1] + "z"  # no common beginnings
+        given.append((i, " ".join(words), int(toxic), int(toxic) ^ (rng.random() < 1 / 100)))
+    docs = documents([(i, t) for i, t, _, _ in given])
+    labels = spark.createDataFrame([(i, label) for i, _, _, label in given], "doc_id LONG, toxic INT")
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in rows(toxicity.score(docs, model))}
+    caught = [got[i]["predicted"] for i, _, toxic, _ in given if toxic and got[i]["held_out"]]
+    wrong = [got[i]["predicted"] for i, _, toxic, _ in given if not toxic and got[i]["held_out"]]
+    assert len(model.terms) >= 40 and sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_toxicity_without_telling_terms_calls_nothing_toxic(spark, documents):
+    rng = random.Random(9)
+    given = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(20))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.3)) for i, _ in given], "doc_id LONG, toxic INT")
+    docs = documents(given)
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).filter("predicted = 1").count() == 0
+
+
+def test_toxicity_labels_of_equal_texts_are_settled(spark, documents):
+    rows = [(i, "one text") for i in range(10)] + [(i, "other text") for i in range(10, 20)] + [(i, "third") for i in range(20, 40)]
+    labels = spark.createDataFrame([(i, int(i % 10 < 8)) for i in range(20)] + [(i, int(i % 10 < 3)) for i in range(20, 40)], "doc_id LONG, toxic INT")
+    found = {r.text: r.toxic for r in toxicity._sample(documents(rows), labels).collect()}
+    assert found["third"] == 0 and found["one text"] == 1
+
+
+def test_label_model_equals_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(3)
+    truth, rates = rng.random(3000) < 0.2, np.array([[0.4, 0.02], [0.3, 0.01], [0.2, 0.05], [0.5, 0.3]])
+    x = rng.random((3000, 4)) < np.where(truth[:, None], rates[:, 0], rates[:, 1])
+    sets = collections.Counter(tuple(int(k) for k in np.flatnonzero(row)) for row in x)
+    counts = spark.createDataFrame([(list(v), n) for v, n in sets.items()], "votes ARRAY<INT>, n LONG").repartition(3)
+    start = [(str(k), 0.3, 0.03, 1.0) for k in range(4)]
+    got = toxicity._label_model(counts, start, 0.2)
+    t1, t0 = np.full(4, 0.3), np.full(4, 0.03)
+    for _ in range(toxicity.ROUNDS):
+        odds = np.log(0.2 / 0.8) + (x * np.log(t1 / t0) + ~x * np.log((1 - t1) / (1 - t0))).sum(axis=1)
+        q = 1 / (1 + np.exp(-odds))
+        t1, t0, before = (q @ x + 0.1) / (q.sum() + 1), ((1 - q) @ x + 0.001) / ((1 - q).sum() + 1), t1
+        if abs(t1 - before).max() < 1e-4:
+            break
+    assert np.allclose([v[1] for v in got], t1) and np.allclose([v[2] for v in got], t0)
+    # Weights: one over one more than the agreement beyond the classes.
+    odds = np.log(0.2 / 0.8) + (x * np.log(t1 / t0) + ~x * np.log((1 - t1) / (1 - t0))).sum(axis=1)
+    q = 1 / (1 + np.exp(-odds))
+    for i, v in enumerate(got):
+        extra = 0.0
+        for j in set(range(4)) - {i}:
+            parts = []
+            for w, t in ((q, t1), (1 - q, t0)):
+                both = (w @ (x[:, i] & x[:, j])) / w.sum() - t[i] * t[j]
+                parts.append(w.sum() / 3000 * max(0.0, both / np.sqrt(t[i] * (1 - t[i]) * t[j] * (1 - t[j]))))
+            extra += min(sum(parts), 1.0)
+        assert abs(v[3] - 1 / (1 + extra)) < 0.02
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -107,8 +175,6 @@ def test_model_probabilities_sum_to_one(documents):
     docs = documents([(i, "".join(rng.choice("ab c") for _ in range(200))) for i in range(40)])
     model = perplexity.kneser_ney(perplexity.count_grams(docs))
     arrays = perplexity.HashArrays(*perplexity.hash_arrays(model.toArrow()))
-    import numpy as np
-
     for lang in ("en\t0", "en\t1"):
         for context in (b"ab ", b"a a", b"zab"):
             total = np.exp(arrays.log_probabilities(lang, (int.from_bytes(context, "big") << 8) + np.arange(256))).sum()
