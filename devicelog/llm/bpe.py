@@ -16,7 +16,6 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
@@ -193,9 +192,8 @@ class StreamDecoder:
         return self.rest().decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
 def _encoder(ranks_path: str, pattern: str) -> Encoder:
-    """Kept by a worker for its next tasks, with the words and states it has met."""
+    """Made for each task and dropped with it: a worker that kept its tables would hold them beside later stages."""
     import regex
 
     pieces_of = regex.compile(pattern).findall
@@ -211,12 +209,17 @@ def _encoder(ranks_path: str, pattern: str) -> Encoder:
     return Encoder(words, many)
 
 
-@lru_cache(maxsize=1)
 def _decoder(ranks_path: str) -> StreamDecoder:
     """Without held bytes between texts."""
     return StreamDecoder({rank: token for token, rank in load_ranks(ranks_path).items()})
 
 
+def _end() -> None:
+    """After a task dropped its tables."""
+    gc.enable()
+    give_back()
+
+
 def _slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of up to 1000 rows and about ``most`` bytes of a column of strings or bytes, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
@@ -264,7 +267,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 columns = [batch.column(0), counts, pa.array(ids, pa.binary()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", *names])
-        give_back()
+        encoder = None
+        _end()
 
     rows, renamed = _chosen(docs, carry)
     names = rows.columns[2:]
@@ -320,7 +324,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str]
                     decoded.append(digest.hexdigest())
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
-        give_back()
+        encoder = stream = None
+        _end()
 
     rows, renamed = _chosen(docs, carry)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *rows.columns[2:]]
