@@ -27,7 +27,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 from itertools import groupby
 
 import pyarrow as pa
@@ -44,8 +44,6 @@ FAN_IN = 16
 HELD_NODES = 200_000
 #: Different pages that must share a text before it counts as template.
 LEAST_PAGES = 3
-#: Beyond this product of lengths only the beginnings and ends of two runs are matched; the rest is optional.
-ALIGNED_PAIRS = 4_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -237,6 +235,53 @@ def _flat(wrapper: list[tuple], side: int) -> list[tuple[tuple, object]]:
     return flat
 
 
+class _Runs(SequenceMatcher):
+    """The runs that ``SequenceMatcher`` finds, at any size: the longest common run of two ranges comes from the
+    suffix automaton of the second, in time linear in both, where the plain search takes their product."""
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> Match:
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        # Of each state: its moves, its suffix link, the length of its longest run and where that ends first.
+        moves: list[dict[str, int]] = [{}]
+        link, size, ends = [-1], [0], [-1]
+        whole = 0
+        for j in range(blo, bhi):
+            x, at, whole = self.b[j], whole, len(moves)
+            moves.append({})
+            link.append(0)
+            size.append(size[at] + 1)
+            ends.append(j)
+            while at >= 0 and x not in moves[at]:
+                moves[at][x] = whole
+                at = link[at]
+            if at < 0:
+                continue
+            to = moves[at][x]
+            if size[to] > size[at] + 1:  # longer runs end elsewhere too: the state is split
+                split = len(moves)
+                moves.append(moves[to].copy())
+                link.append(link[to])
+                size.append(size[at] + 1)
+                ends.append(ends[to])
+                link[to] = split
+                while at >= 0 and moves[at].get(x) == to:
+                    moves[at][x] = split
+                    at = link[at]
+                to = split
+            link[whole] = to
+        best, at, length = Match(alo, blo, 0), 0, 0
+        for i in range(alo, ahi):
+            x = self.a[i]
+            while at and x not in moves[at]:
+                at = link[at]
+                length = size[at]
+            at = moves[at].get(x, 0)
+            length = length + 1 if at else 0
+            if length > best.size:
+                best = Match(i - length + 1, ends[at] - length + 1, length)
+        return best
+
+
 def _matches(left: list[str], right: list[str]) -> Iterator[tuple[bool, int, int, int, int]]:
     """Runs of both sides in order, and whether they are equal."""
     least = min(len(left), len(right))
@@ -244,11 +289,8 @@ def _matches(left: list[str], right: list[str]) -> Iterator[tuple[bool, int, int
     tail = next((i for i in range(least - head) if left[-1 - i] != right[-1 - i]), least - head)
     a, b = len(left) - tail, len(right) - tail
     yield True, 0, head, 0, head
-    if (a - head) * (b - head) > ALIGNED_PAIRS or head in (a, b):
-        yield False, head, a, head, b
-    else:
-        for kind, i, j, k, m in SequenceMatcher(None, left[head:a], right[head:b], autojunk=False).get_opcodes():
-            yield kind == "equal", head + i, head + j, head + k, head + m
+    for kind, i, j, k, m in _Runs(None, left[head:a], right[head:b], autojunk=False).get_opcodes():
+        yield kind == "equal", head + i, head + j, head + k, head + m
     yield True, a, len(left), b, len(right)
 
 

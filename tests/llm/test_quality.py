@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import difflib
 import html
 import os
 import random
@@ -295,6 +296,19 @@ def test_wrappers_match_what_they_were_aligned_with():
                 raise AssertionError(shape)
 
 
+def test_long_runs_are_matched_like_short_ones():
+    random.seed(7)
+    for symbols in (2, 3, 9):
+        for _ in range(200):
+            a, b = ([str(random.randrange(symbols)) for _ in range(random.randrange(40))] for _ in range(2))
+            assert wrappers._Runs(None, a, b, autojunk=False).get_opcodes() == difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    middle = [f"<c{random.randrange(10**6)}>" for _ in range(3000)]
+    a, b = ["<x>", *middle[:1500], "<y>", *middle[1500:], "<x>"], ["<z>", *middle[:700], "<x>", *middle[700:], "<z>"]
+    found = list(wrappers._matches(a, b))
+    assert sum(i1 - i0 for same, i0, i1, _, _ in found if same) == 3000
+    assert all(a[i0:i1] == b[j0:j1] for same, i0, i1, j0, j1 in found if same)
+
+
 def test_main_text_of_given_pages(spark):
     frame = spark.read.parquet(f"{SF}/pages.parquet")
     source = {r.page_id: r.html for r in frame.collect()}
