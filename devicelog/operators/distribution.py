@@ -167,7 +167,8 @@ def correlations(log: DataFrame) -> DataFrame:
     central moments, and become rows afterwards.
     """
     pairs = list(combinations(MEASUREMENTS, 2))
-    moments = [F.expr(f"corr({a}, {b}) AS `{a}*{b}`") for a, b in pairs]
+    # ``corr`` divides by zero where a parameter does not vary, an error in ANSI mode.
+    moments = [F.expr(f"regr_sxy({a}, {b}) / nullif(sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})), 0D) AS `{a}*{b}`") for a, b in pairs]
     moments += [F.expr(f"IF(var_samp({c}) > 0, 1.0D, NULL) AS `{c}*{c}`") for c in MEASUREMENTS]
     names = [(c, c) for c in MEASUREMENTS] + pairs
     varying = " + ".join(f"IF(`{c}*{c}` IS NULL, 0, 1)" for c in MEASUREMENTS)
