@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from devicelog.llm import blocks as B
 from devicelog.llm.sizes import give_back
-from devicelog.llm.words import Words, find_words, run_hashes, word_hashes
+from devicelog.llm.words import find_words, run_hashes, word_hashes
 from devicelog.session import written
 
 ANCHOR = 6
@@ -65,9 +65,38 @@ def _paths(flags: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def _candidates(block: B.Block, shared: np.ndarray, length: int):
+    """Words, their hashes, which windows have a shared anchor, and the nodes."""
+    words, hashes, valid, lowest, _, _ = _edges(block, length)
+    return words, hashes, valid & B.place_in(shared, lowest)[1], run_hashes(hashes, length - 1)
+
+
+def _said(found: list, kind: bytes) -> list:
+    return [f for f in found if isinstance(f[0], bytes) and f[0] == kind]
+
+
+def _paths_of(block: B.Block, found: list, length: int):
+    """Words, starts and ends (in windows), doc_ids and keys of a block's paths, by the answers that it got."""
+    shared = [f for f in found if not isinstance(f[0], bytes)]
+    if not shared:
+        return None
+    words, _, flags, nodes = _candidates(block, B.known(shared)[0], length)
+    breaks = np.sort(np.concatenate([np.zeros(0, dtype=U64), *[f[1] for f in _said(found, b"node")]]))
+    starts, ends = _paths(flags, B.place_in(breaks, nodes[: len(flags)])[1])
+    if not len(starts):
+        return None
+    ids = block.ids[np.searchsorted(words.bounds, starts, side="right") - 1]
+    raw = block.bytes
+    digests = b"".join(
+        xxhash.xxh3_128_digest(b" ".join(raw[a:b].split()))
+        for a, b in zip(words.starts[starts].tolist(), words.ends[ends + length - 2].tolist())
+    )
+    return words, starts, ends, ids, np.frombuffer(digests, dtype=U64).reshape(-1, 2)
+
+
 def repeated_paths(blocks: DataFrame, length: int = 13) -> DataFrame:
-    """Blocks with ``found``: first the paths of the block, (start, end, key, key), in windows;
-    then answers (key, key, smallest doc_id) for paths that a smaller doc_id holds."""
+    """Blocks with ``found``: shared anchors and branching nodes, from which a block makes its paths again
+    (they would be more bytes than the texts), and (key, key, smallest doc_id) for paths that a smaller doc_id holds."""
 
     def anchors_of(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         found = _edges(block, length)
@@ -80,17 +109,13 @@ def repeated_paths(blocks: DataFrame, length: int = 13) -> DataFrame:
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (document[1:] != document[:-1])])[: len(key)]
         return np.unique(key[new], return_counts=True)
 
-    marked = written(B.repeated_anchors(blocks, anchors_of, 2**62, 16 << 20).filter("found is not null"))
+    marked = written(B.repeated_anchors(blocks, anchors_of, 2**62, 16 << 20).withColumnRenamed("found", "anchors"))
     n = B.bucket_count(blocks, 8 << 20)
 
-    def candidates(block: B.Block, shared: np.ndarray):
-        words, hashes, valid, lowest, _, _ = _edges(block, length)
-        flags = valid & B.place_in(shared, lowest)[1]
-        nodes = run_hashes(hashes, length - 1)
-        return words, hashes, flags, nodes
-
     def emit_nodes(_: int, block: B.Block, found: list) -> Iterator[tuple[int, bytes]]:
-        _, hashes, flags, nodes = candidates(block, B.known(found)[0])
+        if not found:
+            return
+        _, hashes, flags, nodes = _candidates(block, B.known(found)[0], length)
         into, out_of = np.zeros(len(nodes), dtype=U32), np.zeros(len(nodes), dtype=U32)
         at = np.flatnonzero(flags)
         into[at + 1] = (hashes[at] >> U64(32)).astype(U32) | U32(1)
@@ -114,25 +139,15 @@ def repeated_paths(blocks: DataFrame, length: int = 13) -> DataFrame:
             if other[own].any():
                 yield block_id, B.pack(b"node", packet[0][other[own]])
 
-    nodes = B.settle(B.send(marked, emit_nodes), branching)
-    asked = B.with_found(marked.withColumnRenamed("found", "anchors"), nodes)
-    asked = asked.selectExpr("block_id", "data", "concat(anchors, coalesce(found, array())) AS found")
+    nodes = B.settle(B.send(marked.withColumnRenamed("anchors", "found"), emit_nodes), branching)
+    both = "concat(coalesce({}, array()), coalesce(found, array())) AS found"
+    asked = B.with_found(marked, nodes).selectExpr("block_id", "data", both.format("anchors"))
 
     def emit_paths(_: int, block: B.Block, found: list) -> Iterator[tuple[int, bytes]]:
-        words, _, flags, nodes = candidates(block, B.known([f for f in found if f[0] is None or not isinstance(f[0], bytes)])[0])
-        breaks = np.sort(np.concatenate([np.zeros(0, dtype=U64), *[f[1] for f in found if isinstance(f[0], bytes)]]))
-        starts, ends = _paths(flags, B.place_in(breaks, nodes[: len(flags)])[1])
-        if not len(starts):
+        own_paths = _paths_of(block, found, length)
+        if own_paths is None:
             return
-        document = np.searchsorted(words.bounds, starts, side="right") - 1
-        ids = block.ids[document]
-        raw = block.bytes
-        digests = b"".join(
-            xxhash.xxh3_128_digest(b" ".join(raw[a:b].split()))
-            for a, b in zip(words.starts[starts].tolist(), words.ends[ends + length - 2].tolist())
-        )
-        keys = np.frombuffer(digests, dtype=U64).reshape(-1, 2)
-        yield -1, B.pack(b"path", starts, ends, keys[:, 0].copy(), keys[:, 1].copy())
+        _, _, _, ids, keys = own_paths
         order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
         k, d = keys[order], ids[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
@@ -156,31 +171,28 @@ def repeated_paths(blocks: DataFrame, length: int = 13) -> DataFrame:
             if hit.any():
                 yield block_id, B.pack(b"least", a[hit], b[hit], own[hit])
 
-    packets = written(B.send(asked, emit_paths))
-    answers = B.settle(packets.filter("bucket >= 0"), earliest)
-    local = packets.filter("bucket < 0").select("block_id", "payload")
-    return B.with_found(blocks, local.unionByName(answers))
+    answers = B.settle(B.send(asked, emit_paths), earliest)
+    return B.with_found(asked.withColumnRenamed("found", "asked"), answers).selectExpr("block_id", "data", both.format("asked"))
 
 
-def _covered(block: B.Block, words: Words, found: list, length: int) -> np.ndarray:
-    """The words that a repeated window covers."""
+def _covered(block: B.Block, found: list, length: int) -> np.ndarray | None:
+    """The words that a repeated window covers, None if there are none."""
+    least = _said(found, b"least")
+    own_paths = _paths_of(block, found, length) if least else None
+    if own_paths is None:
+        return None
+    words, starts, ends, ids, keys = own_paths
+    known_low, known_high, smallest = (np.concatenate([f[k] for f in least]) for k in (1, 2, 3))
+    both = np.zeros(len(known_low), dtype=[("a", U64), ("b", U64)])
+    both["a"], both["b"] = known_low, known_high
+    order = np.argsort(both)
+    own = np.zeros(len(keys), dtype=both.dtype)
+    own["a"], own["b"] = keys[:, 0], keys[:, 1]
+    at = np.minimum(np.searchsorted(both[order], own), len(order) - 1)
+    hit = (both[order][at] == own) & (smallest[order][at] < ids)
     change = np.zeros(len(words) + 1, dtype=np.int32)
-    path = next((f for f in found if f[0] == b"path"), None)
-    least = [f for f in found if f[0] == b"least"]
-    if path is not None and least:
-        _, starts, ends, low, high = path
-        known_low, known_high, smallest = (np.concatenate([f[k] for f in least]) for k in (1, 2, 3))
-        both = np.zeros(len(known_low), dtype=[("a", U64), ("b", U64)])
-        both["a"], both["b"] = known_low, known_high
-        order = np.argsort(both)
-        own = np.zeros(len(low), dtype=both.dtype)
-        own["a"], own["b"] = low, high
-        at = np.minimum(np.searchsorted(both[order], own), len(order) - 1)
-        same = both[order][at] == own
-        document = np.searchsorted(words.bounds, starts, side="right") - 1
-        hit = same & (smallest[order][at] < block.ids[document])
-        np.add.at(change, starts[hit], 1)
-        np.add.at(change, ends[hit] + length - 1, -1)
+    np.add.at(change, starts[hit], 1)
+    np.add.at(change, ends[hit] + length - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -217,7 +229,9 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, carry: list[str] |
             for i in range(batch.num_rows):
                 block = B.Block(batch.column(0)[i].as_py())
                 words = find_words(block.data, block.bounds)
-                gone = _covered(block, words, [B.unpack(p) for p in batch.column(1)[i].as_py() or []], length)
+                gone = _covered(block, [B.unpack(p) for p in batch.column(1)[i].as_py() or []], length)
+                if gone is None:
+                    gone = np.zeros(len(words), dtype=bool)
                 rows = []
                 for doc_id, text, a, b in zip(block.ids.tolist(), block.texts(), words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
                     cut = gone[a:b]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from devicelog.llm import simhash, substring_dedup, suffix_dedup
+from devicelog.llm import blocks, simhash, substring_dedup, suffix_dedup
 from devicelog.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -106,6 +106,15 @@ def removed_words(rows, length=13):
     return out
 
 
+def test_blocks_get_no_paths_sent(documents):
+    """Their paths would be more bytes than the texts; blocks make them again."""
+    text = " ".join(f"w{i}" for i in range(60))
+    made = blocks.make_blocks(documents([(1, text), (2, f"x {text}"), (3, "y")]))
+    found = [blocks.unpack(p)[0] for r in substring_dedup.repeated_paths(made).collect() for p in r.found or []]
+    kinds = {f for f in found if isinstance(f, bytes)}
+    assert b"least" in kinds and b"path" not in kinds
+
+
 def test_substring_dedup_equals_brute_force(documents, rows):
     given = corpus(2)
     got = rows(substring_dedup.remove_repeated_words(documents(given), carry=["source"]))
