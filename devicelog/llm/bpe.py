@@ -8,6 +8,9 @@ and the last token before that place. States are determinised when first reached
 and kept in a table; a move names the next state and the last token that the
 text has now. What all open places have in common is emitted; a place closes
 when no token goes on, so the lookahead is bounded by the longest tokens.
+
+Short pieces move side by side, a byte of all of them at a time, through states and
+moves that are numbers in arrays; longer ones one by one.
 """
 
 from __future__ import annotations
@@ -17,15 +20,15 @@ import gc
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devicelog.llm.pieces import Encoder
-from devicelog.llm.sizes import give_back
+from devicelog.llm.pieces import Encoder, Ids, slices, spread, with_room
+from devicelog.llm.sizes import give_back, leave, take_up
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +37,52 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: Pieces of up to so many bytes move side by side.
+_SHORT = 64
+_NO_RANK = 1 << 30
+
+
+class Table:
+    """Numbers by keys of 0 and more, found and added many at a time: a hash table with open addressing."""
+
+    def __init__(self, bits: int = 12):
+        self._bits, self._n = bits, 0
+        self._keys, self._values = np.full(1 << bits, -1, dtype=np.int64), np.empty(1 << bits, dtype=np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int = -1) -> np.ndarray:
+        slots = self._slots(keys)
+        held, values = self._keys[slots], self._values[slots]
+        other = np.flatnonzero(held != keys)
+        while len(other):
+            values[other] = default
+            other = other[held[other] >= 0]
+            slots[other] = (slots[other] + 1) & (len(self._keys) - 1)
+            held[other], values[other] = self._keys[slots[other]], self._values[slots[other]]
+            other = other[held[other] != keys[other]]
+        return values
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not in the table."""
+        if 2 * (self._n + len(keys)) > len(self._keys):
+            held, old = self._keys >= 0, self
+            keys, values = np.concatenate([old._keys[held], keys]), np.concatenate([old._values[held], values])
+            self.__init__(int(4 * len(keys) - 1).bit_length())
+        self._n += len(keys)
+        slots, open_ = self._slots(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self._keys[slots[open_]] < 0]
+            self._keys[slots[free]] = keys[free]  # of several keys for one slot one stays
+            self._values[slots[free]] = values[free]
+            lost = self._keys[slots[open_]] != keys[open_]
+            placed = open_[~lost]
+            self._values[slots[placed]] = values[placed]
+            open_ = open_[lost]
+            slots[open_] = (slots[open_] + 1) & (len(self._keys) - 1)
+
+
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
@@ -42,24 +91,41 @@ class Transducer:
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self._size = {rank: len(token) for token, rank in ranks.items()}
-        self._children: list[dict[int, int]] = [{}]
+        #: Edges of the token trie, by node and byte; of each node its token and its depth.
+        self._edges: dict[int, int] = {}
         self._token: list[int] = [-1]
         self._depth: list[int] = [0]
+        pairs: dict[int, int] = {}
+        edges = self._edges
         for token, rank in ranks.items():
             node = 0
             for depth, b in enumerate(token, 1):
-                node = self._children[node].setdefault(b, len(self._children))
+                node = edges.setdefault(node << 8 | b, len(self._token))
                 if node == len(self._token):
-                    self._children.append({})
                     self._token.append(-1)
-                    self._depth.append(0)
-                self._depth[node] = depth
+                    self._depth.append(depth)
             self._token[node] = rank
+            for i in range(1, len(token)):
+                left = ranks.get(token[:i])
+                if left is not None:
+                    right = ranks.get(token[i:])
+                    if right is not None:
+                        pairs[left << 32 | right] = rank
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._states: dict[tuple, dict] = {}
         self._reset()
 
+        # The same in arrays; of each token its size, and its two parts where they are known (-2: not yet, -1: none).
+        size = max(self.bytes_of) + 1
+        self._size = np.zeros(size, dtype=np.int64)
+        self._size[list(self.bytes_of)] = [len(t) for t in self.bytes_of.values()]
+        self._edge_table, self._pair_table = Table(), Table()
+        for table, given in ((self._edge_table, edges), (self._pair_table, pairs)):
+            table.add(np.fromiter(given, np.int64, len(given)), np.fromiter(given.values(), np.int64, len(given)))
+        self._tokens = np.array(self._token, dtype=np.int64)
+        self._lefts, self._rights = np.full(size, -2, dtype=np.int64), np.full(size, -2, dtype=np.int64)
+        self._reset_numbers()
+
     def _reset(self) -> None:
         for state in self._states.values():  # states refer to each other
             state.clear()
@@ -69,6 +135,14 @@ class Transducer:
         self._start: dict = {-1: places}
         self._states = {places: self._start}
 
+    def _reset_numbers(self) -> None:
+        """States as numbers, the start is 0: their places are entries of one array, nodes and tokens before in turn;
+        moves are by state and byte, the next state and the last token in one number."""
+        start = np.array([0, -1], dtype=np.int32)
+        self._numbers: dict[bytes, int] = {start.tobytes(): 0}
+        self._places, self._place_ends = start, np.array([0, 2], dtype=np.int64)  # the ends of all states before and its own
+        self._moves = Table()
+
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the merges make a token of; a single byte twice; None unless ranks rise with each merge."""
         if token not in self._splits:
@@ -120,10 +194,10 @@ class Transducer:
 
     def _step(self, state: dict, byte: int) -> tuple[dict, int]:
         """The move from a state by a byte: the next state and the last token."""
-        places, token_of, children, last = [], self._token, self._children, -1
+        places, token_of, edges, last = [], self._token, self._edges, -1
         held = iter(state[-1])
         for node, before in zip(held, held):
-            child = children[node].get(byte)
+            child = edges.get(node << 8 | byte)
             if child is not None:
                 places += child, before
                 token = token_of[child]
@@ -160,11 +234,11 @@ class Transducer:
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         """The tokens of the first ``end`` bytes, from the last one on backwards."""
-        tokens, size = [], self._size
+        tokens, bytes_of = [], self.bytes_of
         while end > 0:
             token = lasts[end - 1]
             tokens.append(token)
-            end -= size[token]
+            end -= len(bytes_of[token])
         tokens.reverse()
         return tokens
 
@@ -179,7 +253,120 @@ class Transducer:
             alike = min(len(shared), len(tokens))
             shared = shared[: next((i for i in range(alike) if shared[i] != tokens[i]), alike)]
         out += shared or []
-        return lasts[sum(self._size[t] for t in shared or []) :]
+        return lasts[sum(len(self.bytes_of[t]) for t in shared or []) :]
+
+    def encode_all(self, pieces: list[bytes]) -> Ids:
+        """The ids of all pieces one behind the other, and how many each has."""
+        n = len(pieces)
+        whole = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int64, n)
+        sizes = np.fromiter(map(len, pieces), np.int64, n)
+        counts = (whole >= 0).astype(np.int64)
+        short = np.flatnonzero((whole < 0) & (sizes <= _SHORT) & (sizes > 0))
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        data = np.frombuffer(b"".join([pieces[i] for i in short.tolist()]), dtype=np.uint8)
+        starts = np.cumsum(sizes[short]) - sizes[short]
+        lasts = self._lasts(data, starts, sizes[short])
+
+        # The tokens of each piece from the last one on backwards.
+        ends, active, found = starts + sizes[short], np.arange(len(short)), []
+        while len(active):
+            tokens = lasts[ends[active] - 1]
+            found.append((active, tokens))
+            counts[short[active]] += 1
+            ends[active] -= self._size[tokens]
+            active = active[ends[active] > starts[active]]
+        long = {i: np.frombuffer(self.encode(pieces[i]), dtype="<u4") for i in np.flatnonzero((whole < 0) & (sizes > _SHORT)).tolist()}
+        for i, own in long.items():
+            counts[i] = len(own)
+        places = np.cumsum(counts)
+        out = np.empty(places[-1] if n else 0, dtype="<u4")
+        known = np.flatnonzero(whole >= 0)
+        out[places[known] - 1] = whole[known]
+        for k, (active, tokens) in enumerate(found):
+            out[places[short[active]] - 1 - k] = tokens
+        for i, own in long.items():
+            out[places[i] - len(own) : places[i]] = own
+        return out, counts
+
+    def _lasts(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The last token after each byte of pieces, which are given from the longest to the shortest."""
+        if len(self._numbers) > self._limit:
+            self._reset_numbers()
+        lasts, states = np.empty(len(data), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        for k in range(sizes[0] if len(sizes) else 0):
+            n = int(np.searchsorted(-sizes, -k))  # so many have a byte here
+            at = starts[:n] + k
+            keys = states[:n] << 8 | data[at]
+            moves = self._moves.get(keys)
+            new = np.flatnonzero(moves < 0)
+            if len(new):
+                wanted, inverse = np.unique(keys[new], return_inverse=True)
+                moves[new] = self._new_moves(wanted)[inverse]
+            states[:n] = moves >> 32
+            lasts[at] = moves & 0xFFFFFFFF
+        return lasts
+
+    def _new_moves(self, keys: np.ndarray) -> np.ndarray:
+        """``_step`` for different keys, side by side."""
+        states = keys >> 8
+        begins = self._place_ends[states]
+        held = (self._place_ends[states + 1] - begins) // 2
+        at = spread(begins // 2, held) * 2
+        owner = np.repeat(np.arange(len(keys)), held)
+        children = self._edge_table.get(self._places[at].astype(np.int64) << 8 | (keys & 255)[owner])
+        goes_on = children >= 0
+        owner, children, before = owner[goes_on], children[goes_on], self._places[at[goes_on] + 1].astype(np.int64)
+        tokens = self._tokens[children]
+        possible = np.flatnonzero(tokens >= 0)
+        possible = possible[self._may_follow_all(before[possible], tokens[possible])][::-1]
+        lasts = np.full(len(keys), -1, dtype=np.int64)
+        lasts[owner[possible]] = tokens[possible]  # the first place of each comes last
+
+        places = np.bincount(owner, minlength=len(keys)) + 1
+        ends = np.cumsum(places)
+        flat = np.empty((ends[-1], 2), dtype=np.int32)
+        flat[ends - 1, 0], flat[ends - 1, 1] = 0, lasts
+        at = np.arange(len(owner)) + owner  # each state before it has one more place
+        flat[at, 0], flat[at, 1] = children, before
+        raw, numbers, known = flat.tobytes(), self._numbers, len(self._numbers)
+        cuts = (ends * 8).tolist()
+        following = np.fromiter((numbers.setdefault(raw[x:y], len(numbers)) for x, y in zip([0, *cuts], cuts)), np.int64, len(keys))
+        made, first = np.unique(following, return_index=True)
+        first = first[made >= known]
+        if len(first):
+            end, own = int(self._place_ends[known]), places[first] * 2
+            self._places = with_room(self._places, end, own.sum())
+            self._places[end : end + own.sum()] = flat.reshape(-1)[spread((ends[first] - places[first]) * 2, own)]
+            self._place_ends = with_room(self._place_ends, known + 1, len(first))
+            self._place_ends[known + 1 : known + 1 + len(first)] = end + np.cumsum(own)
+        moves = following << 32 | lasts
+        self._moves.add(keys, moves)
+        return moves
+
+    def _may_follow_all(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``_may_follow`` for many pairs, side by side."""
+        out = np.zeros(len(tokens), dtype=bool)
+        alone = before < 0
+        for token in np.unique(tokens[alone]).tolist():
+            out[alone & (tokens == token)] = self._may_follow(-1, token)
+        pairs = np.flatnonzero(~alone)
+        left, right, below = before[pairs], tokens[pairs], np.full(len(pairs), _NO_RANK)
+        while len(pairs):
+            stays = self._pair_table.get(left << 32 | right, _NO_RANK) >= below
+            pairs, left, right, below = pairs[stays], left[stays], right[stays], below[stays]
+            for token in np.unique(np.concatenate([left[self._lefts[left] == -2], right[self._lefts[right] == -2]])).tolist():
+                self._lefts[token], self._rights[token] = self._split(token) or (-1, -1)
+            end, begin = self._rights[left], self._lefts[right]
+            for i in np.flatnonzero((end < 0) | (begin < 0)).tolist():
+                out[pairs[i]] = self._may_follow(int(before[pairs[i]]), int(tokens[pairs[i]]))
+            undo_left = (end != left) & ((left > right) | (begin == right))
+            undo_right = ~undo_left & (begin != right)
+            known = (end >= 0) & (begin >= 0)
+            out[pairs[known & ~undo_left & ~undo_right]] = True
+            left, right, below = np.where(undo_left, end, left), np.where(undo_right, begin, right), np.where(undo_left, left, right + 1)
+            on = known & (undo_left | undo_right)
+            pairs, left, right, below = pairs[on], left[on], right[on], below[on]
+        return out
 
 
 class StreamDecoder:
@@ -232,50 +419,37 @@ class StreamDecoder:
 
 
 def _encoder(ranks_path: str, pattern: str) -> Encoder:
-    """Made for each task and dropped with it: a worker that kept its tables would hold them beside later stages."""
     import regex
 
     pieces_of = regex.compile(pattern).findall
     transducer = Transducer(load_ranks(ranks_path))
 
-    def words(some: list[str]) -> list[bytes]:
-        return [transducer.encode(b" " + word.encode()) for word in some]
+    def words(some: list[str], blank: bool) -> Ids:
+        lead = " " * blank
+        return transducer.encode_all([(lead + word).encode() for word in some])
 
-    def many(some: list[str]) -> list[bytes]:
-        return [b"".join([transducer.encode(p.encode()) for p in pieces_of(text)]) for text in some]
+    def many(some: list[str]) -> Ids:
+        own = [pieces_of(text) for text in some]
+        ids, counts = transducer.encode_all([p.encode() for p in chain.from_iterable(own)])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(x) for x in own])]
+        return ids, np.diff(ends, prepend=0)
 
-    gc.disable()  # only states are in cycles, which a reset undoes
     return Encoder(words, many)
 
 
+def _ids_of(encoder: Encoder, texts: pa.Array) -> list[np.ndarray]:
+    ids, counts = encoder.batch(texts)
+    ends = np.cumsum(counts).tolist()
+    return [ids[x:y] for x, y in zip([0, *ends], ends)]
+
+
 def _decoder(ranks_path: str) -> StreamDecoder:
     """Without held bytes between texts."""
     return StreamDecoder({rank: token for token, rank in load_ranks(ranks_path).items()})
 
 
-def _end() -> None:
-    """After a task dropped its tables, whose states refer to each other."""
-    gc.enable()
-    gc.collect()
-    give_back()
-
-
-def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Slices of up to 1000 rows and about ``most`` bytes of a column of strings or bytes, or one longer row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and (held + size > most or i - start == 1000):
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += size
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def _decoded(stream: StreamDecoder, raw: bytes, chunk: int) -> Iterator[bytes]:
+def _decoded(stream: StreamDecoder, ids: np.ndarray, chunk: int) -> Iterator[bytes]:
     """The bytes of a text's ids, ``chunk`` ids at a time."""
-    ids = np.frombuffer(raw, dtype="<u4")
     for k in range(0, len(ids), chunk):
         yield stream.take(ids[k : k + chunk])
     yield stream.rest()
@@ -300,16 +474,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(ranks_path, pattern)
+        encoder = take_up(key, lambda: _encoder(ranks_path, pattern))
+        gc.disable()  # only states are in cycles, which a reset undoes
         for whole in batches:
-            for batch in _slices(whole, 1):
-                ids = encoder.batch([text or "" for text in batch.column(1).to_pylist()])
-                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                columns = [batch.column(0), counts, pa.array(ids, pa.binary()), *batch.columns[2:]]
+            for batch in slices(whole, 1):
+                ids = _ids_of(encoder, batch.column(1))
+                counts = pa.array(map(len, ids), pa.int64())
+                columns = [batch.column(0), counts, pa.array([x.tobytes() for x in ids], pa.binary()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", *names])
-        encoder = None
-        _end()
+        gc.enable()
+        leave(key, encoder)
 
+    key = ("bpe.encode", ranks_path, pattern)
     rows, renamed = _chosen(docs, carry)
     names = rows.columns[2:]
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + _schema(rows)).withColumnsRenamed(renamed)
@@ -326,10 +502,10 @@ def decode(encoded: DataFrame, ranks_path: str, chunk: int = 65_536, with_text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _decoder(ranks_path)
         for whole in batches:
-            for batch in _slices(whole, place):
+            for batch in slices(whole, place):
                 texts, decoded, digests = [], [], []
                 for raw in batch.column(place).to_pylist():
-                    parts = list(_decoded(stream, raw or b"", chunk))
+                    parts = list(_decoded(stream, np.frombuffer(raw or b"", dtype="<u4"), chunk))
                     decoded.append(hashlib.sha256(b"".join(parts)).hexdigest())
                     digests.append(hashlib.sha256(raw or b"").hexdigest())
                     if with_text:
@@ -351,22 +527,24 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str]
     pass, so that ids never leave the worker that made them. Cases as in ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stream = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        encoder, stream = take_up(key, lambda: (_encoder(ranks_path, pattern), _decoder(ranks_path)))
+        gc.disable()  # only states are in cycles, which a reset undoes
         for whole in batches:
-            for batch in _slices(whole, 1):
+            for batch in slices(whole, 1):
                 counts, digests, decoded = [], [], []
-                for raw in encoder.batch([text or "" for text in batch.column(1).to_pylist()]):
-                    counts.append(len(raw) // 4)
-                    digests.append(hashlib.sha256(raw).hexdigest())
+                for ids in _ids_of(encoder, batch.column(1)):
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(ids).hexdigest())
                     digest = hashlib.sha256()
-                    for part in _decoded(stream, raw, chunk):
+                    for part in _decoded(stream, ids, chunk):
                         digest.update(part)
                     decoded.append(digest.hexdigest())
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
-        encoder = stream = None
-        _end()
+        gc.enable()
+        leave(key, (encoder, stream))
 
+    key = ("bpe.round_trip", ranks_path, pattern)
     rows, renamed = _chosen(docs, carry)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *rows.columns[2:]]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + _schema(rows)

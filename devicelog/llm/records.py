@@ -21,16 +21,19 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from devicelog.llm.pieces import Encoder
-from devicelog.session import shared_folder
+from devicelog.llm.pieces import Encoder, Ids, slices
+from devicelog.llm.sizes import leave, take_up
+from devicelog.llm.token_counts import byte_letters
+from devicelog.session import shared_folder, small_batches
 
-FILE_BYTES = 12 << 20
+FILE_BYTES = 24 << 20
 _HEAD, _BODY = "<QI", "<qBB"
 _MASK = 0xA282EAD8
 
@@ -69,6 +72,43 @@ def _bytes_of_ids(tokenizer) -> np.ndarray:
     return lengths
 
 
+def _encoder(tokenizer_path: str, end_id: int) -> tuple[Encoder, int]:
+    """The encoder of a tokenizer file, and the bytes of an id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.model._resize_cache(0)  # words come once; the cache here has all of them
+    width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    kind = f"<u{width}"
+    lengths = _bytes_of_ids(tokenizer)
+    # The same merges for words that are written as the vocabulary writes bytes.
+    merges = Tokenizer(tokenizer.model)
+    merges.pre_tokenizer = WhitespaceSplit()
+    letters = {byte: letter for letter, byte in byte_letters().items()}
+
+    def many(pieces: list[str]) -> Ids:
+        found = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), kind, sizes.sum()), sizes
+
+    def words(some: list[str], blank: bool) -> Ids:
+        """Words are encoded a thousand at a time as one text and told apart by their bytes."""
+        if tokenizer.normalizer is not None:
+            return many([" " * blank + w for w in some])
+        ids, sizes, lead = [], [], letters[32] * blank
+        for at in range(0, len(some), 1000):
+            group = [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in some[at : at + 1000]]
+            own = np.array(merges.encode_batch_fast([lead + f" {lead}".join(group)], add_special_tokens=False)[0].ids)
+            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + len(lead))
+            sizes.append(np.diff(np.searchsorted(np.cumsum(lengths[own]), ends) + 1, prepend=0))
+            ids.append(own.astype(kind))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return Encoder(words, many, kind), width
+
+
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id and ``record`` of each text, in doc_id order over the partitions.
 
@@ -78,41 +118,20 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.model._resize_cache(0)  # words come once; the cache here has all of them
-        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        kind, end = f"<u{width}", np.array([end_id], dtype=f"<u{width}").tobytes()
-        lengths = _bytes_of_ids(tokenizer)
-
-        def many(pieces: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, dtype=kind).tobytes() for e in found]
-
-        def words(some: list[str]) -> list[bytes]:
-            """Words are encoded a thousand at a time as one text and told apart by their bytes."""
-            out: list[bytes] = []
-            groups = [some[at : at + 1000] for at in range(0, len(some), 1000)]
-            for group in groups:
-                ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids)
-                raw = ids.astype(kind).tobytes()
-                ends = np.cumsum(np.fromiter(map(len, map(str.encode, group)), dtype=np.int64, count=len(group)) + 1)
-                cuts = ((np.searchsorted(np.cumsum(lengths[ids]), ends) + 1) * width).tolist()
-                out += [raw[x:y] for x, y in zip([0, *cuts], cuts)]
-            return out
-
-        encoder = Encoder(words, many)
-        gc.disable()  # millions of cached strings hold no cycles
+        encoder, width = take_up(key, lambda: _encoder(tokenizer_path, end_id))
+        end = end_id.to_bytes(width, "little")
+        gc.disable()  # hundreds of thousands of cached strings hold no cycles
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                found = encoder.batch([text or "" for text in batch.column(1).to_pylist()])
-                records = [frame(i, ids + end, width)[:-1] for i, ids in zip(batch.column(0).to_pylist(), found)]
+            for batch in slices(whole, 1):
+                ids, sizes = encoder.batch(batch.column(1))
+                raw, ends = ids.tobytes(), (np.cumsum(sizes) * width).tolist()
+                records = [frame(i, raw[x:y] + end, width)[:-1] for i, x, y in zip(batch.column(0).to_pylist(), [0, *ends], ends)]
                 columns = [batch.column(0), pa.array(records, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "record"])
+        gc.enable()
+        leave(key, (encoder, width))
 
+    key = ("records.encode", tokenizer_path, end_id)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Ranges also go by a hash of the texts, so that rows of one id, or without one, are many tasks.
@@ -207,6 +226,7 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> Dat
     rows stay, other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_folder(spark)
     write_records(docs, f"{folder}/records", tokenizer_path, end_id)
     return write_index(spark, f"{folder}/records", f"{folder}/index")

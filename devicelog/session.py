@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for local runs; on a cluster the launcher's own settings apply."""
@@ -33,6 +36,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most ``BATCH_BYTES`` where a session has Spark's default: a batch of whole
+    texts is held several times, by the JVM outside its heap and by the worker."""
+    if spark.conf.get(_BATCH_LIMIT) == "67108864b":
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the cluster's checkpoint folder.
 

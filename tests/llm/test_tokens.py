@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from devicelog.llm import bpe, chat, pieces, records
+from devicelog.llm import bpe, chat, pieces, records, sizes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +86,62 @@ def test_tables_of_states_are_freed_without_the_collector():
     assert not any(states) and len(transducer._states) == 1
 
 
+MARKED = ["a. b, c\x1f, d.\nE f.\n", "\x1f", "a \x1f.", "x), y. z.\n G", "it's, é. ñ,\nü. 1. b", "a.  b", "Ω. b,\tc. \n", "a%%%b. c's. d"]
+
+
+@pytest.mark.parametrize("limit", [40, 500_000])
+def test_ids_of_batches_equal_the_libraries(library, limit):
+    given = texts(400, seed=5) + MARKED + [" ".join(MARKED)] + [None]
+    for encoder, encode in (
+        (bpe._encoder(RANKS, public_tokenizers.PATTERN), library.encode_ordinary),
+        (records._encoder(JSON, 0)[0], lambda text, own=Tokenizer.from_file(JSON): own.encode(text, add_special_tokens=False).ids),
+    ):
+        encoder._limit = limit
+        for _ in range(2):
+            for at in range(0, len(given), 60):
+                ids, counts = encoder.batch(pa.array(given[at : at + 60], pa.string()))
+                ends = np.cumsum(counts).tolist()
+                for text, x, y in zip(given[at : at + 60], [0, *ends], ends, strict=False):
+                    assert ids[x:y].tolist() == encode(text or ""), text
+        assert encoder.batch(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_pieces_side_by_side_equal_one_by_one():
+    ranks = bpe.load_ranks(RANKS)
+    side, one = bpe.Transducer(ranks, limit=300), bpe.Transducer(ranks)
+    rng = random.Random(8)
+    for _ in range(6):
+        some = [rng.randbytes(rng.randint(1, 5)) + rng.choice(["ingthe", " theationß", "😀", ""]).encode() * rng.randint(0, 12) for _ in range(200)]
+        ids, counts = side.encode_all(some + [b""])
+        assert np.split(ids, np.cumsum(counts))[-1].size == 0
+        assert [x.tobytes() for x in np.split(ids, np.cumsum(counts))[: len(some)]] == [one.encode(p) for p in some]
+
+
+def test_words_that_come_again_stay_when_the_cache_is_full():
+    asked = []
+
+    def encode(some, blank=False):
+        asked.extend(some)
+        return np.array([len(p) for p in some], dtype="<u4"), np.ones(len(some), dtype=np.int64)
+
+    encoder = pieces.Encoder(encode, encode, limit=60)
+    for k in range(20):
+        rare = "".join(chr(97 + int(d)) for d in str(k))
+        encoder.batch(pa.array(["x the common words " + " ".join(f"{rare}z" + "q" * i for i in range(20)) + " of it"]))
+    assert all(asked.count(word) == 1 for word in ("the", "common", "words", "of", "it"))
+
+
+def test_tables_go_from_task_to_task_and_then_away(monkeypatch):
+    monkeypatch.setattr(sizes, "IDLE_SECONDS", 0.2)
+    made = []
+    for _ in range(3):
+        tables = sizes.take_up("key", lambda: made.append([]) or made[-1])
+        sizes.leave("key", tables)
+    assert len(made) == 1
+    time.sleep(1)
+    assert not sizes._shelf().left
+
+
 def test_bpe_of_documents_and_back(documents, rows, library):
     given = list(enumerate(texts())) + [(None, "null id"), (900, None), (901, "same"), (901, "same")]
     encoded = bpe.encode(documents(given), RANKS, public_tokenizers.PATTERN, carry=["lang", "found"])
