@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from devicelog.llm.pieces import Encoder, Ids, slices, spread, with_room
 from devicelog.llm.sizes import give_back, leave, take_up
+from devicelog.session import small_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,6 +40,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 #: Pieces of up to so many bytes move side by side.
 _SHORT = 64
+#: Bytes of texts encoded at a time, and parts that a worker keeps: two workers stand beside a full JVM.
+_SLICE_BYTES, _PARTS = 2 << 20, 300_000
 _NO_RANK = 1 << 30
 
 
@@ -86,7 +89,7 @@ class Table:
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
@@ -434,7 +437,7 @@ def _encoder(ranks_path: str, pattern: str) -> Encoder:
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(x) for x in own])]
         return ids, np.diff(ends, prepend=0)
 
-    return Encoder(words, many)
+    return Encoder(words, many, limit=_PARTS)
 
 
 def _ids_of(encoder: Encoder, texts: pa.Array) -> list[np.ndarray]:
@@ -477,7 +480,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
         encoder = take_up(key, lambda: _encoder(ranks_path, pattern))
         gc.disable()  # only states are in cycles, which a reset undoes
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, _SLICE_BYTES):
                 ids = _ids_of(encoder, batch.column(1))
                 counts = pa.array(map(len, ids), pa.int64())
                 columns = [batch.column(0), counts, pa.array([x.tobytes() for x in ids], pa.binary()), *batch.columns[2:]]
@@ -486,6 +489,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
         leave(key, encoder)
 
     key = ("bpe.encode", ranks_path, pattern)
+    small_batches(docs.sparkSession)
     rows, renamed = _chosen(docs, carry)
     names = rows.columns[2:]
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + _schema(rows)).withColumnsRenamed(renamed)
@@ -530,7 +534,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str]
         encoder, stream = take_up(key, lambda: (_encoder(ranks_path, pattern), _decoder(ranks_path)))
         gc.disable()  # only states are in cycles, which a reset undoes
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, _SLICE_BYTES):
                 counts, digests, decoded = [], [], []
                 for ids in _ids_of(encoder, batch.column(1)):
                     counts.append(len(ids))
@@ -545,6 +549,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str]
         leave(key, (encoder, stream))
 
     key = ("bpe.round_trip", ranks_path, pattern)
+    small_batches(docs.sparkSession)
     rows, renamed = _chosen(docs, carry)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *rows.columns[2:]]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + _schema(rows)
