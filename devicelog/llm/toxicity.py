@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.llm.sizes import give_back
-from devicelog.session import written
+from devicelog.session import small_batches, written
 
 #: Labelled rows of each class that terms and classifier are fitted on, about.
 FIT_ROWS = 6_000
@@ -135,6 +135,8 @@ def _propose(sample: DataFrame) -> tuple[list[tuple[str, int, int]], dict[int, i
             names = list(counts[0].keys() | counts[1].keys())
             columns = [pa.array(names, pa.string()), *(pa.array([counts[c][t] for t in names], pa.int64()) for c in (1, 0))]
             yield pa.RecordBatch.from_arrays(columns, names=["term", "toxic", "clean"])
+            counts = names = columns = terms = None
+        give_back()
 
     sizes = {row[0]: row[1] for row in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -268,6 +270,7 @@ def _share_weight(counts: DataFrame, voters: list[Voter], prior: float, n1: floa
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit a model; without labels of both classes it calls every document clean."""
+    small_batches(docs.sparkSession)
     sample = _sample(docs, labels)
     if sample is None:
         return ToxicityModel()
@@ -307,6 +310,7 @@ def _classifier(sample: DataFrame, terms: list[str], voters: list[Voter], prior:
             q = posteriors([_votes(f, len(t), len(terms)) for f, t in zip(found, texts)], voters, prior)
             columns = [pa.array([sorted(f) for f in found], pa.list_(pa.int32())), pa.array(q), batch.column(1)]
             yield pa.RecordBatch.from_arrays(columns, names=["found", "q", "toxic"])
+        give_back()
 
     rows = sample.select("text", "toxic").mapInArrow(run, "found array<int>, q double, toxic int").collect()
     column = np.array([i for row in rows for i in row.found], dtype=np.int64)
@@ -340,6 +344,7 @@ def score(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None)
     Only the text decides. Null and empty texts have the score of a text without
     a term; null ids, repeated rows, empty tables and other columns pass.
     """
+    small_batches(docs.sparkSession)
     terms, weights, bias = model.terms, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,15 @@ def test_stages_of_an_empty_table(spark, folder):
         found = stage(spark, docs, folder)
         assert found.count() == 0
         docs = found if "text" in found.columns else docs
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark, folder):
+    """Batches of Spark's default size, 64 MB, were held by the JVM and by each worker."""
+    given = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat(id, ' words '), 500) AS text")
+    given.write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").coalesce(1)
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    corpus_pipeline.drop_toxic(spark, docs, folder)
+    found = docs.select("text").mapInArrow(lambda batches: (b.select(["text"]).slice(0, 1) for b in batches), "text string")
+    assert found.count() >= 5
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
