@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devicelog.llm.components import components
-from devicelog.llm.sizes import give_back
+from devicelog.llm.sizes import give_back, measured
 from devicelog.session import written
 
 MAX_BITS = 3
@@ -210,7 +210,8 @@ def without_later(docs: DataFrame, found: DataFrame) -> DataFrame:
     they differ; rows without a doc_id cannot be named by a decision and stay.
     """
     found = written(found)
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    # A shuffled join would move all texts.
+    drop = measured(found.filter("doc_id <> component_id").select("doc_id").distinct(), "8")
     kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
     rows, distinct = found.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     return kept.distinct() if rows > distinct else kept

@@ -12,7 +12,7 @@ import tiktoken
 from test_dedup import fingerprint
 
 import corpus_pipeline
-from devicelog.llm import bpe
+from devicelog.llm import bpe, simhash
 
 COLUMNS = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, predicted STRING, kept INT, Score DOUBLE, ids_sha256 STRING, k0 INT, n_tokens STRING"
 BENCH = [f"bench{i} " + " ".join(f"item{i}x{k}" for k in range(14)) for i in range(4)]
@@ -165,3 +165,16 @@ def test_whole_texts_go_to_python_in_small_batches(spark, folder):
     found = docs.select("text").mapInArrow(lambda batches: (b.select(["text"]).slice(0, 1) for b in batches), "text string")
     assert found.count() >= 5
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
+def test_dropping_near_copies_does_not_shuffle_the_texts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        docs = spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+        found = spark.range(50).selectExpr("id AS doc_id", "id - id % 2 AS component_id")
+        kept = simhash.without_later(docs, found)
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 50, 2))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
