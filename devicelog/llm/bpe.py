@@ -19,6 +19,7 @@ import base64
 import gc
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -41,7 +42,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 #: Pieces of up to so many bytes move side by side.
 _SHORT = 64
 #: Bytes of texts encoded at a time, and parts that a worker keeps: two workers stand beside a full JVM.
-_SLICE_BYTES, _PARTS = 2 << 20, 300_000
+_SLICE_BYTES, _PARTS = 1 << 20, 100_000
 _NO_RANK = 1 << 30
 
 
@@ -86,34 +87,39 @@ class Table:
             slots[open_] = (slots[open_] + 1) & (len(self._keys) - 1)
 
 
+def _is_at(ordered: np.ndarray, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether values are found at the places that ``np.searchsorted`` gave."""
+    return ordered[np.minimum(places, len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), dtype=bool)
+
+
 class Transducer:
     """Ids of a piece of bytes by the ranks of its merges; tables are emptied at ``limit`` states."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 40_000):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("each single byte must be a token")
         self.ranks, self._limit = ranks, limit
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        #: Edges of the token trie, by node and byte; of each node its token and its depth.
-        self._edges: dict[int, int] = {}
-        self._token: list[int] = [-1]
-        self._depth: list[int] = [0]
-        pairs: dict[int, int] = {}
-        edges = self._edges
+        # Nodes of the token trie: beginnings of tokens, the shortest first, so that the children of each stand together.
+        nodes = sorted({token[:k] for token in ranks for k in range(len(token) + 1)}, key=lambda node: (len(node), node))
+        number = {node: i for i, node in enumerate(nodes)}
+        parents = np.fromiter((number[node[:-1]] for node in nodes[1:]), np.int64, len(nodes) - 1)
+        #: Of each node the byte that leads to it, its first child (one more entry ends the last), its token and its depth.
+        self._label = b"\0" + b"".join([node[-1:] for node in nodes[1:]])
+        self._first = array("i", (np.searchsorted(parents, np.arange(len(nodes) + 1)) + 1).tolist())
+        self._token = array("i", [ranks.get(node, -1) for node in nodes])
+        self._depth = array("i", map(len, nodes))
+        del nodes, number
+        # Pairs of tokens that make a token, two ranks in one number, and its rank.
+        pairs, made = array("q"), array("q")
         for token, rank in ranks.items():
-            node = 0
-            for depth, b in enumerate(token, 1):
-                node = edges.setdefault(node << 8 | b, len(self._token))
-                if node == len(self._token):
-                    self._token.append(-1)
-                    self._depth.append(depth)
-            self._token[node] = rank
             for i in range(1, len(token)):
                 left = ranks.get(token[:i])
                 if left is not None:
                     right = ranks.get(token[i:])
                     if right is not None:
-                        pairs[left << 32 | right] = rank
+                        pairs.append(left << 32 | right)
+                        made.append(rank)
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._states: dict[tuple, dict] = {}
         self._reset()
@@ -122,9 +128,9 @@ class Transducer:
         size = max(self.bytes_of) + 1
         self._size = np.zeros(size, dtype=np.int64)
         self._size[list(self.bytes_of)] = [len(t) for t in self.bytes_of.values()]
-        self._edge_table, self._pair_table = Table(), Table()
-        for table, given in ((self._edge_table, edges), (self._pair_table, pairs)):
-            table.add(np.fromiter(given, np.int64, len(given)), np.fromiter(given.values(), np.int64, len(given)))
+        self._edges = parents << 8 | np.frombuffer(self._label, dtype=np.uint8)[1:]  # in order: the child's number less one
+        order = np.argsort(np.frombuffer(pairs, dtype=np.int64)) if pairs else np.zeros(0, dtype=np.int64)
+        self._pairs, self._made = (np.array(x, dtype=np.int64)[order] for x in (pairs, made))
         self._tokens = np.array(self._token, dtype=np.int64)
         self._lefts, self._rights = np.full(size, -2, dtype=np.int64), np.full(size, -2, dtype=np.int64)
         self._reset_numbers()
@@ -197,11 +203,11 @@ class Transducer:
 
     def _step(self, state: dict, byte: int) -> tuple[dict, int]:
         """The move from a state by a byte: the next state and the last token."""
-        places, token_of, edges, last = [], self._token, self._edges, -1
+        places, token_of, label, first, last = [], self._token, self._label, self._first, -1
         held = iter(state[-1])
         for node, before in zip(held, held):
-            child = edges.get(node << 8 | byte)
-            if child is not None:
+            child = label.find(byte, first[node], first[node + 1])
+            if child >= 0:
                 places += child, before
                 token = token_of[child]
                 if token >= 0 and last < 0 and self._may_follow(before, token):
@@ -316,8 +322,10 @@ class Transducer:
         held = (self._place_ends[states + 1] - begins) // 2
         at = spread(begins // 2, held) * 2
         owner = np.repeat(np.arange(len(keys)), held)
-        children = self._edge_table.get(self._places[at].astype(np.int64) << 8 | (keys & 255)[owner])
-        goes_on = children >= 0
+        edges = self._places[at].astype(np.int64) << 8 | (keys & 255)[owner]
+        children = np.searchsorted(self._edges, edges)
+        goes_on = _is_at(self._edges, children, edges)
+        children += 1
         owner, children, before = owner[goes_on], children[goes_on], self._places[at[goes_on] + 1].astype(np.int64)
         tokens = self._tokens[children]
         possible = np.flatnonzero(tokens >= 0)
@@ -355,7 +363,11 @@ class Transducer:
         pairs = np.flatnonzero(~alone)
         left, right, below = before[pairs], tokens[pairs], np.full(len(pairs), _NO_RANK)
         while len(pairs):
-            stays = self._pair_table.get(left << 32 | right, _NO_RANK) >= below
+            pair = left << 32 | right
+            place = np.searchsorted(self._pairs, pair)
+            merges = _is_at(self._pairs, place, pair)
+            stays = np.ones(len(pairs), dtype=bool)
+            stays[merges] = self._made[place[merges]] >= below[merges]
             pairs, left, right, below = pairs[stays], left[stays], right[stays], below[stays]
             for token in np.unique(np.concatenate([left[self._lefts[left] == -2], right[self._lefts[right] == -2]])).tolist():
                 self._lefts[token], self._rights[token] = self._split(token) or (-1, -1)
@@ -485,6 +497,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
                 counts = pa.array(map(len, ids), pa.int64())
                 columns = [batch.column(0), counts, pa.array([x.tobytes() for x in ids], pa.binary()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", *names])
+                del ids, columns
+                give_back()
         gc.enable()
         leave(key, encoder)
 
@@ -545,6 +559,8 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str]
                     decoded.append(digest.hexdigest())
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
+                del ids, columns
+                give_back()
         gc.enable()
         leave(key, (encoder, stream))
 

@@ -72,26 +72,35 @@ def _parse(block: B.Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
-    """Dense ranks."""
+    """Dense ranks, for fewer than 2**32 keys."""
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    new = np.empty(len(keys), dtype=np.uint64)
-    new[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(keys) else 0
+    rises = np.zeros(len(keys), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=rises[1:])
+    del ordered
+    new = np.empty(len(keys), dtype=np.uint32)
+    new[order] = np.cumsum(rises, dtype=np.uint32)
     return new
 
 
+def _paired(ranks: np.ndarray, others: np.ndarray) -> np.ndarray:
+    pairs = ranks.astype(U64)
+    pairs <<= U64(32)
+    pairs |= others
+    return pairs
+
+
 def suffix_ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes of ``text`` at some places by their first ``depth`` bytes, 8 or more.
 
     Every suffix has that many bytes. Ranks of depth d give those of up to 2d.
     """
     padded = np.concatenate([text, np.zeros(2 * depth, dtype=np.uint8)])
-    words = np.ndarray(len(text) + depth, dtype=">u8", buffer=padded.tobytes(), strides=(1,))
+    words = np.ndarray(len(text) + depth, dtype=">u8", buffer=padded, strides=(1,))
     ranks, reach = _ranked(words.astype(U64)), 8
     while 2 * reach < depth:
-        pairs = (ranks[:-reach] << U64(32)) | ranks[reach:]
-        ranks, reach = _ranked(pairs), 2 * reach
-    return _ranked((ranks[at] << U64(32)) | ranks[at + (depth - reach)])
+        ranks, reach = _ranked(_paired(ranks[:-reach], ranks[reach:])), 2 * reach
+    return _ranked(_paired(ranks[at], ranks[at + (depth - reach)]))
 
 
 def _runs(flags: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

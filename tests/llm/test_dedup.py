@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -93,6 +94,16 @@ def test_suffix_ranks_are_the_order_of_suffixes():
     assert ranks.tolist() == [place[s] for s in suffixes]
 
 
+def test_suffix_ranks_take_few_arrays_of_the_text():
+    text = np.random.default_rng(4).integers(97, 99, 1_000_000).astype(np.uint8)
+    at = np.arange(len(text) - 99)
+    tracemalloc.start()
+    suffix_dedup.suffix_ranks(text, at, 100)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36 * len(text)
+
+
 def removed_words(rows, length=13):
     first, out = {}, {}
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
