@@ -165,7 +165,8 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp").mapInArrow(run, "key long, fp long")
     a, b = keyed.select("key", F.col("fp").alias("u")), keyed.select("key", F.col("fp").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
-    return a.join(b, (a.key == b.key) & near).select("u", "v").distinct()
+    # Spark takes the keys for as many rows as there are fingerprints; they are about a hundred times as many.
+    return a.hint("merge").join(b.hint("merge"), (a.key == b.key) & near).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

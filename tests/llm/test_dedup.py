@@ -12,6 +12,7 @@ import xxhash
 
 from devicelog.llm import blocks, simhash, substring_dedup, suffix_dedup
 from devicelog.llm.components import components
+from devicelog.session import written
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -212,3 +213,11 @@ def test_components_of_a_long_chain(spark):
 def five_word_sets(text):
     words = (text or "").encode().translate(LOWER).split()
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    """Their rows are about a hundred times those that Spark sizes them by, so a broadcast may not fit the driver."""
+    prints = written(spark.createDataFrame([(i * 7919,) for i in range(50)] + [(1,), (3,)], "fp LONG"))
+    found = simhash.links(prints)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert (1, 3) in {tuple(r) for r in found.collect()}
