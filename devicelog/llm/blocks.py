@@ -205,7 +205,7 @@ def with_found(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     found = answers.groupBy("block_id").agg(F.collect_list("payload").alias("found"))
     found = written(found)
     size = found.agg(F.sum(F.expr("aggregate(found, 0L, (n, x) -> n + length(x))"))).first()[0] or 0
-    side = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    side = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
     return blocks.join(side, "block_id", "left")
 
 

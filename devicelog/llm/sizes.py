@@ -24,10 +24,13 @@ _Tables = TypeVar("_Tables")
 
 
 def measured(df: DataFrame, width: str) -> DataFrame:
-    """Write ``df``; hint it for broadcast if the sum of the SQL expression ``width``, its bytes a row, is small."""
+    """Write ``df``; hint it for broadcast if the sum of the SQL expression ``width``, its bytes a row, is small.
+
+    A larger table is hinted for a shuffle: Spark would judge it by its compressed files.
+    """
     table = written(df)
     size = table.agg(F.sum(F.expr(width).cast("long"))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("merge")
 
 
 def give_back() -> None:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from devicelog.llm import blocks, simhash, substring_dedup, suffix_dedup
+from devicelog.llm import blocks, simhash, sizes, substring_dedup, suffix_dedup
 from devicelog.llm.components import components
 from devicelog.session import written
 
@@ -221,3 +221,22 @@ def test_keys_of_fingerprints_are_never_broadcast(spark):
     found = simhash.links(prints)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert (1, 3) in {tuple(r) for r in found.collect()}
+
+
+def test_tables_measured_as_large_are_shuffled(spark, monkeypatch):
+    """Files of few bytes do not make Spark broadcast what was measured as large."""
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 80)
+    rows = spark.range(30).withColumnRenamed("id", "k")
+    small, large = sizes.measured(rows.filter("k < 10"), "8"), sizes.measured(rows.filter("k < 11"), "8")
+    plans = {n: rows.join(t, "k")._jdf.queryExecution().executedPlan().toString() for n, t in ((10, small), (11, large))}
+    assert "BroadcastHashJoin" in plans[10] and "SortMergeJoin" in plans[11]
+    assert rows.join(large, "k").count() == 11
+
+
+def test_large_answers_are_shuffled_to_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 1)
+    many = spark.createDataFrame([(1, b"a"), (2, b"b")], "block_id LONG, data BINARY")
+    answers = spark.createDataFrame([(1, b"xy"), (1, b"z")], "block_id LONG, payload BINARY")
+    joined = blocks.with_found(many, answers)
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r.block_id: sorted(map(bytes, r.found or [])) for r in joined.collect()} == {1: [b"xy", b"z"], 2: []}
