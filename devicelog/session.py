@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 4 << 20
 _BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+_LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +44,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
 
 
+def few_listing_tasks(spark: SparkSession) -> None:
+    """Folders are listed by eight tasks a core where a session has Spark's default, a task for each of up to 10,000
+    folders or named files: the driver takes longer to start a task than the task to list a folder."""
+    if spark.conf.get(_LISTING_TASKS) == "10000":
+        spark.conf.set(_LISTING_TASKS, str(min(10_000, 8 * spark.sparkContext.defaultParallelism)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under the cluster's checkpoint folder.
 

@@ -18,7 +18,7 @@ from devicelog.functions.cells import quoted
 from devicelog.operators.positions import numbered
 from devicelog.operators.sizes import BROADCAST_BYTES
 from devicelog.schema import CANONICAL, COLUMN_MAP, UNKNOWN_CASE
-from devicelog.session import written
+from devicelog.session import few_listing_tasks, written
 from devicelog.sources.csv_records import CSV_FILES, Records, read_records
 
 #: A file's row beside its names, which are measured.
@@ -37,6 +37,7 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Spark leaves files of zero bytes out.
     """
+    few_listing_tasks(spark)
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -70,9 +71,10 @@ def read_headers(records: Records, column_map: dict[str, str] = COLUMN_MAP) -> D
 
     A repeated name gets a numbered suffix.
     """
-    first = records.rows.where("block = 0").groupBy("source_file").agg(
-        F.min_by("cells", "row_ordinal").alias("fields"), F.min("row_ordinal").alias("header_at")
-    )
+    rows = records.rows.where("block = 0")
+    # Cells as aggregates would sort the rows of all files.
+    at = _small(written(rows.groupBy("source_file").agg(F.min("row_ordinal").alias("header_at"))))
+    first = rows.join(at, "source_file").where("row_ordinal = header_at").withColumnRenamed("cells", "fields")
     same = "size(filter(slice(fields, 1, i), other -> other = f))"
     names = first.selectExpr(
         "source_file",
@@ -127,7 +129,8 @@ def read_logs(records: Records, headers: DataFrame) -> DataFrame:
         "row_ordinal",
         *[f"IF(places.{c} IS NULL, NULL, coalesce(try_element_at(cells, places.{c}), '')) AS {c}" for c in CANONICAL],
         "IF(size(others) > 0, map_from_entries(others), NULL) AS extra",
-        "size(others) > size(unmapped) AS wide",
+        # Not by ``others``, which counts of wide rows then need not make.
+        "size(cells) > size(names) AND coalesce(exists(slice(cells, size(names) + 1, size(cells)), c -> c <> ''), false) AS wide",
     )
 
 

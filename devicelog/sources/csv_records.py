@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from devicelog.functions.cells import quoted, stripped
 from devicelog.operators.sizes import BROADCAST_BYTES
-from devicelog.session import written
+from devicelog.session import few_listing_tasks, written
 
 #: Any case of the ending.
 CSV_FILES = "*.[cC][sS][vV]"
@@ -66,6 +66,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ``opens`` tells whether the line leaves a cell open if a record begins with it,
     ``stays`` if it begins inside a cell.
     """
+    few_listing_tasks(spark)
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", CSV_FILES)
@@ -95,8 +96,8 @@ def _state(before: Column, fixed: Column, swaps: Column) -> Column:
     return F.pmod(F.coalesce(fixed, before) + swaps, F.lit(2))
 
 
-def _with_starts(lines: DataFrame) -> DataFrame:
-    """Lines with ``start``, the row_ordinal of the line that begins their record, and the state their file ends in.
+def _swapped(lines: DataFrame) -> DataFrame:
+    """Lines with the ``swaps`` within their split so far, and ``last_set``, what the last line that sets the state gives.
 
     A line leaves the state alone, sets it, or swaps it. So a state is the one of
     the last line that sets it, swapped as often as lines after it do; this is found
@@ -108,32 +109,49 @@ def _with_starts(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("swaps", F.sum("swap").over(inside))
     # The state a setting line gives, with the swaps so far taken off again.
     lines = lines.withColumn("set", F.when(opens == stays, F.pmod(opens + F.col("swaps"), F.lit(2))))
-    lines = lines.withColumn("last_set", F.last("set", ignorenulls=True).over(inside))
-    ends = lines.groupBy("source_file", "block").agg(
+    return lines.withColumn("last_set", F.last("set", ignorenulls=True).over(inside))
+
+
+def _split_states(lines: DataFrame) -> DataFrame:
+    """The states before and after each split: source_file, block, first_state, last_state."""
+    ends = _swapped(lines).groupBy("source_file", "block").agg(
         F.max_by(F.struct("swaps", "last_set"), "row_ordinal").alias("end"), F.max("swaps").alias("n_swaps")
     )
     splits = Window.partitionBy("source_file").orderBy("block")
-    ends = ends.withColumn("before_swaps", F.coalesce(F.sum("n_swaps").over(splits.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = splits.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("before_swaps", F.coalesce(F.sum("n_swaps").over(earlier), F.lit(0)))
     own_set = F.pmod(F.col("end.last_set") + F.col("before_swaps"), F.lit(2))
     ends = ends.withColumn("own_set", own_set)
-    earlier = splits.rowsBetween(Window.unboundedPreceding, -1)
     first = _state(F.lit(0), F.last("own_set", ignorenulls=True).over(earlier), F.col("before_swaps"))
     last = _state(F.lit(0), F.last("own_set", ignorenulls=True).over(splits), F.col("before_swaps") + F.col("n_swaps"))
-    ends = ends.select("source_file", "block", first.alias("first_state"), last.alias("last_state"))
-    lines = lines.join(ends, ["source_file", "block"])
+    return ends.select("source_file", "block", first.alias("first_state"), last.alias("last_state"))
+
+
+def _with_starts(lines: DataFrame, states: DataFrame) -> DataFrame:
+    """Lines with ``start``, the row_ordinal of the line that begins their record, and the state ``after`` them.
+
+    The lines are written once: only those of a record that began in an earlier split wait for its start.
+    """
+    # Both sides are dealt out by their split; paths are larger than their files tell.
+    lines = _swapped(lines).join(states.hint("merge"), ["source_file", "block"])
     after = _state(F.col("first_state"), F.col("last_set"), F.col("swaps"))
     lines = lines.withColumn("after", after)
+    inside = Window.partitionBy("source_file", "block").orderBy("row_ordinal")
     before = F.coalesce(F.lag("after").over(inside), F.col("first_state"))
     lines = lines.withColumn("begins", F.when(before == 0, F.col("row_ordinal")))
     lines = lines.withColumn("start", F.last("begins", ignorenulls=True).over(inside))
-    starts = lines.groupBy("source_file", "block").agg(F.max("begins").alias("last_start"))
+    lines = written(lines.select(*_PLACE, "text", "after", "start"))
+    starts = lines.groupBy("source_file", "block").agg(F.max("start").alias("last_start"))
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("earlier_start", F.max("last_start").over(earlier)).drop("last_start")
-    return lines.join(starts, ["source_file", "block"]).withColumn("start", F.coalesce("start", "earlier_start"))
+    carried = lines.where("start IS NULL").join(starts, ["source_file", "block"])
+    carried = carried.withColumn("start", F.col("earlier_start")).drop("earlier_start")
+    return lines.where("start IS NOT NULL").unionByName(carried)
 
 
-def _whole_records(lines: DataFrame) -> DataFrame:
+def _whole_records(lines: DataFrame, states: DataFrame) -> DataFrame:
     """The records of files with open cells: source_file, row_ordinal, block, cells."""
-    placed = _with_starts(lines.withColumn("text", F.coalesce("line", F.array_join("pieces", ","))))
+    placed = _with_starts(lines.withColumn("text", F.coalesce("line", F.array_join("pieces", ","))), states)
     alone = "row_ordinal = start AND after = 0"
     parts = F.array_sort(F.collect_list(F.struct("row_ordinal", "text")))
     joined = placed.where(f"NOT ({alone})").groupBy("source_file", "start").agg(
@@ -159,9 +177,9 @@ def read_records(spark: SparkSession, paths: str | list[str]) -> Records:
     if n_open * _BYTES_PER_NAME <= BROADCAST_BYTES:
         open_files = F.broadcast(open_files)
     open_lines = lines.join(open_files, "source_file", "left_semi")
-    states = _with_starts(open_lines.select(*_PLACE, "opens", "stays"))
+    states = written(_split_states(open_lines.select(*_PLACE, "opens", "stays")))
     ends = states.groupBy("source_file").agg(F.max_by("last_state", "block").alias("state"))
     broken = written(ends.where("state = 1").select("source_file"))
-    glued = written(_whole_records(open_lines.join(broken, "source_file", "left_anti")))
+    glued = written(_whole_records(open_lines.join(broken, "source_file", "left_anti"), states))
     plain = lines.join(open_files, "source_file", "left_anti").selectExpr(*_PLACE, _CELLS)
     return Records(plain.unionByName(glued).where(_FILLED), broken)

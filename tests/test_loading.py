@@ -364,3 +364,33 @@ def test_names_with_blanks_brackets_and_capitals(spark, write_csv, folder):
     store = Store(spark, f"{folder}/store")
     assert load_files(spark, source, store).sessions == 4
     assert store.measurements().count() == 8
+
+
+def test_folders_are_listed_by_few_tasks(spark, write_csv):
+    """Spark's default is a task for each of up to 10,000 folders or names; a session's own setting stays."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    source = write_csv("a.csv", A + "2026-01-01 00:00:00,1,2,\n")
+    for given, used in (("10000", str(8 * spark.sparkContext.defaultParallelism)), ("7", "7")):
+        spark.conf.set(key, given)
+        assert csv_files.list_files(spark, source).count() == 1
+        assert spark.conf.get(key) == used
+    spark.conf.set(key, "10000")
+
+
+def test_counts_of_wide_rows_make_no_maps(spark, write_csv):
+    source = write_csv("a.csv", "Flow rate L/min,Note\n1,x\n2,y,\n3,z,,more\n")
+    raw, files, _, _ = csv_files.read_sessions(spark, source)
+    counts = csv_files.row_counts(raw, files)
+    assert "transform(unmapped" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r)[1:] for r in counts.collect()] == [(3, 1)]
+
+
+def test_headers_are_found_without_sorting_rows(spark, write_csv):
+    source = write_csv("a.csv", '\n,\nNote,Flow rate L/min\n"x\n,y",2\n')
+    write_csv("b.csv", "Flow rate L/min,Note\n1,x\n")
+    headers = csv_files.read_headers(csv_files.read_records(spark, source))
+    assert "SortAggregate" not in headers._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source_file[-5:], list(r.names)) for r in headers.collect()) == [
+        ("a.csv", ["", ".1"]),
+        ("b.csv", ["Flow rate L/min", "Note"]),
+    ]
