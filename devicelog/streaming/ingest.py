@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from devicelog.plans.load import load_files
+from devicelog.session import few_listing_tasks
 from devicelog.sources.csv_files import CSV_FILES, as_path
 from devicelog.sources.store import Store
 
-FILES_PER_BATCH = 1000
+#: Bounds the names on the driver. A load has fixed costs of many jobs, so a folder of small files needs large batches.
+FILES_PER_BATCH = 20_000
 
 _FILE_SCHEMA = T.StructType(
     [
@@ -40,6 +42,7 @@ def stream_ingest(
     the store knows a file (``load_files``).
     """
     store = Store(spark, store_folder)
+    few_listing_tasks(spark)
     names = (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)

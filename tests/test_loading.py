@@ -394,3 +394,13 @@ def test_headers_are_found_without_sorting_rows(spark, write_csv):
         ("a.csv", ["", ".1"]),
         ("b.csv", ["Flow rate L/min", "Note"]),
     ]
+
+
+def test_small_files_are_streamed_in_one_batch(spark, write_csv, folder):
+    """Each batch has the fixed costs of a load."""
+    for i in range(1001):
+        source = write_csv(f"f{i}.csv", f"Flow rate L/min,Case Number\n{i},c{i}\n")
+    stream_ingest(spark, source, f"{folder}/store", f"{folder}/progress").awaitTermination()
+    store = Store(spark, f"{folder}/store")
+    assert store.sessions().count() == 1001 and store.last_load_id() == 0
+    assert sorted(r.flow_rate_lpm for r in store.measurements().collect()) == list(range(1001))
